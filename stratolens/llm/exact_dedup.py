@@ -103,12 +103,13 @@ class _Runs:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
-    """id_col and the columns of carry, with keep_id, group_size, kept and text_sha256 of each row's group of equal texts. carry may name text_col and any other column."""
+    """id_col and the columns of carry, with keep_id, group_size, kept and text_sha256 of each row's group of equal texts. carry may name text_col and any other column; where it holds one of the four names, the new column gets an underscore before it."""
     small_batches(docs.sparkSession)
     carry = [c for c in carry if c != id_col]
     src = docs.select(id_col, *dict.fromkeys([text_col, *carry]))
+    results = fresh(docs.select(id_col, *carry), "keep_id", "group_size", "kept", "text_sha256")
     prefix, digest, length = fresh(src, "k_prefix", "k_hash", "k_length")
-    names = fresh(src, "m_keep", "m_size", "m_first", "m_sha", "m_run", "m_edge", "m_text")
+    names = fresh(src.withColumns({prefix: F.lit(0), digest: F.lit(0), length: F.lit(0)}), "m_keep", "m_size", "m_first", "m_sha", "m_run", "m_edge", "m_text")
     norm = F.translate(F.coalesce(F.col(text_col), F.lit("")), BLANKS, "")
     rows = src.withColumn(prefix, norm).withColumns({prefix: F.substring(prefix, 1, KEY_CHARS), digest: F.xxhash64(prefix), length: F.coalesce(F.length(text_col), F.lit(0))})
     order = [F.col(prefix), F.col(digest), F.col(length).desc(), F.col(id_col).asc_nulls_last()]
@@ -122,15 +123,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = stored(found.select(out), "exact-dedup")
     pieces = found.filter(F.col(edge) & F.col(first)).select(F.col(run).alias("run"), F.col(text).alias("t"), F.col(keep).alias("keep"), F.col(size).alias("n"), F.col(length).alias("cp"))
     groups = pieces.groupBy("t").agg(F.sum("n").alias("all_n"), F.count("*").alias("pieces"), F.min(F.struct(-F.col("cp"), F.col("keep").isNull(), "keep", "run")).alias("best"))
-    fixed = pieces.join(groups.filter("pieces > 1"), "t").select(F.col("run").alias("f_run"), F.col("best.keep").alias("f_keep"), F.col("best.run").alias("f_best"), F.col("all_n").alias("f_n"))
-    moved = F.col("f_run").isNotNull()
-    return found.join(fixed, F.col(run) == F.col("f_run"), "left").select(
+    f_run, f_keep, f_best, f_n = fresh(found, "f_run", "f_keep", "f_best", "f_n")
+    fixed = pieces.join(groups.filter("pieces > 1"), "t").select(F.col("run").alias(f_run), F.col("best.keep").alias(f_keep), F.col("best.run").alias(f_best), F.col("all_n").alias(f_n))
+    moved = F.col(f_run).isNotNull()
+    return found.join(fixed, F.col(run) == F.col(f_run), "left").select(
         id_col,
         *carry,
-        F.when(moved, F.col("f_keep")).otherwise(F.col(keep)).alias("keep_id"),
-        F.when(moved, F.col("f_n")).otherwise(F.col(size)).alias("group_size"),
-        (F.col(first) & (~moved | (F.col("f_best") == F.col(run)))).alias("kept"),
-        F.col(sha).alias("text_sha256"),
+        F.when(moved, F.col(f_keep)).otherwise(F.col(keep)).alias(results[0]),
+        F.when(moved, F.col(f_n)).otherwise(F.col(size)).alias(results[1]),
+        (F.col(first) & (~moved | (F.col(f_best) == F.col(run)))).alias(results[2]),
+        F.col(sha).alias(results[3]),
     )
 
 

@@ -227,13 +227,13 @@ def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (smallest doc_id with the same set), n_links (other sets linked with this one) of every row. Linked: 100 * intersection >= percent * union of the sets of n-grams."""
+    """doc_id, text_hash (xxhash64), n_shingles, component_id, class_id (smallest doc_id with the same set), n_links (other sets linked with this one) and component (a number for the component, null for empty sets) of every row. Linked: 100 * intersection >= percent * union of the sets of n-grams."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     key, text = fresh(docs, "row_key", "row_text")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias(text)).withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.xxhash64(text))))
-    rows = shingle_classes(docs.withColumn("k", F.struct("doc_id", key)), "k", text, n)
-    rows = stored(rows.select("id.doc_id", F.col(f"id.{key}").alias("row_key"), "n_shingles", "digest"), "join-classes")
+    rows = shingle_classes(docs.withColumn("k", F.struct("doc_id", key, F.xxhash64(text).alias("text_hash"))), "k", text, n)
+    rows = stored(rows.select("id.doc_id", "id.text_hash", F.col(f"id.{key}").alias("row_key"), "n_shingles", "digest"), "join-classes")
     classes = rows.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.min("row_key").alias("row_key"))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     shared = shared_tokens(docs.select(text), n, total)
@@ -260,11 +260,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = classes.select("digest", "class_id", sid.alias("sid")).join(parts.withColumnRenamed("id", "p_id"), F.col("sid") == F.col("p_id"), "left").join(links, "sid", "left")
     names = stored(names.select("digest", "class_id", F.coalesce("label", "sid").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "join-names")
     whole = names.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    names = names.join(whole, "label").select("digest", "class_id", "component_id", "n_links")
+    names = names.join(whole, "label").select("digest", "class_id", "component_id", "n_links", "label")
     own = F.col("n_shingles") == 0
     out = rows.join(names, "digest")
-    return out.select("doc_id", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links")
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links", F.when(~own, F.col("label")).alias("component"))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, percent=85)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, percent=85).drop("text_hash", "component")

@@ -1,8 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import exact_dedup, mixing
+from . import exact_dedup, language_id, mixing, ngram_join, packing
 
 QUERIES = {
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op6_language_id": language_id.op6_language_id,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
