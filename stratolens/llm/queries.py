@@ -1,14 +1,17 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing
+from . import exact_dedup, language_id, media, mixing, ngram_join, packing, warc
 
 QUERIES = {
+    "op1_mjpeg_avi": media.op1_mjpeg_avi,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op5_warc_chunks": warc.op5_warc_chunks,
     "op6_language_id": language_id.op6_language_id,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLE_SQL = {
+    "op5_warc_chunks": warc.OP5_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
