@@ -252,7 +252,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(ok, pa.int64())), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["sid", "tokens"])
 
-    sets = docs.join(left, F.col(key) == F.col("want_key")).select(text, "sid", "want").mapInArrow(again, "sid long, tokens array<long>").dropDuplicates(["sid"])
+    # A merge join at every size: what is left grows with the corpus, so it is never broadcast.
+    sets = docs.join(left.hint("merge"), F.col(key) == F.col("want_key")).select(text, "sid", "want").mapInArrow(again, "sid long, tokens array<long>").dropDuplicates(["sid"])
     sets = stored(sets, "join-sets")
     linked = stored(_linked(sets, percent, 100), "join-links")
     parts = components(linked.select(F.col("sid").alias("a"), F.col("root").alias("b")))
