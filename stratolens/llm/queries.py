@@ -1,17 +1,21 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import exact_dedup, language_id, media, mixing, ngram_join, packing, warc
+from . import exact_dedup, language_id, licenses, media, mixing, ngram_join, packing, pii, quality, warc
 
 QUERIES = {
     "op1_mjpeg_avi": media.op1_mjpeg_avi,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_warc_chunks": warc.op5_warc_chunks,
     "op6_language_id": language_id.op6_language_id,
+    "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_personal_data": pii.op9_personal_data,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLE_SQL = {
+    "op4_license_scan": licenses.OP4_SQL,
     "op5_warc_chunks": warc.OP5_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
