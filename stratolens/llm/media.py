@@ -8,8 +8,8 @@ decoder of lossless JPEG reads the frames.
 The reader finds the frames by the RIFF index, undoes byte stuffing, decodes, and sums the differences up again. It reads
 grey lossless frames of 24 x 24 with this table; a file without index, or with other frames, raises ValueError.
 
-A cut is where the histogram (16 bins) changes by more than mean + DEVIATIONS standard deviations of the last changes (RECENT
-at most, LEAST at least). Clips run from cut to cut, timed at RATE frames a second.
+A cut is where the histogram (16 bins) changes by more than mean + DEVIATIONS standard deviations of the last RECENT changes, those
+capped at LEAST; a change under LEAST is no cut. Clips run from cut to cut, timed at RATE frames a second.
 
 Null texts are empty; empty texts give one frame of 255s. Equal texts give equal files. Very long texts are coded BLOCK
 frames at a time. Other columns pass by; repeated rows get the same answer.
@@ -155,7 +155,8 @@ def cuts(samples: np.ndarray) -> list[int]:
         return []
     hist = np.bincount((np.arange(n)[:, None] * 16 + (samples >> 4)).reshape(-1), minlength=16 * n).reshape(n, 16)
     change = np.abs(np.diff(hist, axis=0)).sum(1) / (2 * FRAME)
-    total, square = np.concatenate([[0], np.cumsum(change)]), np.concatenate([[0], np.cumsum(change**2)])
+    calm = np.minimum(change, LEAST)  # a cut shall not hide the next one
+    total, square = np.concatenate([[0], np.cumsum(calm)]), np.concatenate([[0], np.cumsum(calm**2)])
     i = np.arange(n - 1)
     a = np.maximum(0, i - RECENT)
     seen = np.maximum(1, i - a)

@@ -1,0 +1,135 @@
+"""Language identification, quality and personal data: gradients, held-out accuracy, plain versions, edge cases."""
+
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from stratolens.llm import language_id, pii, quality
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_gradient_is_right():
+    net = language_id.Network(["a", "b", "c"], hidden=3)
+    net.p = {k: v.astype(float) for k, v in net.p.items()}
+    rng = np.random.default_rng(0)
+    seq, y = rng.integers(0, 256, (4, 7)).astype(np.uint8), rng.integers(0, 3, 4)
+    g = net.gradients(seq, y)[1]
+    for k, v in net.p.items():
+        at = np.unravel_index(np.abs(g[k]).argmax(), v.shape)
+        near = []
+        for step in (1e-4, -2e-4):
+            v[at] += step
+            near.append(net.gradients(seq, y)[0])
+        v[at] += 1e-4
+        assert (near[0] - near[1]) / 2e-4 == pytest.approx(g[k][at], rel=1e-4, abs=1e-8)
+
+
+def test_windows_agree_with_one_pass(monkeypatch):
+    net = language_id.Network(["a", "b"], hidden=4)
+    texts = pa.array(["x" * 10, "", None, "ab " * 500, "z"])
+    monkeypatch.setattr(language_id, "CONTEXT", 5000)
+    whole = net.documents(texts)
+    monkeypatch.setattr(language_id, "WINDOW", 5000)
+    once = net.documents(texts)
+    assert whole[0] == once[0] and np.allclose(whole[1], once[1], atol=1e-5)
+    assert whole[0][1:3] == ["und", "und"] and whole[1][1:3] == [0, 0]
+
+
+def test_language_accuracy_held_out(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    net = language_id.train(docs)
+    got = language_id.predict_language(docs, net).filter(language_id.held_out(docs["doc_id"])).collect()
+    assert all(0 <= r["score"] <= 1 for r in got) and len(got) > 200
+    assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.97
+    spans = language_id.language_spans(docs.limit(5), net).collect()
+    assert {r["lang"] for r in spans} <= set(net.langs) and all(r["start"] < r["end"] for r in spans)
+
+
+def test_language_edges(docs, empty):
+    net = language_id.train(docs.filter("lang is null"))
+    assert net.langs == [] and {r["lang_pred"] for r in language_id.predict_language(docs, net).collect()} == {"und"}
+    net = language_id.Network(["en", "de"])
+    out = language_id.predict_language(docs.withColumnRenamed("lang", "score"), net)
+    assert out.columns[-2:] == ["lang_pred", "_score"] and out.count() == docs.count()
+    by = {r["doc_id"]: r["lang_pred"] for r in out.collect()}
+    assert by[122] == by[123] == by[124] == "und" and by[132] != "und"
+    assert language_id.predict_language(empty, net).collect() == []
+
+
+def test_factorisation_machine_is_the_pairwise_sum():
+    fm = quality.FactorisationMachine()
+    rng = np.random.default_rng(2)
+    fm.v, fm.w, fm.bias = rng.normal(size=fm.v.shape), rng.normal(size=fm.w.shape), 0.3
+    ids, x = rng.choice(quality.WIDTH, 9, replace=False), rng.normal(size=9)
+    want = fm.bias + fm.w[ids] @ x + sum(fm.v[ids[i]] @ fm.v[ids[j]] * x[i] * x[j] for i in range(9) for j in range(i))
+    assert fm.raw(np.zeros(9, int), ids, x, 1)[0][0] == pytest.approx(want)
+
+
+def test_quality_held_out(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    fm = quality.train(docs, labels)
+    got = quality.score_quality(docs.select("doc_id", "text", "n_chars"), fm).join(labels, "doc_id").filter(quality.held_out(labels["doc_id"])).collect()
+    assert sum((r["quality_score"] >= 0.3) == (r["quality"] == 1) for r in got) / len(got) > 0.9
+
+
+def test_quality_edges(docs, empty, spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.train(docs, none) is None
+    assert {r["quality_score"] for r in quality.score_quality(docs, None).collect()} == {0.5}
+    fm = quality.FactorisationMachine()
+    assert all(0 <= r["quality_score"] <= 1 for r in quality.score_quality(docs, fm).collect()) and quality.score_quality(empty, fm).collect() == []
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m.group())
+            ok = {
+                "email": True,
+                "ip": all(int(x) <= 255 for x in m.group().split(".")) if kind == "ip" else False,
+                "card": 12 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0,
+                "phone": 9 <= len(d) <= 15,
+            }[kind]
+            if ok:
+                out.append((*m.span(), kind))
+    return sorted(out, key=lambda s: (s[0], list(PATTERNS).index(s[2])))
+
+
+def test_base_spans_are_the_patterns():
+    rng = np.random.default_rng(4)
+    for _ in range(4000):
+        text = "".join(rng.choice(list("a1.@+- ()9_5é"), rng.integers(0, 70)))
+        assert pii.spans_of(text)[0] == plain_spans(text)
+    assert pii.spans_of("a" * 200_000 + "1" * 200_000)[0] == []
+
+
+def test_personal_data(spark, docs, empty):
+    rows = [(1, "call me at (212) 555-0147 or mail bob@example.com, card 4111 1111 1111 1111"), (2, None), (3, "ip 10.0.0.300 and 10.0.0.3"), (3, "ip 10.0.0.300 and 10.0.0.3"), (4, "+1 212 555 0147")]
+    got = pii.personal_data(spark.createDataFrame(rows * 30, "doc_id long, text string")).collect()
+    assert len(got) == 150
+    for r in got:
+        text = dict(rows)[r["doc_id"]] or ""
+        assert [tuple(s) for s in r["base"]] == plain_spans(text) and all(s in r["found"] for s in r["base"])
+        ends = [(s["start"], s["end"]) for s in r["found"]]
+        assert ends == sorted(ends)
+    assert pii.personal_data(empty).collect() == [] and pii.personal_data(docs).count() == docs.count()
+
+
+def test_reliabilities_find_the_good_labeler():
+    counts = {"email:yy-yy:1": 50, "email:yy-nn:1": 5, "card:n--ny:1": 60, "card:n--nn:1": 6, "phone_local:-y-y-:1": 20, "phone_local:---n-:1": 20}
+    rate, p = pii.reliabilities(counts)
+    assert rate[3, 1, 0] > rate[3, 0, 0] and p["-y-y-"] > p["---n-"]
+
+
+def test_folds(docs):
+    for module, m, k in ((language_id, 3, 1), (quality, 5, 0)):
+        for r in docs.select("doc_id", module.held_out(docs["doc_id"]).alias("out")).collect():
+            assert r["out"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % m == k)
