@@ -136,7 +136,7 @@ class Network:
     def label(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Probabilities (window, byte, language) of windows [start, end) of data, longest first; bytes past a window's end are of no meaning."""
         size, k = end - start, len(self.langs)
-        out = np.empty((int(size[0]), len(size), k), np.float32)
+        out = np.zeros((int(size[0]), len(size), k), np.float32)
         active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right")
         for d in "fb":
             h = np.zeros((len(size), len(self.p["uf"])), np.float32)
@@ -173,6 +173,8 @@ class Network:
 
     def documents(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         """Language and its pooled probability of each text."""
+        if not self.langs:
+            return ["und"] * len(texts), [0.0] * len(texts)
         data, at = utf8(texts)
         pooled, letters = np.zeros((len(at) - 1, len(self.langs))), np.zeros(len(at) - 1, np.int64)
         for doc, core, size, prob in self.windows(data, at):
@@ -180,13 +182,13 @@ class Network:
             use &= _LETTER[data[np.minimum(core[:, None] + np.arange(prob.shape[1]), len(data) - 1)]]
             np.add.at(pooled, doc, np.einsum("wbk,wb->wk", prob, use.astype(np.float32)))
             np.add.at(letters, doc, use.sum(1))
-        best = pooled.argmax(1) if self.langs else None
+        best = pooled.argmax(1)
         ascii_letter = np.zeros(len(data) + 1, np.int64)
         np.cumsum(_LETTER[data] & (data < 128), out=ascii_letter[1:])
         some = ascii_letter[at[1:]] > ascii_letter[at[:-1]]
         langs, scores = [], []
         for i, n in enumerate(letters.tolist()):
-            known = bool(self.langs) and n and (some[i] or any(c.isalpha() for c in texts[i].as_py()))
+            known = n and (some[i] or any(c.isalpha() for c in texts[i].as_py()))
             langs.append(self.langs[best[i]] if known else "und")
             scores.append(min(1.0, float(pooled[i, best[i]]) / n) if known else 0.0)
         return langs, scores

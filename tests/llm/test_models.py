@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from stratolens.llm import language_id, pii, quality
 
@@ -42,7 +43,7 @@ def test_windows_agree_with_one_pass(monkeypatch):
 def test_language_accuracy_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     net = language_id.train(docs)
-    got = language_id.predict_language(docs, net).filter(language_id.held_out(docs["doc_id"])).collect()
+    got = language_id.predict_language(docs, net).filter(language_id.held_out(F.col("doc_id"))).collect()
     assert all(0 <= r["score"] <= 1 for r in got) and len(got) > 200
     assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.97
     spans = language_id.language_spans(docs.limit(5), net).collect()
@@ -72,7 +73,7 @@ def test_factorisation_machine_is_the_pairwise_sum():
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     fm = quality.train(docs, labels)
-    got = quality.score_quality(docs.select("doc_id", "text", "n_chars"), fm).join(labels, "doc_id").filter(quality.held_out(labels["doc_id"])).collect()
+    got = quality.score_quality(docs.select("doc_id", "text", "n_chars"), fm).join(labels, "doc_id").filter(quality.held_out(F.col("doc_id"))).collect()
     assert sum((r["quality_score"] >= 0.3) == (r["quality"] == 1) for r in got) / len(got) > 0.9
 
 
