@@ -1,4 +1,6 @@
 """The queries of the evidence engine by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import catalog, intervals, search, stats, streams
+from .base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "intervals", "search", "stats", "streams"]
