@@ -1,7 +1,8 @@
 """WARC archives as a table of chunks.
 
 A record is a run of rows (record, chunk_no, data): chunk 0 has the WARC and HTTP headers, the others at most CHUNK bytes of
-the payload each, with the running SHA-1 of the payload so far. The reader takes a record's chunks in order and carries
+the payload each, with the running SHA-1 of the payload so far. A record's data are one gzip member, as in .warc.gz files,
+flushed at the end of each chunk. The reader takes a record's chunks in order and carries
 that digest, so neither side ever holds a record's bytes together beyond the row that brought the payload. A payload that
 occurs again is written as a revisit: headers only, naming the response with the smallest identifier.
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,11 +59,13 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 head += f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(http) + size}\r\n\r\n{http}"
             record, h = (part << 32) + n, hashlib.sha1()
             n += 1
-            rows.append((record, 0, head.encode() + (b"\r\n\r\n" if not len(view) else b""), h.hexdigest(), not len(view)))
+            member = zlib.compressobj(1, zlib.DEFLATED, 31)
+            zipped = lambda data, last, m=member: m.compress(data) + (m.compress(b"\r\n\r\n") + m.flush() if last else m.flush(zlib.Z_SYNC_FLUSH))
+            rows.append((record, 0, zipped(head.encode(), not len(view)), h.hexdigest(), not len(view)))
             for k in range(0, len(view), CHUNK):
-                piece, last = bytes(view[k : k + CHUNK]), k + CHUNK >= len(view)
+                piece, last = view[k : k + CHUNK], k + CHUNK >= len(view)
                 h.update(piece)
-                rows.append((record, k // CHUNK + 1, piece + (b"\r\n\r\n" if last else b""), h.hexdigest(), last))
+                rows.append((record, k // CHUNK + 1, zipped(piece, last), h.hexdigest(), last))
                 held += len(piece)
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=names)
@@ -86,9 +90,11 @@ class _Record:
     """What is known of a record whose chunks come in."""
 
     def __init__(self):
-        self.head, self.fields, self.body, self.sha1, self.got, self.ok, self.tail = b"", None, 0, hashlib.sha1(), 0, True, b""
+        self.member = zlib.decompressobj(31)
+        self.head, self.fields, self.left, self.sha1, self.got, self.ok, self.tail = b"", None, 0, hashlib.sha1(), 0, True, b""
 
     def add(self, data: bytes, running: str) -> None:
+        data = self.member.decompress(data)
         if self.fields is None:
             self.head += data
             end = self.head.find(b"\r\n\r\n")
