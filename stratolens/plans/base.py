@@ -20,8 +20,10 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
-def query(sql: str | None = None):
-    """Registers a function of Tables under its name, with SQL for the same rows if there is any."""
+def query(sql: str | None = None, **types: str):
+    """Registers a function of Tables under its name, with SQL for the same rows if there is any; types: of columns that the SQL would give a wider type."""
+    if sql and types:
+        sql = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {k}) AS {c}' for c, k in types.items())}) FROM ({sql})"
 
     def register(f: Callable[[Tables], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))

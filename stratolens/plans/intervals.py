@@ -73,7 +73,7 @@ def overlaps(t: Tables):
     return I.overlap_join(purchases(t), seen, ["user_id"], HOUR)
 
 
-@query(f"SELECT event_id, count(*) AS n, sum(overlap) AS overlap, string_agg(CAST(r_id AS VARCHAR), ',' ORDER BY r_start, r_id) AS ids FROM {SQL_OVER} GROUP BY event_id")
+@query(f"SELECT event_id, count(*) AS n, sum(overlap) AS overlap, string_agg(CAST(r_id AS VARCHAR), ',' ORDER BY r_start, r_id) AS ids FROM {SQL_OVER} GROUP BY event_id", overlap="BIGINT")
 def interval_overlap_agg(t: Tables):
     g = overlaps(t).groupBy("event_id").agg(F.count("*").alias("n"), F.sum("overlap").alias("overlap"), F.array_sort(F.collect_list(F.struct("r_start", "r_id"))).alias("r"))
     return g.select("event_id", "n", "overlap", F.array_join(F.transform("r", lambda x: x["r_id"].cast("string")), ",").alias("ids"))
@@ -264,7 +264,7 @@ def min_gap_thinning(t: Tables):
 
 
 @query(f"""WITH r AS (SELECT user_id, day, list_reduce(list_transform(points, lambda x: [[x, 1]]), lambda a, x: CASE WHEN x[1][1] - a[len(a)][1] >= {HOUR} THEN list_concat(a, x) ELSE list_concat(a[1:len(a) - 1], [[a[len(a)][1], a[len(a)][2] + 1]]) END) AS w FROM {SQL_DAY})
-SELECT user_id, day, len(w) AS windows, list_sum(list_transform(w, lambda x: greatest(0, x[2] - 2))) AS rejected FROM r""")
+SELECT user_id, day, len(w) AS windows, list_sum(list_transform(w, lambda x: greatest(0, x[2] - 2))) AS rejected FROM r""", rejected="BIGINT")
 def fixed_window_counter(t: Tables):
     step = lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1)["from"] >= HOUR), F.concat(a, F.array(F.struct(x.alias("from"), F.lit(1).alias("n"))))).otherwise(
         F.concat(F.slice(a, 1, F.greatest(F.lit(0), F.size(a) - 1)), F.array(F.struct(F.element_at(a, -1)["from"].alias("from"), (F.element_at(a, -1)["n"] + 1).alias("n"))))

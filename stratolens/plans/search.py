@@ -32,7 +32,7 @@ v AS (SELECT *, row_number() OVER (ORDER BY vec_score DESC, doc_id) AS vec_rank
 l AS (SELECT *, row_number() OVER (ORDER BY lex_score DESC, doc_id) AS lex_rank FROM (SELECT doc_id, hits / 4 AS lex_score FROM h WHERE hits > 0 ORDER BY 2 DESC, 1 LIMIT 150)),
 b AS (SELECT doc_id, vec_score, vec_rank, lex_score, lex_rank,
    round(0.86 * coalesce(vec_score, 0) + 0.14 * least(1, greatest(0, coalesce(lex_score, 0))) + coalesce(1 / (60 + vec_rank), 0) + coalesce(1 / (60 + lex_rank), 0), 6) AS score FROM v FULL JOIN l USING (doc_id))
-SELECT doc_id, round(vec_score, 6) AS vec_score, vec_rank, lex_score, lex_rank, score FROM b ORDER BY score DESC, doc_id LIMIT 25""")
+SELECT doc_id, round(vec_score, 6) AS vec_score, vec_rank, lex_score, lex_rank, score FROM b ORDER BY score DESC, doc_id LIMIT 25""", vec_rank="INTEGER", lex_rank="INTEGER")
 def hybrid_search_topk(t: Tables):
     vec = R.against(t.embeddings, QUERY_ID).select(F.col("vec_id").alias("doc_id"), F.col("cosine").alias("vec_score"))
     lex = hits(t).filter("hits > 0").select("doc_id", (F.col("hits") / len(TERMS)).alias("lex_score"))
@@ -158,7 +158,7 @@ def required_evidence_all_any(t: Tables):
 SQL_LEDGER = f"(SELECT *, CAST(c_lang = 'trusted' AS INT) + CAST(c_text = 'trusted' AS INT) + CAST(c_safe = 'trusted' AS INT) AS hard, CAST(c_lang = 'weak' AS INT) + CAST(c_text = 'weak' AS INT) + CAST(c_safe = 'weak' AS INT) AS soft FROM {SQL_CHECKS})"
 
 
-@query(f"SELECT source, sum(hard) AS hard, sum(soft) AS soft, sum(3 - hard - soft) AS failed, count(*) AS segments FROM {SQL_LEDGER} GROUP BY source")
+@query(f"SELECT source, sum(hard) AS hard, sum(soft) AS soft, sum(3 - hard - soft) AS failed, count(*) AS segments FROM {SQL_LEDGER} GROUP BY source", hard="BIGINT", soft="BIGINT", failed="BIGINT")
 def verification_tally(t: Tables):
     return checks(t).groupBy("source").agg(F.sum(_all("trusted")).alias("hard"), F.sum(_all("weak")).alias("soft"), F.sum(_all("failed")).alias("failed"), F.count("*").alias("segments"))
 

@@ -1 +1,29 @@
-"""To come."""
+"""Event streams, run to their end over the events table."""
+
+from __future__ import annotations
+
+from ..streaming import jobs
+from .base import Tables, query
+
+WINDOWS = "SELECT time_bucket(INTERVAL '{0}', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
+
+
+@query(WINDOWS.format("1 hour"))
+def stream_tumbling(t: Tables):
+    return jobs.windowed_counts(t.spark, t.sf_dir, "1 hour")
+
+
+@query("""SELECT CAST(w AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, unnest([time_bucket(INTERVAL '1 hour', ts), time_bucket(INTERVAL '1 hour', ts) - INTERVAL '1 hour']) AS w FROM events) GROUP BY ALL""")
+def stream_sliding(t: Tables):
+    return jobs.windowed_counts(t.spark, t.sf_dir, "2 hours", "1 hour")
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM o)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM i GROUP BY user_id, island""")
+def stream_sessions(t: Tables):
+    return jobs.sessions(t.spark, t.sf_dir, "30 minutes")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedupe(t: Tables):
+    return jobs.distinct_keys(t.spark, t.sf_dir)
