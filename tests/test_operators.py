@@ -74,3 +74,62 @@ def test_text(spark):
     n = spark.createDataFrame([("1,234.5",), ("x",)], "t string").select(X.number(F.col("t"))).collect()
     assert [r[0] for r in n] == [1234.5, None]
     assert spark.range(1, 5).select(X.ordinal(F.col("id"))).collect()[3][0] == "4th"
+
+
+def test_leader_clusters(spark):
+    import numpy as np
+
+    from stratolens.operators.clusters import greedy_tracks, leader_clusters
+
+    rng = np.random.default_rng(3)
+    rows = [(i // 20, i, rng.normal(size=4).tolist()) for i in range(60)]
+    got = {r["key"]: r["cluster"] for r in leader_clusters(spark.createDataFrame(rows, "asset long, key long, v array<double>"), "asset", "key", "v", 0.5).collect()}
+    for a in range(3):
+        sums = []
+        for _, k, v in rows[a * 20 : a * 20 + 20]:
+            u = np.array(v) / np.linalg.norm(v)
+            sims = [u @ s / np.linalg.norm(s) for s in sums]
+            c = int(np.argmax(sims)) if sims and max(sims) >= 0.5 else len(sums)
+            sums[c : c + 1] = [sums[c] + u] if c < len(sums) else [u]
+            assert got[k] == c
+    points = [("g", 1, 0, 1.0), ("g", 2, 0, 5.0), ("g", 3, 1, 1.2), ("g", 4, 1, 1.1), ("g", 5, 2, 5.1)]
+    tracks = greedy_tracks(spark.createDataFrame(points, "g string, key long, t long, x double"), "g", "key", "t", "x", 1.0)
+    assert [r["track"] for r in tracks.orderBy("key").collect()] == [0, 1, 2, 0, 1]
+
+
+def test_files(spark, tmp_path):
+    from stratolens.sources import files, sinks
+
+    (tmp_path / "eng_2023-24.csv").write_text('Home Team,Home-Team,Note\n"A ""x""",B,"two\nlines"\n\nC,D,\n')
+    df = files.read_csv(spark, str(tmp_path / "eng_2023-24.csv"))
+    assert df.columns == ["home_team", "home_team_2", "note"] and sorted(map(tuple, df.collect()), key=str) == [('A "x"', "B", "two\nlines"), ("C", "D", None)]
+    (tmp_path / "a.json").write_text('{"meta": 1, "rows": [{"Player Name": "x", "n": 2}, {"Player Name": "y"}]}')
+    assert sorted(r["player_name"] for r in files.read_json_rows(spark, str(tmp_path / "a.json")).collect()) == ["x", "y"]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/a.mp4").write_bytes(b"123")
+    (tmp_path / "m/b.txt").write_bytes(b"123")
+    assert [r["name"] for r in files.scan_media(spark, str(tmp_path / "m")).collect()] == ["a.mp4"]
+    assert files.checksums(spark, str(tmp_path / "m"), "*.mp4").first()["sha256"].startswith("a665a459")
+    log = spark.createDataFrame([("n:0 pts_time:1.5 x pts_time: 2",), ("silence_start: 3.25",), ("silence_end: 4 | d: 1",)], "value string")
+    assert [r["at"] for r in files.scene_times(log).collect()] == [1.5, 2.0]
+    assert [tuple(r) for r in files.silences(log).collect()] == [("start", 3.25), ("end", 4.0)] or [r["kind"] for r in files.silences(log).collect()] == ["start", "end"]
+    p = spark.createDataFrame([('[{"position": "1200", "label": "goal", "confidence": "2"}]',), ('{"actions": [{"position": "x", "label": "foul"}]}',), ("{}",)], "value string")
+    assert sorted((tuple(r) for r in files.predictions(p).collect()), key=str) == [(1200.0, "goal", 1.0), (None, "foul", 0.0)]
+    out = str(tmp_path / "out")
+    sinks.rebuild(spark.createDataFrame([(1, "a"), (2, "b")], "v long, k string").repartition(1), out + "/x")
+    for rows in ([(1, "a"), (2, "b")], [(3, "b")]):
+        sinks.replace_partitions(spark.createDataFrame(rows, "v long, k string"), out + "/parts", "k")
+    assert sorted(map(tuple, spark.read.parquet(out + "/parts").select("v", "k").collect())) == [(1, "a"), (3, "b")]
+    both = sinks.write_batch({"job": out + "/job", "outbox": out + "/outbox"})
+    for _ in range(2):
+        both(spark.createDataFrame([("job", 1), ("outbox", 1)], "kind string, id long"), 7)
+    assert spark.read.parquet(out + "/job").count() == 1 == spark.read.parquet(out + "/outbox").count()
+
+
+def test_stream_progress(spark, tmp_path):
+    from stratolens.streaming import jobs
+
+    spark.createDataFrame([(1, 5.0), (1, 3.0), (2, 7.0)], "k long, v double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k long, v double").parquet(str(tmp_path / "in"))
+    got = {r["k"]: (r["best"], r["seen"]) for r in jobs.run(jobs.progress(stream, "k", "v"), "update").collect()}
+    assert got == {1: (5.0, 2), 2: (7.0, 1)}

@@ -24,7 +24,7 @@ def plain(x):
     return str(x)
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     got = df.collect()
