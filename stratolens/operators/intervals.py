@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .ordered import running
 
 
 def micros(ts: Column) -> Column:
@@ -37,12 +39,12 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance: i
     return left.join(best, list(left.columns), "left")
 
 
-def coalesced(df: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
-    """Islands of intervals (start, end): those that begin at most gap after the furthest end so far are one. Columns keys, start, end, n."""
-    w = W.partitionBy(*keys).orderBy("start", "end")
-    seen = df.withColumn("_reach", F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)))
-    new = F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + gap), 1).otherwise(0)
-    island = seen.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+def coalesced(df: DataFrame, keys: Sequence[str], gap: int, part: int = 86_400_000_000) -> DataFrame:
+    """Islands of intervals (start, end): those that begin at most gap after the furthest end so far are one. Columns keys, start, end, n. part: length of time whose rows of a key are ordered together."""
+    order = ["start", "end"]
+    seen = running(df.withColumn("_part", F.floor(F.col("start") / part)), keys, "_part", order, "_reach", "end", own=False)
+    seen = seen.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + gap), 1).otherwise(0))
+    island = running(seen, keys, "_part", order, "_island", "_new", "sum")
     return island.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("_island")
 
 

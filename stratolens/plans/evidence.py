@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import vectors as V
-from ..operators import clusters, intervals as I, merging as M
+from ..operators import clusters, intervals as I, merging as M, ordered as O
 from .base import Tables, query
 from .intervals import HOUR, ev
 from .search import SQL_LEDGER, _all, checks
@@ -148,9 +148,8 @@ SELECT source, len(kept) AS picked, list_sum(list_transform(kept, lambda y: y.n)
 def extractive_summary_greedy(t: Tables):
     """Of a source's twelve longest texts, in order, those that don't begin like one already picked and still fit in 30 000 characters."""
     order = (F.col("n_chars").desc(), F.col("doc_id"))
-    d = t.documents.select("source", "doc_id", "n_chars", F.substring("text", 1, 20).alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part"))
-    d = d.withColumn("r", F.row_number().over(W.partitionBy("source", "part").orderBy(*order))).filter("r <= 12")
-    d = d.withColumn("r", F.row_number().over(W.partitionBy("source").orderBy(*order))).filter("r <= 12")
+    d = t.documents.select("source", "doc_id", "n_chars", F.substring("text", 1, 20).alias("h"))
+    d = O.top_per_group(d, ["source"], 12, order, "doc_id", "r")
     g = d.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("r", F.col("doc_id").alias("i"), F.col("n_chars").alias("n"), "h"))).alias("s"))
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, y: s + y["n"])
     step = lambda a, x: F.when((F.size(a) > 0) & (F.exists(a, lambda y: y["h"] == x["h"]) | (total(a) + x["n"] > 30_000)), a).otherwise(F.concat(a, F.array(x)))

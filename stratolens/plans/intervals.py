@@ -4,26 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..operators import intervals as I
+from ..operators import intervals as I, ordered as O
 from .base import Tables, query
 
 S, MIN, HOUR = 1_000_000, 60_000_000, 3_600_000_000
 EV = "(SELECT event_id, user_id, event_type, value, props, epoch_us(ts) AS t_at FROM events)"
 
 
-def by_user():
-    return W.partitionBy("user_id").orderBy("at", "event_id")
+ORDER = ["at", "event_id"]
 
 
 def ev(t: Tables):
     return t.events.select("event_id", "user_id", "event_type", "value", "props", I.micros(F.col("ts")).alias("at"))
 
 
+def beside(t: Tables, **columns):
+    """Events with columns of the user's event before or after."""
+    return O.neighbours(ev(t).withColumn("day", F.floor(F.col("at") / (24 * HOUR))), ["user_id"], "day", ORDER, **columns)
+
+
 SQL_LEAD = f"(SELECT event_id, user_id, event_type, t_at AS start, lead(t_at) OVER (PARTITION BY user_id ORDER BY t_at, event_id) AS \"end\" FROM {EV})"
 
 
 def leads(t: Tables):
-    return ev(t).select("event_id", "user_id", "event_type", F.col("at").alias("start"), F.lead("at").over(by_user()).alias("end"))
+    return beside(t, end=("at", 1)).select("event_id", "user_id", "event_type", F.col("at").alias("start"), "end")
 
 
 @query(f'SELECT event_id, user_id, start, "end", "end" - start AS length FROM {SQL_LEAD} WHERE "end" IS NOT NULL')
@@ -49,7 +53,7 @@ def gap_coalesce_sessions(t: Tables):
 
 @query(f"""SELECT user_id, before AS start, start AS "end" FROM (SELECT user_id, start, lag("end") OVER (PARTITION BY user_id ORDER BY start) AS before FROM {SQL_ISLANDS}) WHERE start - before >= {HOUR}""")
 def interval_complement(t: Tables):
-    gaps = islands(t).withColumn("before", F.lag("end").over(W.partitionBy("user_id").orderBy("start")))
+    gaps = O.neighbours(islands(t).withColumn("day", F.floor(F.col("start") / (24 * HOUR))), ["user_id"], "day", ["start"], before=("end", -1))
     return gaps.filter(F.col("start") - F.col("before") >= HOUR).select("user_id", F.col("before").alias("start"), F.col("start").alias("end"))
 
 
@@ -111,7 +115,7 @@ def point_in_interval_top3(t: Tables):
 @query(f"""WITH m AS (SELECT user_id, event_id, event_type, t_at, lag(t_at) OVER w AS before, lead(t_at) OVER w AS after FROM {EV} WINDOW w AS (PARTITION BY user_id ORDER BY t_at, event_id))
 SELECT event_id, t_at - before <= {10 * MIN} OR after - t_at <= {10 * MIN} AS near_boundary FROM m WHERE event_type = 'error'""")
 def shot_boundary_proximity(t: Tables):
-    m = ev(t).withColumn("before", F.lag("at").over(by_user())).withColumn("after", F.lead("at").over(by_user())).filter("event_type = 'error'")
+    m = beside(t, before=("at", -1), after=("at", 1)).filter("event_type = 'error'")
     return m.select("event_id", ((F.col("at") - F.col("before") <= 10 * MIN) | (F.col("after") - F.col("at") <= 10 * MIN)).alias("near_boundary"))
 
 
@@ -138,7 +142,7 @@ def temporal_validity_join(t: Tables):
 
 @query(f"""SELECT event_id, lag(event_type) OVER w AS before, lead(event_type) OVER w AS after, coalesce(lag(event_type) OVER w = event_type, FALSE) AS repeats FROM {EV} WINDOW w AS (PARTITION BY user_id ORDER BY t_at, event_id)""")
 def neighbour_context(t: Tables):
-    e = ev(t).withColumn("before", F.lag("event_type").over(by_user())).withColumn("after", F.lead("event_type").over(by_user()))
+    e = beside(t, before=("event_type", -1), after=("event_type", 1))
     return e.select("event_id", "before", "after", F.coalesce(F.col("before") == F.col("event_type"), F.lit(False)).alias("repeats"))
 
 
@@ -197,11 +201,7 @@ SQL_LAST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_typ
 
 
 def last_250(t: Tables):
-    """The last 250 rows of each type, by way of the last 250 of each of 64 parts, so no type's rows all meet."""
-    order = (F.col("at").desc(), F.col("event_id").desc())
-    e = ev(t).withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(64)))
-    e = e.withColumn("back", F.row_number().over(W.partitionBy("event_type", "part").orderBy(*order))).filter("back <= 250")
-    return e.withColumn("back", F.row_number().over(W.partitionBy("event_type").orderBy(*order))).filter("back <= 250")
+    return O.top_per_group(ev(t), ["event_type"], 250, [F.col("at").desc(), F.col("event_id").desc()], "event_id", "back")
 
 
 @query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM {SQL_LAST})
@@ -225,7 +225,8 @@ def latest_events(t: Tables):
 
 @query(f"""SELECT event_id, user_id, round(max(value) OVER (PARTITION BY user_id ORDER BY t_at, event_id ROWS UNBOUNDED PRECEDING), 6) AS progress FROM {EV}""")
 def running_max_progress(t: Tables):
-    return ev(t).select("event_id", "user_id", F.round(F.max("value").over(by_user().rowsBetween(W.unboundedPreceding, 0)), 6).alias("progress"))
+    e = O.running(ev(t).withColumn("day", F.floor(F.col("at") / (24 * HOUR))), ["user_id"], "day", ORDER, "best", "value")
+    return e.select("event_id", "user_id", F.round("best", 6).alias("progress"))
 
 
 @query(f"""WITH s AS (SELECT user_id, arg_max(event_type, (t_at, event_id)) AS status, max(t_at) AS t_at, user_id % 7 AS stage FROM {EV} GROUP BY user_id)
@@ -276,7 +277,7 @@ def fixed_window_counter(t: Tables):
 
 @query(f"SELECT user_id, round(avg(d), 6) AS mean_change, round(max(d), 6) AS most FROM (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY t_at, event_id)) AS d FROM {EV}) GROUP BY user_id")
 def frame_motion_avg_diff(t: Tables):
-    d = ev(t).select("user_id", F.abs(F.col("value") - F.lag("value").over(by_user())).alias("d"))
+    d = beside(t, before=("value", -1)).select("user_id", F.abs(F.col("value") - F.col("before")).alias("d"))
     return d.groupBy("user_id").agg(F.round(F.avg("d"), 6).alias("mean_change"), F.round(F.max("d"), 6).alias("most"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X, vectors as V
-from ..operators import vector_search as R
+from ..operators import ordered as O, vector_search as R
 from .base import Tables, query
 
 TERMS = ("the", "with", "that", "was")
@@ -107,13 +107,9 @@ def segment_scores(t: Tables):
 a AS (SELECT source, round(sum(score), 6) AS asset_score FROM s GROUP BY source ORDER BY 2 DESC, 1 LIMIT 10)
 SELECT s.source, asset_score, doc_id, rank, round(score, 6) AS score FROM s JOIN a USING (source)""")
 def segment_score_nested_topk(t: Tables):
-    # The rank of a row in its source, from two levels: only five rows of each of 64 parts of a source meet.
-    part = W.partitionBy("source", "part").orderBy(F.col("score").desc(), "doc_id")
-    some = segment_scores(t).filter("hits > 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
-    some = some.withColumn("rank", F.row_number().over(part)).filter("rank <= 5")
-    five = some.withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy(F.col("score").desc(), "doc_id"))).filter("rank <= 5")
+    five = O.top_per_group(segment_scores(t).filter("hits > 0"), ["source"], 5, [F.col("score").desc(), F.col("doc_id")], "doc_id")
     assets = R.top(five.groupBy("source").agg(F.round(F.sum("score"), 6).alias("asset_score")), 10, F.col("asset_score").desc(), F.col("source"))
-    return five.join(assets, "source").select("source", "asset_score", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return five.join(assets, "source").select("source", "asset_score", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""SELECT source, count(*) AS segments, count(*) FILTER (hits > 0) AS matched, round(24 * max(hits) + sum(3 * hits) / count(*) + max(score), 6) AS score FROM {SQL_SEGMENT} GROUP BY source""")
@@ -214,12 +210,16 @@ def search_inclusion(t: Tables):
 k AS (SELECT *, a <= 2 OR z <= 2 AS fixed FROM r), s AS (SELECT *, row_number() OVER (PARTITION BY source, fixed ORDER BY score DESC, doc_id) AS b FROM k),
 p AS (SELECT * FROM s WHERE fixed OR b <= 4) SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM p""")
 def representative_sampling(t: Tables):
-    s = segment_scores(t)
-    by = W.partitionBy("source")
-    r = s.withColumn("a", F.row_number().over(by.orderBy("doc_id"))).withColumn("z", F.row_number().over(by.orderBy(F.col("doc_id").desc())))
-    r = r.withColumn("fixed", (F.col("a") <= 2) | (F.col("z") <= 2))
-    r = r.withColumn("b", F.row_number().over(W.partitionBy("source", "fixed").orderBy(F.col("score").desc(), "doc_id"))).filter("fixed or b <= 4")
-    return r.select("source", "doc_id", F.row_number().over(by.orderBy("doc_id")).cast("long").alias("place"))
+    """The first two and last two texts of a source and the four best of the others."""
+    s = segment_scores(t).select("source", "doc_id", "score")
+    first = O.top_per_group(s, ["source"], 2, [F.col("doc_id")], "doc_id")
+    last = O.top_per_group(s, ["source"], 2, [F.col("doc_id").desc()], "doc_id")
+    ends = first.union(last).select("source", "doc_id").distinct()
+    # The four best besides at most four: the eight best of all hold them.
+    best = O.top_per_group(s, ["source"], 8, [F.col("score").desc(), F.col("doc_id")], "doc_id").join(ends, ["source", "doc_id"], "left_anti")
+    best = best.withColumn("b", F.row_number().over(W.partitionBy("source").orderBy(F.col("score").desc(), "doc_id"))).filter("b <= 4")
+    place = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
+    return ends.union(best.select("source", "doc_id")).select("source", "doc_id", place.cast("long").alias("place"))
 
 
 @query("""WITH q AS (SELECT * FROM (SELECT doc_id, max(quality) + CASE WHEN max(toxic) = 0 THEN 1 ELSE 0 END AS rel FROM labels GROUP BY doc_id)),
@@ -229,14 +229,16 @@ round(sum(CASE WHEN rank <= 10 THEN (power(2, rel) - 1) / log2(rank + 1) ELSE 0
 def ndcg_mrr_eval(t: Tables):
     rel = t.labels.groupBy("doc_id").agg((F.max("quality") + F.when(F.max("toxic") == 0, 1).otherwise(0)).alias("rel"))
     d = t.documents.select("doc_id", "source", "n_chars").join(rel, "doc_id")
-    by = W.partitionBy("source")
-    r = d.withColumn("rank", F.row_number().over(by.orderBy(F.col("n_chars").desc(), "doc_id"))).withColumn("ideal", F.row_number().over(by.orderBy(F.col("rel").desc(), "doc_id")))
-    gain = lambda c: F.sum(F.when(F.col(c) <= 10, (F.pow(F.lit(2.0), "rel") - 1) / F.log2(F.col(c) + 1)).otherwise(0.0))
-    return r.groupBy("source").agg(
-        F.max(F.when((F.col("rank") <= 5) & (F.col("rel") > 0), 1).otherwise(0)).alias("hit_at_5"),
-        F.round(F.coalesce(1 / F.min(F.when(F.col("rel") > 1, F.col("rank"))), F.lit(0.0)), 4).alias("rr"),
-        F.round(gain("rank") / F.greatest(F.lit(1e-9), gain("ideal")), 4).alias("ndcg_at_10"),
-    )
+    gain = lambda c: F.sum((F.pow(F.lit(2.0), "rel") - 1) / F.log2(F.col(c) + 1))
+    key = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").alias("d"))
+    real = O.top_per_group(d, ["source"], 10, [F.col("n_chars").desc(), F.col("doc_id")], "doc_id")
+    real = real.groupBy("source").agg(F.max(F.when((F.col("rank") <= 5) & (F.col("rel") > 0), 1).otherwise(0)).alias("hit_at_5"), gain("rank").alias("dcg"))
+    ideal = O.top_per_group(d, ["source"], 10, [F.col("rel").desc(), F.col("doc_id")], "doc_id").groupBy("source").agg(gain("rank").alias("best"))
+    # The rank of the first relevant text is the number of texts up to it.
+    relevant = d.filter("rel > 1").groupBy("source").agg(F.min(key).alias("first"))
+    rank = d.join(relevant, "source").filter(key <= F.col("first")).groupBy("source").agg(F.count("*").alias("first_rank"))
+    out = real.join(ideal, "source").join(rank, "source", "left")
+    return out.select("source", "hit_at_5", F.round(F.coalesce(1 / F.col("first_rank"), F.lit(0.0)), 4).alias("rr"), F.round(F.col("dcg") / F.greatest(F.lit(1e-9), F.col("best")), 4).alias("ndcg_at_10"))
 
 
 SQL_PAIRS = f"(SELECT conv_id, turn, {NORM} AS a, lag({NORM}) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)"
@@ -249,8 +251,8 @@ o AS (SELECT conv_id, turn, sum(least(x.n, y.n)) AS o FROM x JOIN y USING (conv_
 s AS (SELECT conv_id, turn, coalesce(2 * o / greatest(1, greatest(0, length(a) - 1) + greatest(0, length(b) - 1)), 0) AS s FROM p LEFT JOIN o USING (conv_id, turn))
 SELECT conv_id, turn, round(s, 4) AS similarity, CASE WHEN s >= 0.82 THEN 'match' WHEN s >= 0.58 THEN 'review' ELSE 'mismatch' END AS status FROM s""")
 def dice_bigram_compare(t: Tables):
-    w = W.partitionBy("conv_id").orderBy("turn")
-    p = t.conversations.withColumn("a", X.normalised(F.col("text"))).withColumn("b", F.lag("a").over(w)).filter("b is not null").select("conv_id", "turn", "a", "b")
+    c = t.conversations.select("conv_id", "turn", X.normalised(F.col("text")).alias("a"), F.floor(F.col("turn") / 256).alias("part"))
+    p = O.neighbours(c, ["conv_id"], "part", ["turn"], b=("a", -1)).filter("b is not null").select("conv_id", "turn", "a", "b")
     grams = lambda c: F.transform(F.when(F.length(c) > 1, F.sequence(F.lit(1), F.length(c) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(F.col(c), i, F.lit(2)))
     both = p.select("conv_id", "turn", F.explode(F.array(F.struct(F.lit("x").alias("side"), grams("a").alias("g")), F.struct(F.lit("y").alias("side"), grams("b").alias("g")))).alias("s"))
     n = both.select("conv_id", "turn", "s.side", F.explode("s.g").alias("g")).groupBy("conv_id", "turn", "g").agg(F.count_if(F.col("side") == "x").alias("x"), F.count_if(F.col("side") == "y").alias("y"))
