@@ -1,6 +1,6 @@
 """The queries of the evidence engine by name, and their SQL."""
 
-from . import catalog, evidence, intervals, search, stats, streams
+from . import catalog, evidence, intervals, projections, search, stats, streams
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "evidence", "intervals", "search", "stats", "streams"]
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "evidence", "intervals", "projections", "search", "stats", "streams"]
