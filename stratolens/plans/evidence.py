@@ -17,12 +17,12 @@ DAY = 24 * HOUR
 s AS (SELECT vec_id, identity, max(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(k.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(k.embedding AS DOUBLE[]), CAST(k.embedding AS DOUBLE[]))))) AS s FROM embeddings e, k GROUP BY ALL)
 SELECT vec_id, arg_max(identity, (s, -identity)) AS identity, round(max(s), 6) AS similarity FROM s GROUP BY vec_id HAVING max(s) >= 0.5""")
 def gallery_match(t: Tables):
-    """The gallery has the first three vectors of each identity; identities are few, so it is sent to all tasks in one array."""
+    """The gallery, the first three vectors of each identity, is one row; each vector is held against it in place."""
     e = t.embeddings.select("vec_id", "label", "embedding")
-    g = e.withColumn("r", F.row_number().over(W.partitionBy("label").orderBy("vec_id"))).filter("r <= 3").select(F.col("label").alias("identity"), F.col("embedding").alias("g"))
-    s = e.crossJoin(F.broadcast(g.limit(10_000))).withColumn("s", V.cosine(F.col("embedding"), F.col("g")))
-    b = s.groupBy("vec_id").agg(F.max(F.struct("s", (-F.col("identity")).alias("i"))).alias("b")).filter("b.s >= 0.5")
-    return b.select("vec_id", (-F.col("b.i")).alias("identity"), F.round("b.s", 6).alias("similarity"))
+    g = O.top_per_group(e, ["label"], 3, [F.col("vec_id")], "vec_id").agg(F.collect_list(F.struct(F.col("label").alias("i"), F.col("embedding").alias("v"))).alias("gallery"))
+    close = F.transform("gallery", lambda x: F.struct(V.cosine(F.col("embedding"), x["v"]).alias("s"), (-x["i"]).alias("i")))
+    s = e.crossJoin(F.broadcast(g)).select("vec_id", F.array_max(close).alias("b")).filter("b.s >= 0.5")
+    return s.select("vec_id", (-F.col("b.i")).alias("identity"), F.round("b.s", 6).alias("similarity"))
 
 
 @query("""WITH e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 3600000000 AS cell, minute(ts) / 60 AS m FROM events)
