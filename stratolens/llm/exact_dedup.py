@@ -125,6 +125,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = pieces.groupBy("t").agg(F.sum("n").alias("all_n"), F.count("*").alias("pieces"), F.min(F.struct(-F.col("cp"), F.col("keep").isNull(), "keep", "run")).alias("best"))
     f_run, f_keep, f_best, f_n = fresh(found, "f_run", "f_keep", "f_best", "f_n")
     fixed = pieces.join(groups.filter("pieces > 1"), "t").select(F.col("run").alias(f_run), F.col("best.keep").alias(f_keep), F.col("best.run").alias(f_best), F.col("all_n").alias(f_n))
+    # Stored, so its size is known before the join: small unless there are very many partitions.
+    fixed = stored(fixed, "exact-dedup-edges")
     moved = F.col(f_run).isNotNull()
     return found.join(fixed, F.col(run) == F.col(f_run), "left").select(
         id_col,
