@@ -93,3 +93,27 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+s1 AS (SELECT *, 1 + (rank - 1) % 3 AS w, 3 * source_size AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s0),
+f AS (SELECT 0 AS round, [0::BIGINT][1:0] AS capped UNION ALL
+      SELECT round + 1, (SELECT list(rank) FROM s1 WHERE list_contains(f.capped, rank) OR cap * (SELECT sum(w) FROM s1 WHERE NOT list_contains(f.capped, rank)) <= w * (total - coalesce((SELECT sum(cap) FROM s1 WHERE list_contains(f.capped, rank)), 0)))
+      FROM f WHERE round < 30),
+k AS (SELECT coalesce(capped, []) AS capped FROM f ORDER BY round DESC LIMIT 1),
+s2 AS (SELECT s1.*, list_contains(capped, rank) AS capped FROM s1, k),
+s3 AS (SELECT *, CAST(total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER () AS BIGINT) AS open_words, CAST(sum(CASE WHEN capped THEN 0 ELSE w END) OVER () AS BIGINT) AS all_w FROM s2),
+s4 AS (SELECT *, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE CAST(w * open_words AS DOUBLE) / all_w END AS target, least(4096, greatest(1, CAST(ceil(source_size / 32768) AS BIGINT))) AS n_shards FROM s3),
+q0 AS (SELECT rank, w / (2 * unnest(range(1, CAST(ceil(cap / 32) AS BIGINT) + 1)) - 1) AS quotient, CAST(round(open_words / 32) AS BIGINT) AS seats FROM s4 WHERE NOT capped),
+q1 AS (SELECT rank, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, rank) AS place FROM q0) WHERE place <= seats GROUP BY rank),
+s AS (SELECT s4.*, coalesce(quota, 0) AS quota FROM s4 LEFT JOIN q1 USING (rank)),
+x AS (SELECT d.*, source_size, target, capped, rank, quota, CAST('0x' || substr(key, 1, 8) AS BIGINT) % n_shards AS shard FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source),
+h AS (SELECT rank, shard, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS w, any_value(capped) AS capped, any_value(quota) AS quota, CAST(ceil(sum(size) / 32) AS BIGINT) AS blocks FROM x GROUP BY rank, shard HAVING sum(size) > 0),
+v AS (SELECT rank, shard, count(*) AS won FROM (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY quotient DESC, shard) AS place FROM (SELECT rank, shard, quota, w / (2 * unnest(range(1, 3 * blocks + 1)) - 1) AS quotient FROM h WHERE NOT capped)) WHERE place <= quota GROUP BY rank, shard),
+g AS (SELECT h.rank, h.shard, blocks, CASE WHEN capped THEN 3 * blocks ELSE coalesce(won, 0) END AS take, CAST('0x' || substr(md5('0:' || coalesce(source, '') || '/' || CAST(h.shard AS VARCHAR)), 1, 8) AS BIGINT) % blocks AS start_block FROM h LEFT JOIN v USING (rank, shard)),
+o AS (SELECT *, CAST(sum(size) OVER (PARTITION BY rank, shard ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS z FROM x),
+y AS (SELECT o.*, z - size AS a, blocks, take // blocks AS rounds, take % blocks AS run, start_block FROM o LEFT JOIN g USING (rank, shard))
+SELECT doc_id, size, source_size, target, CAST(coalesce(rounds * size + greatest(0, least(z, (start_block + run) * 32) - greatest(a, start_block * 32)) + greatest(0, least(z, (start_block + run - blocks) * 32) - a), 0) AS BIGINT) AS taken FROM y
+"""

@@ -15,6 +15,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLE_SQL = {
+    "op8_mix_sources": mixing.OP8_SQL,
     "op3_ngram_join": ngram_join.OP3_SQL,
     "op4_license_scan": licenses.OP4_SQL,
     "op5_warc_chunks": warc.OP5_SQL,
