@@ -13,15 +13,22 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "has", "have", "what", "when", "where", "which", "who", "how", "about", "into", "find", "show", "video", "videos", "clip", "clips", "scene", "scenes")
 
 
+def unmarked(text: Column) -> Column:
+    """Lower case, without marks; plain ASCII needs no look-up of its letters."""
+    low = F.lower(text)
+    return F.when(F.octet_length(text) == F.length(text), low).otherwise(F.translate(low, MARKED, PLAIN))
+
+
 def normalised(text: Column) -> Column:
     """Lower case, without marks, single blanks."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), "[ \\t\\n\\r]+", " "))
+    return F.trim(F.regexp_replace(unmarked(text), "[ \\t\\n\\r]+", " "))
 
 
 def terms(text: Column) -> Column:
     """Tokens of a-z, 0-9 and inner hyphens."""
-    bare = F.regexp_replace(normalised(text), "[^a-z0-9 -]+", " ")
-    return F.filter(F.transform(F.split(bare, " +"), lambda t: F.regexp_replace(t, "^-+|-+$", "")), lambda t: t != "")
+    bare = F.regexp_replace(unmarked(text), "[^a-z0-9-]+", " ")
+    inner = F.regexp_replace(bare, "(?<![a-z0-9])-+|-+(?![a-z0-9])", "")
+    return F.array_remove(F.split(inner, " "), "")
 
 
 def keywords(text: Column, most: int = 24) -> Column:
