@@ -2,15 +2,114 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import vectors
+from . import ordered
+
+#: Rows of a block, on average; rows of the queries' block whose cosines are held at once; pairs recomputed at once.
+BLOCK, CHUNK, PAIRS = 4096, 256, 65_536
+#: More than a matrix product and a sum in order can differ by.
+SLACK = 1e-9
+
+
+def _matrix(a: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of doubles, with their lengths; a missing vector is zero."""
+    rows = a.to_pylist() if a.null_count else None
+    if rows is None:
+        m = a.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(a), -1)
+    else:
+        dims = max((len(x) for x in rows if x is not None), default=1)
+        m = np.array([np.zeros(dims) if x is None else x for x in rows], float)
+    n = np.sqrt((m * m).sum(1))
+    return m, np.where(n == 0, 1.0, n)
+
+
+def _blocks(queries: DataFrame, rows: DataFrame, pick: _Top | _Within, schema: str, extra: Sequence[str]) -> DataFrame:
+    """Every query (query_id, q) against every row (id, v, bonus and extra): each block of queries meets each block of rows in one group. pick gets cosines of some queries and the rows of a block, and gives the pairs of interest; those are recomputed as a sum over the vector alone, so that equal vectors tie."""
+    n_q, n_r = (max(1, -(-df.count() // BLOCK)) for df in (queries, rows.select("id")))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("query_id", "q", part("query_id", n_q).alias("_qb")).withColumn("_rb", each(n_r))
+    right = rows.withColumn("_rb", part("id", n_r)).withColumn("_qb", each(n_q))
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        found: list[pa.Table] = []
+        if a.num_rows and b.num_rows:
+            q, q_len = _matrix(a["q"])
+            r, r_len = _matrix(b["v"])
+            q_id, r_id, bonus = a["query_id"].to_numpy(), b["id"].to_numpy(), b["bonus"].to_numpy()
+            for at in range(0, len(q), CHUNK):
+                z = at + CHUNK
+                i, j = pick.near((q[at:z] @ r.T) / (q_len[at:z, None] * r_len), bonus)
+                i = i + at
+                cos = np.empty(len(i))
+                for k in range(0, len(i), PAIRS):
+                    x, y = i[k : k + PAIRS], j[k : k + PAIRS]
+                    cos[k : k + PAIRS] = (q[x] * r[y]).sum(1) / (q_len[x] * r_len[y])
+                keep = pick.best(q_id[i], r_id[j], cos, bonus[j], b, j)
+                i, j, cos = i[keep], j[keep], cos[keep]
+                found.append(pa.table({"query_id": q_id[i], "id": r_id[j], "cosine": cos, "score": pick.weight * cos + bonus[j], **{c: b[c].take(pa.array(j)) for c in extra}}).select(names))
+        return pa.concat_tables(found) if found else pa.table({c: pa.array([], t) for c, t in zip(names, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[b.schema.field(c).type for c in extra]])})
+
+    return left.groupBy("_qb", "_rb").cogroup(right.groupBy("_qb", "_rb")).applyInArrow(meet, schema)
+
+
+class _Top:
+    """The best k rows a query, the smaller id first among equals."""
+
+    def __init__(self, k: int, weight: float):
+        self.k, self.weight = k, weight
+
+    def near(self, cos, bonus):
+        s = self.weight * cos + bonus
+        if self.k < s.shape[1]:
+            return np.nonzero(s >= np.partition(s, -self.k, axis=1)[:, -self.k][:, None] - SLACK)
+        return np.nonzero(np.ones_like(s, bool))
+
+    def best(self, q, r, cos, bonus, b, j):
+        order = np.lexsort((r, -(self.weight * cos + bonus), q))
+        first = np.flatnonzero(np.r_[True, np.diff(q[order]) != 0]) if len(q) else np.array([], int)
+        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+        return order[rank < self.k]
+
+
+class _Within:
+    """All rows with a cosine of at least `least`, and those whose bonus isn't 0."""
+
+    weight = 1.0
+
+    def __init__(self, least: float):
+        self.least = least
+
+    def near(self, cos, bonus):
+        return np.nonzero((cos >= self.least - SLACK) | (bonus != 0))
+
+    def best(self, q, r, cos, bonus, b, j):
+        return np.flatnonzero((cos >= self.least) | (bonus != 0))
+
+
+def _schema(rows: DataFrame, extra: Sequence[str]) -> str:
+    return ", ".join(["query_id long", "id long", "cosine double", "score double", *[f"{c} {rows.schema[c].dataType.simpleString()}" for c in extra]])
+
+
+def _rows(rows: DataFrame, bonus: Column | None, extra: Sequence[str]) -> DataFrame:
+    return rows.select("id", "v", (F.lit(0.0) if bonus is None else bonus.cast("double")).alias("bonus"), *extra)
+
+
+def top_per_query(queries: DataFrame, rows: DataFrame, k: int, extra: Sequence[str] = (), weight: float = 1.0, bonus: Column | None = None, name: str = "rank") -> DataFrame:
+    """query_id, id, cosine, score, extra and the rank: the best k rows of each query by score (weight x cosine + bonus), then id."""
+    found = _blocks(queries, _rows(rows, bonus, extra), _Top(k, weight), _schema(rows, extra), extra)
+    return ordered.top_per_group(found, ["query_id"], k, [F.col("score").desc(), F.col("id")], "id", name)
 
 
-def against(vectors_df: DataFrame, query_id: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Each row with the cosine to one row's vector. The query is one row, so it is broadcast."""
-    q = vectors_df.filter(F.col(id_col) == query_id).orderBy(id_col).limit(1).select(F.col(vec_col).alias("q"))
-    return vectors_df.crossJoin(F.broadcast(q)).withColumn("cosine", vectors.cosine(F.col(vec_col), F.col("q"))).drop("q")
+def within(queries: DataFrame, rows: DataFrame, least: float, also: Column, extra: Sequence[str] = ()) -> DataFrame:
+    """query_id, id, cosine, extra: the rows within a cosine of each query, and for every query those that `also` holds for. A row without a vector has cosine 0."""
+    return _blocks(queries, _rows(rows, also.cast("int"), extra), _Within(least), _schema(rows, extra), extra).drop("score")
 
 
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -23,16 +122,19 @@ def ranked(df: DataFrame, k: int, score: str, tie: str, name: str) -> DataFrame:
     return best.withColumn(name, F.row_number().over(W.orderBy(F.col(score).desc(), F.col(tie))))
 
 
-def fused(vector: DataFrame, lexical: DataFrame, key: str, k: int, vector_share: float = 0.86, lexical_share: float = 0.14, constant: int = 60) -> DataFrame:
-    """Full-outer merge of two ranked lists (vec_score, vec_rank; lex_score, lex_rank): weighted scores plus reciprocal ranks."""
-    both = vector.join(lexical, key, "full")
+def fused(vector: DataFrame, lexical: DataFrame, key: str, k: int, vector_share: float = 0.86, lexical_share: float = 0.14, constant: int = 60, per: Sequence[str] = ()) -> DataFrame:
+    """Full-outer merge of two ranked lists (vec_score, vec_rank; lex_score, lex_rank), of each query with `per`: weighted scores plus reciprocal ranks."""
+    both = vector.join(lexical, [*per, key], "full")
     reciprocal = lambda c: F.coalesce(1 / (constant + F.col(c)), F.lit(0.0))
     score = vector_share * F.coalesce("vec_score", F.lit(0.0)) + lexical_share * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("lex_score", F.lit(0.0)))) + reciprocal("vec_rank") + reciprocal("lex_rank")
-    return top(both.withColumn("score", F.round(score, 6)), k, F.col("score").desc(), F.col(key))
+    both = both.withColumn("score", F.round(score, 6))
+    if per:
+        return ordered.top_per_group(both, per, k, [F.col("score").desc(), F.col(key)], key).drop("rank")
+    return top(both, k, F.col("score").desc(), F.col(key))
 
 
-def collapsed(hits: DataFrame, cluster: str, key: str, score: str) -> DataFrame:
-    """The best hit of each cluster, raised a little by the cluster's size and its hits: least(.04, log2(size + 1) / 100) + least(.02, (hits - 1) * .004)."""
-    g = hits.groupBy(cluster).agg(F.max(F.struct(F.col(score), (-F.col(key)).alias("k"))).alias("best"), F.count("*").alias("support"), F.max("cluster_size").alias("size"))
+def collapsed(hits: DataFrame, cluster: str, key: str, score: str, per: Sequence[str] = ()) -> DataFrame:
+    """The best hit of each cluster (of each query with `per`), raised a little by the cluster's size and its hits: least(.04, log2(size + 1) / 100) + least(.02, (hits - 1) * .004)."""
+    g = hits.groupBy(*per, cluster).agg(F.max(F.struct(F.col(score), (-F.col(key)).alias("k"))).alias("best"), F.count("*").alias("support"), F.max("cluster_size").alias("size"))
     boost = F.least(F.lit(0.04), F.log2(F.greatest(F.lit(1), F.col("size")) + 1) * 0.01) + F.least(F.lit(0.02), (F.col("support") - 1) * 0.004)
-    return g.select(F.col(cluster), (-F.col("best.k")).alias(key), "support", F.round(F.col(f"best.{score}") + boost, 6).alias("score"))
+    return g.select(*per, F.col(cluster), (-F.col("best.k")).alias(key), "support", F.round(F.col(f"best.{score}") + boost, 6).alias("score"))

@@ -9,6 +9,7 @@ from ..operators import ordered as O, vector_search as R
 from .base import Tables, query
 
 TERMS = ("the", "with", "that", "was")
+#: The SQL's query; the queries take all of queries().
 QUERY_ID = 7
 MARKS = f"translate(lower(text), '{X.MARKED}', '{X.PLAIN}')"
 NORM = f"trim(regexp_replace({MARKS}, '[ \\t\\n\\r]+', ' ', 'g'))"
@@ -26,6 +27,15 @@ def hits(t: Tables):
     return t.documents.select("doc_id", "source", "lang", "n_chars", X.lexical_hits(X.terms(F.col("text")), TERMS).alias("hits"))
 
 
+def queries(t: Tables):
+    """The vectors that searches are made for."""
+    return t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+def vectors(t: Tables):
+    return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+
+
 @query(f"""
 WITH c AS {SQL_COSINE}, h AS {SQL_HITS},
 v AS (SELECT *, row_number() OVER (ORDER BY vec_score DESC, doc_id) AS vec_rank FROM (SELECT vec_id AS doc_id, cosine AS vec_score FROM c ORDER BY 2 DESC, 1 LIMIT 150)),
@@ -34,15 +44,16 @@ b AS (SELECT doc_id, vec_score, vec_rank, lex_score, lex_rank,
    round(0.86 * coalesce(vec_score, 0) + 0.14 * least(1, greatest(0, coalesce(lex_score, 0))) + coalesce(1 / (60 + vec_rank), 0) + coalesce(1 / (60 + lex_rank), 0), 6) AS score FROM v FULL JOIN l USING (doc_id))
 SELECT doc_id, round(vec_score, 6) AS vec_score, vec_rank, lex_score, lex_rank, score FROM b ORDER BY score DESC, doc_id LIMIT 25""", vec_rank="INTEGER", lex_rank="INTEGER")
 def hybrid_search_topk(t: Tables):
-    vec = R.against(t.embeddings, QUERY_ID).select(F.col("vec_id").alias("doc_id"), F.col("cosine").alias("vec_score"))
+    vec = R.top_per_query(queries(t), vectors(t), 150, name="vec_rank").select("query_id", F.col("id").alias("doc_id"), F.col("cosine").alias("vec_score"), F.col("vec_rank").cast("int").alias("vec_rank"))
     lex = hits(t).filter("hits > 0").select("doc_id", (F.col("hits") / len(TERMS)).alias("lex_score"))
-    out = R.fused(R.ranked(vec, 150, "vec_score", "doc_id", "vec_rank"), R.ranked(lex, 150, "lex_score", "doc_id", "lex_rank"), "doc_id", 25)
-    return out.select("doc_id", F.round("vec_score", 6).alias("vec_score"), "vec_rank", "lex_score", "lex_rank", "score")
+    lex = R.ranked(lex, 150, "lex_score", "doc_id", "lex_rank")  # the same 150 rows for every query
+    out = R.fused(vec, queries(t).select("query_id").crossJoin(F.broadcast(lex)), "doc_id", 25, per=["query_id"])
+    return out.select("query_id", "doc_id", F.round("vec_score", 6).alias("vec_score"), "vec_rank", "lex_score", "lex_rank", "score")
 
 
 @query(f"SELECT vec_id, label, round(1 - cosine, 6) AS distance FROM {SQL_COSINE} ORDER BY cosine DESC, vec_id LIMIT 25")
 def cosine_topk(t: Tables):
-    return R.top(R.against(t.embeddings, QUERY_ID), 25, F.col("cosine").desc(), F.col("vec_id")).select("vec_id", "label", F.round(1 - F.col("cosine"), 6).alias("distance"))
+    return R.top_per_query(queries(t), vectors(t), 25, ["label"]).select("query_id", F.col("id").alias("vec_id"), "label", F.round(1 - F.col("cosine"), 6).alias("distance"))
 
 
 @query(f"""SELECT c.vec_id, d.source, round(greatest(0, cosine), 3) AS similarity FROM {SQL_COSINE} c JOIN documents d ON d.doc_id = c.vec_id
@@ -50,8 +61,8 @@ JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(toxic) = 0 AND max(qu
 def visual_topk_filtered(t: Tables):
     clean = t.labels.groupBy("doc_id").agg(F.max("toxic").alias("t"), F.max("quality").alias("q")).filter("t = 0 and q = 1").select("doc_id")
     docs = t.documents.filter("lang = 'en'").select("doc_id", "source").join(clean, "doc_id", "left_semi")
-    found = R.against(t.embeddings, QUERY_ID).join(docs, F.col("vec_id") == F.col("doc_id"))
-    return R.top(found, 40, F.col("cosine").desc(), F.col("vec_id")).select("vec_id", "source", F.round(F.greatest(F.lit(0.0), "cosine"), 3).alias("similarity"))
+    found = vectors(t).join(docs, F.col("id") == F.col("doc_id"))
+    return R.top_per_query(queries(t), found, 40, ["source"]).select("query_id", F.col("id").alias("vec_id"), "source", F.round(F.greatest(F.lit(0.0), "cosine"), 3).alias("similarity"))
 
 
 @query(f"""WITH s AS (SELECT label, count(*) AS cluster_size FROM embeddings GROUP BY label),
@@ -60,18 +71,18 @@ g AS (SELECT label, arg_min(vec_id, (-cosine, vec_id)) AS vec_id, max(cosine) AS
 SELECT label, vec_id, support, round(best + (least(0.04, log2(greatest(1, size) + 1) * 0.01) + least(0.02, (support - 1) * 0.004)), 6) AS score FROM g""")
 def appearance_cluster_collapse(t: Tables):
     sizes = t.embeddings.groupBy("label").agg(F.count("*").alias("cluster_size"))
-    best = R.top(R.against(t.embeddings, QUERY_ID).drop("embedding"), 150, F.col("cosine").desc(), F.col("vec_id"))
-    return R.collapsed(best.join(sizes, "label"), "label", "vec_id", "cosine")
+    best = R.top_per_query(queries(t), vectors(t), 150, ["label"]).withColumnRenamed("id", "vec_id")
+    return R.collapsed(best.join(sizes, "label"), "label", "vec_id", "cosine", per=["query_id"])
 
 
 @query(f"""WITH s AS (SELECT c.vec_id AS doc_id, h.source, 0.72 * cosine + 0.42 * (hits / 4) + CASE WHEN source = 'src3' THEN 0.25 ELSE 0 END + CASE WHEN lang = 'en' THEN 0.08 ELSE 0 END AS s
   FROM {SQL_COSINE} c JOIN {SQL_HITS} h ON h.doc_id = c.vec_id)
 SELECT doc_id, source, round(s, 6) AS score, round(least(0.96, greatest(0.5, 0.62 + 0.34 * s)), 6) AS confidence FROM s WHERE s > 0.12 ORDER BY s DESC, doc_id LIMIT 50""")
 def knowledge_vector_score(t: Tables):
-    h = R.against(t.embeddings, QUERY_ID).join(hits(t), F.col("vec_id") == F.col("doc_id"))
-    s = 0.72 * F.col("cosine") + 0.42 * (F.col("hits") / len(TERMS)) + F.when(F.col("source") == "src3", 0.25).otherwise(0.0) + F.when(F.col("lang") == "en", 0.08).otherwise(0.0)
-    best = R.top(h.withColumn("s", s).filter("s > 0.12"), 50, F.col("s").desc(), F.col("doc_id"))
-    return best.select("doc_id", "source", F.round("s", 6).alias("score"), F.round(F.least(F.lit(0.96), F.greatest(F.lit(0.5), 0.62 + 0.34 * F.col("s"))), 6).alias("confidence"))
+    h = vectors(t).join(hits(t), F.col("id") == F.col("doc_id"))
+    bonus = 0.42 * (F.col("hits") / len(TERMS)) + F.when(F.col("source") == "src3", 0.25).otherwise(0.0) + F.when(F.col("lang") == "en", 0.08).otherwise(0.0)
+    best = R.top_per_query(queries(t), h, 50, ["source"], 0.72, bonus).filter("score > 0.12").select("query_id", F.col("id").alias("doc_id"), "source", F.col("score").alias("s"))
+    return best.select("query_id", "doc_id", "source", F.round("s", 6).alias("score"), F.round(F.least(F.lit(0.96), F.greatest(F.lit(0.5), 0.62 + 0.34 * F.col("s"))), 6).alias("confidence"))
 
 
 @query(f"WITH k AS (SELECT doc_id, {SQL_KEYWORDS} AS k FROM documents) SELECT doc_id, array_to_string({SQL_FIRST.format('k')}[1:24], ' ') AS keywords FROM k")
@@ -201,9 +212,9 @@ def compliance_gate(t: Tables):
 @query(f"""WITH c AS {SQL_COSINE}, x AS (SELECT h.doc_id, hits, coalesce(cosine, 0) AS cosine FROM {SQL_HITS} h LEFT JOIN c ON c.vec_id = h.doc_id)
 SELECT doc_id, hits >= 2 AS lexical, cosine >= 0.88 AS semantic, cosine >= 0.45 AS visual FROM x WHERE hits >= 2 OR cosine >= 0.88 OR cosine >= 0.45""")
 def search_inclusion(t: Tables):
-    x = hits(t).join(R.against(t.embeddings, QUERY_ID).select("vec_id", "cosine"), F.col("doc_id") == F.col("vec_id"), "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
-    x = x.select("doc_id", (F.col("hits") >= 2).alias("lexical"), (F.col("cosine") >= 0.88).alias("semantic"), (F.col("cosine") >= 0.45).alias("visual"))
-    return x.filter("lexical or semantic or visual")
+    x = hits(t).join(vectors(t), F.col("doc_id") == F.col("id"), "left").select(F.col("doc_id").alias("id"), "v", "hits")
+    x = R.within(queries(t), x, 0.45, F.col("hits") >= 2, ["hits"])
+    return x.select("query_id", F.col("id").alias("doc_id"), (F.col("hits") >= 2).alias("lexical"), (F.col("cosine") >= 0.88).alias("semantic"), (F.col("cosine") >= 0.45).alias("visual"))
 
 
 @query(f"""WITH r AS (SELECT source, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS a, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS z FROM {SQL_SEGMENT}),
