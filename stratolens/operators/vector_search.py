@@ -28,9 +28,9 @@ def _matrix(a: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return m, np.where(n == 0, 1.0, n)
 
 
-def _blocks(queries: DataFrame, rows: DataFrame, pick: _Top | _Within, schema: str, extra: Sequence[str]) -> DataFrame:
+def _blocks(queries: DataFrame, rows: DataFrame, pick: _Top | _Within, schema: str, extra: Sequence[str], block: int) -> DataFrame:
     """Every query (query_id, q) against every row (id, v, bonus and extra): each block of queries meets each block of rows in one group. pick gets cosines of some queries and the rows of a block, and gives the pairs of interest; those are recomputed as a sum over the vector alone, so that equal vectors tie."""
-    n_q, n_r = (max(1, -(-df.count() // BLOCK)) for df in (queries, rows.select("id")))
+    n_q, n_r = (max(1, -(-df.count() // block)) for df in (queries, rows.select("id")))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("query_id", "q", part("query_id", n_q).alias("_qb")).withColumn("_rb", each(n_r))
@@ -42,10 +42,11 @@ def _blocks(queries: DataFrame, rows: DataFrame, pick: _Top | _Within, schema: s
         if a.num_rows and b.num_rows:
             q, q_len = _matrix(a["q"])
             r, r_len = _matrix(b["v"])
+            q_unit, r_unit = q / q_len[:, None], (r / r_len[:, None]).T
             q_id, r_id, bonus = a["query_id"].to_numpy(), b["id"].to_numpy(), b["bonus"].to_numpy()
             for at in range(0, len(q), CHUNK):
                 z = at + CHUNK
-                i, j = pick.near((q[at:z] @ r.T) / (q_len[at:z, None] * r_len), bonus)
+                i, j = pick.near(q_unit[at:z] @ r_unit, bonus)
                 i = i + at
                 cos = np.empty(len(i))
                 for k in range(0, len(i), PAIRS):
@@ -60,10 +61,10 @@ def _blocks(queries: DataFrame, rows: DataFrame, pick: _Top | _Within, schema: s
 
 
 class _Top:
-    """The best k rows a query, the smaller id first among equals."""
+    """The best k rows a query, the smaller tie (a column) first among equals."""
 
-    def __init__(self, k: int, weight: float):
-        self.k, self.weight = k, weight
+    def __init__(self, k: int, weight: float, tie: str):
+        self.k, self.weight, self.tie = k, weight, tie
 
     def near(self, cos, bonus):
         s = self.weight * cos + bonus
@@ -72,7 +73,7 @@ class _Top:
         return np.nonzero(np.ones_like(s, bool))
 
     def best(self, q, r, cos, bonus, b, j):
-        order = np.lexsort((r, -(self.weight * cos + bonus), q))
+        order = np.lexsort((r, b[self.tie].to_numpy()[j], -(self.weight * cos + bonus), q))
         first = np.flatnonzero(np.r_[True, np.diff(q[order]) != 0]) if len(q) else np.array([], int)
         rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
         return order[rank < self.k]
@@ -101,15 +102,15 @@ def _rows(rows: DataFrame, bonus: Column | None, extra: Sequence[str]) -> DataFr
     return rows.select("id", "v", (F.lit(0.0) if bonus is None else bonus.cast("double")).alias("bonus"), *extra)
 
 
-def top_per_query(queries: DataFrame, rows: DataFrame, k: int, extra: Sequence[str] = (), weight: float = 1.0, bonus: Column | None = None, name: str = "rank") -> DataFrame:
-    """query_id, id, cosine, score, extra and the rank: the best k rows of each query by score (weight x cosine + bonus), then id."""
-    found = _blocks(queries, _rows(rows, bonus, extra), _Top(k, weight), _schema(rows, extra), extra)
-    return ordered.top_per_group(found, ["query_id"], k, [F.col("score").desc(), F.col("id")], "id", name)
+def top_per_query(queries: DataFrame, rows: DataFrame, k: int, extra: Sequence[str] = (), weight: float = 1.0, bonus: Column | None = None, name: str = "rank", tie: str = "id", block: int | None = None) -> DataFrame:
+    """query_id, id, cosine, score, extra and the rank: the best k rows of each query by score (weight x cosine + bonus), then tie and id."""
+    found = _blocks(queries, _rows(rows, bonus, extra), _Top(k, weight, tie), _schema(rows, extra), extra, block or BLOCK)
+    return ordered.top_per_group(found, ["query_id"], k, [F.col("score").desc(), F.col(tie), F.col("id")], "id", name)
 
 
 def within(queries: DataFrame, rows: DataFrame, least: float, also: Column, extra: Sequence[str] = ()) -> DataFrame:
     """query_id, id, cosine, extra: the rows within a cosine of each query, and for every query those that `also` holds for. A row without a vector has cosine 0."""
-    return _blocks(queries, _rows(rows, also.cast("int"), extra), _Within(least), _schema(rows, extra), extra).drop("score")
+    return _blocks(queries, _rows(rows, also.cast("int"), extra), _Within(least), _schema(rows, extra), extra, BLOCK).drop("score")
 
 
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:

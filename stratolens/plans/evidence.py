@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..functions import vectors as V
-from ..operators import clusters, intervals as I, merging as M, ordered as O
+from ..operators import clusters, intervals as I, merging as M, ordered as O, vector_search as R
 from .base import Tables, query
 from .intervals import HOUR, ev
-from .search import SQL_LEDGER, _all, checks
+from .search import SQL_LEDGER, _all, checks, vectors
 
 DAY = 24 * HOUR
 
@@ -17,12 +16,10 @@ DAY = 24 * HOUR
 s AS (SELECT vec_id, identity, max(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(k.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(k.embedding AS DOUBLE[]), CAST(k.embedding AS DOUBLE[]))))) AS s FROM embeddings e, k GROUP BY ALL)
 SELECT vec_id, arg_max(identity, (s, -identity)) AS identity, round(max(s), 6) AS similarity FROM s GROUP BY vec_id HAVING max(s) >= 0.5""")
 def gallery_match(t: Tables):
-    """The gallery, the first three vectors of each identity, is one row; each vector is held against it in place."""
-    e = t.embeddings.select("vec_id", "label", "embedding")
-    g = O.top_per_group(e, ["label"], 3, [F.col("vec_id")], "vec_id").agg(F.collect_list(F.struct(F.col("label").alias("i"), F.col("embedding").alias("v"))).alias("gallery"))
-    close = F.transform("gallery", lambda x: F.struct(V.cosine(F.col("embedding"), x["v"]).alias("s"), (-x["i"]).alias("i")))
-    s = e.crossJoin(F.broadcast(g)).select("vec_id", F.array_max(close).alias("b")).filter("b.s >= 0.5")
-    return s.select("vec_id", (-F.col("b.i")).alias("identity"), F.round("b.s", 6).alias("similarity"))
+    """All vectors against all vectors of each identity, in blocks; of equal ones the smaller identity."""
+    every = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    s = R.top_per_query(every, vectors(t), 1, ["label"], tie="label", block=16_384).filter("cosine >= 0.5")
+    return s.select(F.col("query_id").alias("vec_id"), F.col("label").alias("identity"), F.round("cosine", 6).alias("similarity"))
 
 
 @query("""WITH e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 3600000000 AS cell, minute(ts) / 60 AS m FROM events)

@@ -57,3 +57,18 @@ def test_top_per_query_over_many_blocks(spark, monkeypatch):
         got.setdefault(r["query_id"], []).append(r["id"])
     u = m / np.linalg.norm(m, axis=1)[:, None]
     assert got == {i: sorted(range(60), key=lambda j: (-round(float(u[i] @ u[j]), 10), j))[:5] for i in range(0, 60, 3)}
+
+
+def test_gallery_is_all_vectors_of_an_identity(spark, duck):
+    df = entry.queries()["gallery_match"](spark, SF)
+    sql = entry.oracle_sql()["gallery_match"]
+    assert sql.count("[1:3]") == 1
+    want = same(df, duck.execute(sql.replace("[1:3]", "")))
+    assert sorted(tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect()) == want
+
+
+def test_gallery_takes_the_fourth_vector_of_an_identity(spark, tmp_path):
+    v = [(1, 1, [1.0, 0.0, 0.0]), (2, 1, [1.0, 0.1, 0.0]), (3, 1, [1.0, 0.2, 0.0]), (4, 1, [0.0, 0.0, 1.0]), (5, 0, [0.0, 0.0, 1.0])]
+    spark.createDataFrame(v, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["vec_id"]: (r["identity"], r["similarity"]) for r in entry.queries()["gallery_match"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 1.0), 2: (1, 1.0), 3: (1, 1.0), 4: (0, 1.0), 5: (0, 1.0)}
