@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..operators import clusters, intervals as I, merging as M, ordered as O, vector_search as R
+from ..operators import clusters, intervals as I, merging as M, summaries, vector_search as R
 from .base import Tables, query
 from .intervals import HOUR, ev
 from .search import SQL_LEDGER, _all, checks, vectors
@@ -143,15 +143,9 @@ def player_cover_selection(t: Tables):
 k AS (SELECT source, list_reduce(list_transform(list(struct_pack(i := doc_id, n := n_chars, h := substr(text, 1, 20)) ORDER BY r), lambda x: [x]), lambda a, x: CASE WHEN list_contains(list_transform(a, lambda y: y.h), x[1].h) OR list_sum(list_transform(a, lambda y: y.n)) + x[1].n > 30000 THEN a ELSE list_concat(a, x) END) AS kept FROM s GROUP BY source)
 SELECT source, len(kept) AS picked, list_sum(list_transform(kept, lambda y: y.n)) AS chars, array_to_string(list_transform(kept, lambda y: CAST(y.i AS VARCHAR)), ',') AS ids FROM k""", chars="BIGINT")
 def extractive_summary_greedy(t: Tables):
-    """Of a source's twelve longest texts, in order, those that don't begin like one already picked and still fit in 30 000 characters."""
-    order = (F.col("n_chars").desc(), F.col("doc_id"))
-    d = t.documents.select("source", "doc_id", "n_chars", F.substring("text", 1, 20).alias("h"))
-    d = O.top_per_group(d, ["source"], 12, order, "doc_id", "r")
-    g = d.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("r", F.col("doc_id").alias("i"), F.col("n_chars").alias("n"), "h"))).alias("s"))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, y: s + y["n"])
-    step = lambda a, x: F.when((F.size(a) > 0) & (F.exists(a, lambda y: y["h"] == x["h"]) | (total(a) + x["n"] > 30_000)), a).otherwise(F.concat(a, F.array(x)))
-    k = g.select("source", F.aggregate("s", F.slice("s", 1, 0), step).alias("kept"))
-    return k.select("source", F.size("kept").cast("long").alias("picked"), total(F.col("kept")).alias("chars"), F.array_join(F.transform("kept", lambda y: y["i"].cast("string")), ",").alias("ids"))
+    """Of a source's texts, the longest first, those that don't hold and aren't held in one already picked and still fit in 30 000 characters."""
+    k = summaries.distinct_texts(t.documents, "source", "doc_id", "n_chars", "text", 30_000)
+    return k.select("source", F.size("kept").cast("long").alias("picked"), F.col("total").alias("chars"), F.array_join(F.transform("kept", lambda y: y["i"].cast("string")), ",").alias("ids"))
 
 
 @query()

@@ -72,3 +72,41 @@ def test_gallery_takes_the_fourth_vector_of_an_identity(spark, tmp_path):
     spark.createDataFrame(v, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {r["vec_id"]: (r["identity"], r["similarity"]) for r in entry.queries()["gallery_match"](spark, str(tmp_path)).collect()}
     assert got == {1: (1, 1.0), 2: (1, 1.0), 3: (1, 1.0), 4: (0, 1.0), 5: (0, 1.0)}
+
+
+def greedy(rows, budget):
+    import re
+
+    out = {}
+    for source in {r[0] for r in rows}:
+        kept, total = [], 0
+        for _, i, n, text in sorted((r for r in rows if r[0] == source), key=lambda r: (-r[2], r[1])):
+            h = re.sub(r"[\W_]+", " ", text.lower()).strip()
+            if kept and (total + n > budget or any(h and k and (h in k or k in h) for _, k in kept)):
+                continue
+            kept.append((i, h))
+            total += n
+        out[source] = (len(kept), total, ",".join(str(i) for i, _ in kept))
+    return out
+
+
+def test_summary_goes_through_all_texts(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("source", "doc_id", "n_chars", "text").collect()]
+    got = {r["source"]: (r["picked"], r["chars"], r["ids"]) for r in entry.queries()["extractive_summary_greedy"](spark, SF).collect()}
+    assert got == greedy(rows, 30_000)
+
+
+def test_summary_compares_whole_texts_and_goes_on_past_copies(spark, tmp_path, monkeypatch):
+    from stratolens.operators import summaries
+
+    monkeypatch.setattr(summaries, "ROUND", 2)
+    same = "These texts begin alike but "
+    texts = [same + "x" * 40, same + "y" * 40, *[same + "x" * 40] * 20, "y" * 30, "Other, text!", "other text", "tiny", "...", "--"]
+    texts += ["z" * 29_700, "w" * 200]
+    for source, some in (("a", texts[:-2]), ("b", texts), ("c", ["q" * 40_000, "r"])):
+        rows = [(source, i, len(t), t) for i, t in enumerate(some, 100 * ord(source))]
+        spark.createDataFrame(rows, "source string, doc_id long, n_chars long, text string").write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    rows = [tuple(r) for r in spark.read.parquet(str(tmp_path / "documents.parquet")).select("source", "doc_id", "n_chars", "text").collect()]
+    want = greedy(rows, 30_000)
+    assert want["a"][0] == 6 and want["c"][0] == 1
+    assert {r["source"]: (r["picked"], r["chars"], r["ids"]) for r in entry.queries()["extractive_summary_greedy"](spark, str(tmp_path)).collect()} == want
