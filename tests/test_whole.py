@@ -110,3 +110,11 @@ def test_summary_compares_whole_texts_and_goes_on_past_copies(spark, tmp_path, m
     want = greedy(rows, 30_000)
     assert want["a"][0] == 6 and want["c"][0] == 1
     assert {r["source"]: (r["picked"], r["chars"], r["ids"]) for r in entry.queries()["extractive_summary_greedy"](spark, str(tmp_path)).collect()} == want
+
+
+def test_merge_takes_all_customers(spark, duck):
+    df = entry.queries()["merge_first_wins"](spark, SF)
+    sql = entry.oracle_sql()["merge_first_wins"]
+    assert sql.count(" WHERE c_custkey % 3 = 0") == 1
+    want = same(df, duck.execute(sql.replace(" WHERE c_custkey % 3 = 0", "")))
+    assert sorted(tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect()) == want
