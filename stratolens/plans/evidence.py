@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from ..operators import clusters, intervals as I, merging as M, summaries, vector_search as R
 from .base import Tables, query
@@ -135,8 +135,9 @@ def unreferenced_rows(t: Tables):
 @query("""WITH m AS (SELECT o_custkey AS player, o_orderkey AS segment, o_totalprice AS score FROM orders), b AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY score DESC, segment) AS r FROM m) SELECT player, segment, r = 1 AS covers FROM b ORDER BY r > 1, score DESC, segment LIMIT 200""")
 def player_cover_selection(t: Tables):
     m = t.orders.select(F.col("o_custkey").alias("player"), F.col("o_orderkey").alias("segment"), F.col("o_totalprice").alias("score"))
-    b = m.withColumn("r", F.row_number().over(W.partitionBy("player").orderBy(F.col("score").desc(), "segment")))
-    return b.orderBy(F.col("r") > 1, F.col("score").desc(), "segment").limit(200).select("player", "segment", (F.col("r") == 1).alias("covers"))
+    best = m.groupBy("player").agg(F.max(F.struct("score", (-F.col("segment")).alias("s")))["s"].alias("s")).select((-F.col("s")).alias("segment"), F.lit(True).alias("best"))
+    b = m.join(best, "segment", "left").withColumn("covers", F.coalesce("best", F.lit(False)))
+    return b.orderBy(F.col("covers").desc(), F.col("score").desc(), "segment").select("player", "segment", "covers")
 
 
 @query("""WITH d AS (SELECT source, doc_id, n_chars, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents), s AS (SELECT * FROM d WHERE r <= 12),

@@ -118,3 +118,11 @@ def test_merge_takes_all_customers(spark, duck):
     assert sql.count(" WHERE c_custkey % 3 = 0") == 1
     want = same(df, duck.execute(sql.replace(" WHERE c_custkey % 3 = 0", "")))
     assert sorted(tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect()) == want
+
+
+def test_every_player_has_a_cover(spark, duck):
+    df = entry.queries()["player_cover_selection"](spark, SF)
+    sql = entry.oracle_sql()["player_cover_selection"]
+    assert sql.count(" LIMIT 200") == 1
+    q = duck.execute(sql.replace(" LIMIT 200", ""))
+    assert [d[0] for d in q.description] == df.columns and [tuple(r) for r in df.collect()] == q.fetchall()
