@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -32,27 +33,25 @@ def leader_clusters(df: DataFrame, asset: str, key: str, vector: str, least: flo
 
 
 def greedy_tracks(df: DataFrame, group: str, key: str, time: str, place: str, most: float) -> DataFrame:
-    """group, key, track. In order of time each point takes the nearest open track that no point of the same time has, within `most` of its last place, or opens one. A group's points are taken together: groups are bounded."""
+    """group, key, track. In order of time each point takes the nearest open track that no point of the same time has, within `most` of its last place, or opens one. Partitions hold whole groups, sorted; the open tracks go on from batch to batch."""
 
-    def many(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values([group, time, place, key], kind="stable")
+    def many(batches):
         last: list[float] = []
         used: set[int] = set()
         now: tuple = ()
-        out = []
-        for g, t, p in zip(f[group].tolist(), f[time].tolist(), f[place].tolist()):
-            if now[:1] != (g,):
-                last = []
-            if now != (g, t):
-                now, used = (g, t), set()
-            free = [(abs(p - q), i) for i, q in enumerate(last) if i not in used and abs(p - q) <= most]
-            i = min(free)[1] if free else len(last)
-            last[i:i + 1] = [p]
-            used.add(i)
-            out.append(i)
-        return pd.DataFrame({group: f[group].to_numpy(), key: f[key].to_numpy(), "track": out})
+        for b in batches:
+            out = []
+            for g, t, p in zip(b[group].to_pylist(), b[time].to_pylist(), b[place].to_pylist()):
+                if now[:1] != (g,):
+                    last = []
+                if now != (g, t):
+                    now, used = (g, t), set()
+                free = [(abs(p - q), i) for i, q in enumerate(last) if i not in used and abs(p - q) <= most]
+                i = min(free)[1] if free else len(last)
+                last[i:i + 1] = [p]
+                used.add(i)
+                out.append(i)
+            yield pa.record_batch([b[group], b[key], pa.array(out, pa.int64())], names=[group, key, "track"])
 
     g, k = (df.schema[c].dataType.simpleString() for c in (group, key))
-    # Groups are small, so a call takes all groups of a bucket.
-    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(group, key, time, place).groupBy(F.pmod(F.xxhash64(group), F.lit(buckets))).applyInPandas(many, f"{group} {g}, {key} {k}, track long")
+    return df.select(group, key, time, place).repartition(group).sortWithinPartitions(group, time, place, key).mapInArrow(many, f"{group} {g}, {key} {k}, track long")

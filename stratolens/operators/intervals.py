@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordered import running
@@ -60,3 +61,26 @@ def thinned(points: Column, gap: int) -> Column:
     """Of a sorted array of points those at least gap after the last one kept; the first is kept."""
     step = lambda kept, x: F.when((F.size(kept) == 0) | (x - F.element_at(kept, -1) >= gap), F.concat(kept, F.array(x))).otherwise(kept)
     return F.aggregate(points, F.array().cast("array<bigint>"), step)
+
+
+def carried(df: DataFrame, key: str, at: str, first: Callable, step: Callable, result: Callable, columns: str) -> DataFrame:
+    """key and columns (of bigint): a fold over all points of a key in order of `at`. Partitions hold whole keys, sorted; the state goes on from batch to batch, so memory doesn't grow with a key, but its time does. first(point) and step(state, point) give a state, result(state) a row, or None for no row."""
+    names = [key, *columns.split()]
+
+    def rows(batches):
+        now, state, types = None, None, None
+        for b in batches:
+            types = types or [b.schema.field(0).type, *[pa.int64()] * (len(names) - 1)]
+            out = []
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if state is not None and k == now:
+                    state = step(state, x)
+                else:
+                    out += [(now, *r)] if state is not None and (r := result(state)) else []
+                    now, state = k, first(x)
+            yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+        if state is not None and (r := result(state)):
+            yield pa.record_batch([pa.array([x], t) for x, t in zip((now, *r), types)], names=names)
+
+    schema = ", ".join([f"{key} {df.schema[key].dataType.simpleString()}", *[f"`{c}` bigint" for c in names[1:]]])
+    return df.select(key, at).repartition(key).sortWithinPartitions(key, at).mapInArrow(rows, schema)

@@ -151,13 +151,14 @@ def extractive_summary_greedy(t: Tables):
 
 @query()
 def leader_clustering(t: Tables):
-    """Assets are runs of 64 vectors."""
-    e = t.embeddings.select(F.floor(F.col("vec_id") / 64).alias("asset"), "vec_id", "embedding")
+    """Assets are the documents' sources; vectors without a document are one more, with an empty name."""
+    source = t.documents.select(F.col("doc_id").alias("vec_id"), "source")
+    e = t.embeddings.join(source, "vec_id", "left").select(F.coalesce("source", F.lit("")).alias("asset"), "vec_id", "embedding")
     return clusters.leader_clusters(e, "asset", "vec_id", "embedding", 0.5)
 
 
 @query()
 def greedy_track_assignment(t: Tables):
-    """A user's day is a group, an hour a frame."""
-    e = ev(t).select(F.concat_ws("/", "user_id", F.floor(F.col("at") / DAY)).alias("day"), "event_id", F.floor(F.col("at") / HOUR).alias("hour"), "value")
-    return clusters.greedy_tracks(e, "day", "event_id", "hour", "value", 18.0)
+    """A user is a group, an hour a frame."""
+    e = ev(t).select("user_id", "event_id", F.floor(F.col("at") / HOUR).alias("hour"), "value")
+    return clusters.greedy_tracks(e, "user_id", "event_id", "hour", "value", 18.0)

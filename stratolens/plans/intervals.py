@@ -252,27 +252,21 @@ def outbox_due_poll(t: Tables):
 SQL_DAY = f"(SELECT user_id, t_at // {24 * HOUR} AS day, list_sort(list(t_at)) AS points FROM {EV} GROUP BY ALL)"
 
 
-def days(t: Tables):
-    """Sorted points of a user's day: a bounded group."""
-    return ev(t).groupBy("user_id", F.floor(F.col("at") / (24 * HOUR)).alias("day")).agg(F.array_sort(F.collect_list("at")).alias("points"))
-
-
 @query(f"""WITH k AS (SELECT user_id, day, list_reduce(list_transform(points, lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[len(a)] >= {2 * HOUR} THEN list_concat(a, x) ELSE a END) AS kept FROM {SQL_DAY})
 SELECT user_id, day, len(kept) AS n, kept[len(kept)] AS last FROM k""")
 def min_gap_thinning(t: Tables):
-    k = days(t).select("user_id", "day", I.thinned(F.col("points"), 2 * HOUR).alias("kept"))
-    return k.select("user_id", "day", F.size("kept").cast("long").alias("n"), F.element_at("kept", -1).alias("last"))
+    """The state is the number of points kept and the last of them."""
+    gap = 2 * HOUR
+    return I.carried(ev(t), "user_id", "at", lambda x: (1, x), lambda s, x: (s[0] + 1, x) if x - s[1] >= gap else s, lambda s: s, "n last")
 
 
 @query(f"""WITH r AS (SELECT user_id, day, list_reduce(list_transform(points, lambda x: [[x, 1]]), lambda a, x: CASE WHEN x[1][1] - a[len(a)][1] >= {HOUR} THEN list_concat(a, x) ELSE list_concat(a[1:len(a) - 1], [[a[len(a)][1], a[len(a)][2] + 1]]) END) AS w FROM {SQL_DAY})
 SELECT user_id, day, len(w) AS windows, list_sum(list_transform(w, lambda x: greatest(0, x[2] - 2))) AS rejected FROM r""", rejected="BIGINT")
 def fixed_window_counter(t: Tables):
-    step = lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1)["from"] >= HOUR), F.concat(a, F.array(F.struct(x.alias("from"), F.lit(1).alias("n"))))).otherwise(
-        F.concat(F.slice(a, 1, F.greatest(F.lit(0), F.size(a) - 1)), F.array(F.struct(F.element_at(a, -1)["from"].alias("from"), (F.element_at(a, -1)["n"] + 1).alias("n"))))
-    )
-    w = F.aggregate("points", F.array().cast("array<struct<from:bigint,n:int>>"), step)
-    over = F.aggregate(F.transform("w", lambda x: F.greatest(F.lit(0), x["n"] - 2)), F.lit(0), lambda s, x: s + x)
-    return days(t).select("user_id", "day", w.alias("w")).select("user_id", "day", F.size("w").cast("long").alias("windows"), over.cast("long").alias("rejected"))
+    """The state is the windows so far, the points rejected, and the open window's begin and count."""
+    long = HOUR
+    step = lambda s, x: (s[0] + 1, s[1], x, 1) if x - s[2] >= long else (s[0], s[1] + (s[3] >= 2), s[2], s[3] + 1)
+    return I.carried(ev(t), "user_id", "at", lambda x: (1, 0, x, 1), step, lambda s: s[:2], "windows rejected")
 
 
 @query(f"SELECT user_id, round(avg(d), 6) AS mean_change, round(max(d), 6) AS most FROM (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY t_at, event_id)) AS d FROM {EV}) GROUP BY user_id")

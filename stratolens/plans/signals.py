@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import intervals as I, ordered as O
 from .base import Tables, query
-from .intervals import HOUR, SQL_DAY, days, ev
+from .intervals import HOUR, SQL_DAY, ev
 from .search import SQL_HITS, SQL_TERMS, TERMS, hits
 
 
@@ -15,10 +15,11 @@ from .search import SQL_HITS, SQL_TERMS, TERMS, hits
 e AS (SELECT user_id, day, CASE WHEN len(b) = 1 THEN [b[1], points[len(points)]] ELSE list_concat(b[1:len(b) - 1], [points[len(points)]]) END AS b FROM k)
 SELECT user_id, day, len(b) - 1 AS windows, b[1] AS start, b[len(b)] AS "end", b[len(b)] - b[len(b) - 1] AS last_length FROM e""")
 def merge_short_windows(t: Tables):
-    """Windows between a day's points, joined until they last three hours; what is left over at the end extends the last one."""
-    k = days(t).filter("size(points) > 1").withColumn("b", I.thinned(F.col("points"), 3 * HOUR)).withColumn("z", F.array(F.element_at("points", -1)))
-    e = k.select("user_id", "day", F.when(F.size("b") == 1, F.concat("b", "z")).otherwise(F.concat(F.slice("b", 1, F.greatest(F.size("b") - 1, F.lit(1))), "z")).alias("b"))
-    return e.select("user_id", "day", (F.size("b") - 1).cast("long").alias("windows"), F.element_at("b", 1).alias("start"), F.element_at("b", -1).alias("end"), (F.element_at("b", -1) - F.element_at("b", -2)).alias("last_length"))
+    """Windows between a user's points, joined until they last three hours; what is left over at the end extends the last one. The state is the number of points and bounds, the first bound, the last two, and the last point."""
+    long = 3 * HOUR
+    step = lambda s, x: (s[0] + 1, s[1] + 1, s[2], s[4], x, x) if x - s[4] >= long else (s[0] + 1, *s[1:5], x)
+    result = lambda s: (max(1, s[1] - 1), s[2], s[5], s[5] - s[3]) if s[0] > 1 else None
+    return I.carried(ev(t), "user_id", "at", lambda x: (1, 1, x, x, x, x), step, result, "windows start end last_length")
 
 
 @query("""WITH c AS (SELECT doc_id, lang, length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS ascii, length(regexp_replace(text, '[^à-öø-ÿÀ-ÖØ-ÞßŒœ]+', '', 'g')) AS marked, length(regexp_replace(text, '[^0-9]+', '', 'g')) AS digits, greatest(1, length(text)) AS n FROM documents)

@@ -126,3 +126,27 @@ def test_every_player_has_a_cover(spark, duck):
     assert sql.count(" LIMIT 200") == 1
     q = duck.execute(sql.replace(" LIMIT 200", ""))
     assert [d[0] for d in q.description] == df.columns and [tuple(r) for r in df.collect()] == q.fetchall()
+
+
+@pytest.mark.parametrize("name", ["min_gap_thinning", "fixed_window_counter", "merge_short_windows"])
+def test_folds_go_on_past_midnight(spark, duck, name):
+    df = entry.queries()[name](spark, SF)
+    sql = entry.oracle_sql()[name]
+    assert sql.count("t_at // 86400000000") == 1
+    q = duck.execute(f"SELECT * EXCLUDE (day) FROM ({sql.replace('t_at // 86400000000', '0')})")
+    assert sorted(tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect()) == same(df, q)
+
+
+def test_tracks_and_clusters_have_no_borders(spark, tmp_path):
+    from datetime import datetime as D
+
+    e = [(1, D(2024, 1, 1, 22), 1, "view", 50.0, "{}"), (2, D(2024, 1, 1, 23, 59), 1, "view", 10.0, "{}"), (3, D(2024, 1, 2, 0, 1), 1, "view", 11.0, "{}")]
+    spark.createDataFrame(e, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    q = entry.queries()
+    assert {r["event_id"]: r["track"] for r in q["greedy_track_assignment"](spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 1}
+    assert [tuple(r) for r in q["min_gap_thinning"](spark, str(tmp_path)).select("user_id", "n").collect()] == [(1, 2)]
+    v = [(63, [1.0, 0.0], 0), (64, [1.0, 0.01], 0), (65, [1.0, 0.0], 0)]
+    spark.createDataFrame(v, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(63, "a"), (64, "a")], "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["vec_id"]: (r["asset"], r["cluster"]) for r in q["leader_clustering"](spark, str(tmp_path)).collect()}
+    assert got == {63: ("a", 0), 64: ("a", 0), 65: ("", 0)}
