@@ -12,7 +12,7 @@ from .search import SQL_LEDGER, _all, checks, vectors
 DAY = 24 * HOUR
 
 
-@query("""WITH g AS (SELECT label, list_sort(list(vec_id))[1:3] AS ids FROM embeddings GROUP BY label), k AS (SELECT e.label AS identity, e.embedding FROM embeddings e JOIN g ON e.label = g.label AND list_contains(ids, e.vec_id)),
+@query("""WITH k AS (SELECT label AS identity, embedding FROM embeddings),
 s AS (SELECT vec_id, identity, max(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(k.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(k.embedding AS DOUBLE[]), CAST(k.embedding AS DOUBLE[]))))) AS s FROM embeddings e, k GROUP BY ALL)
 SELECT vec_id, arg_max(identity, (s, -identity)) AS identity, round(max(s), 6) AS similarity FROM s GROUP BY vec_id HAVING max(s) >= 0.5""")
 def gallery_match(t: Tables):
@@ -132,7 +132,7 @@ def unreferenced_rows(t: Tables):
     return s.union(p.select(-1 - F.col("p_partkey")))
 
 
-@query("""WITH m AS (SELECT o_custkey AS player, o_orderkey AS segment, o_totalprice AS score FROM orders), b AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY score DESC, segment) AS r FROM m) SELECT player, segment, r = 1 AS covers FROM b ORDER BY r > 1, score DESC, segment LIMIT 200""")
+@query("""WITH m AS (SELECT o_custkey AS player, o_orderkey AS segment, o_totalprice AS score FROM orders), b AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY score DESC, segment) AS r FROM m) SELECT player, segment, r = 1 AS covers FROM b ORDER BY r > 1, score DESC, segment""")
 def player_cover_selection(t: Tables):
     m = t.orders.select(F.col("o_custkey").alias("player"), F.col("o_orderkey").alias("segment"), F.col("o_totalprice").alias("score"))
     best = m.groupBy("player").agg(F.max(F.struct("score", (-F.col("segment")).alias("s")))["s"].alias("s")).select((-F.col("s")).alias("segment"), F.lit(True).alias("best"))
@@ -140,24 +140,41 @@ def player_cover_selection(t: Tables):
     return b.orderBy(F.col("covers").desc(), F.col("score").desc(), "segment").select("player", "segment", "covers")
 
 
-@query("""WITH d AS (SELECT source, doc_id, n_chars, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents), s AS (SELECT * FROM d WHERE r <= 12),
-k AS (SELECT source, list_reduce(list_transform(list(struct_pack(i := doc_id, n := n_chars, h := substr(text, 1, 20)) ORDER BY r), lambda x: [x]), lambda a, x: CASE WHEN list_contains(list_transform(a, lambda y: y.h), x[1].h) OR list_sum(list_transform(a, lambda y: y.n)) + x[1].n > 30000 THEN a ELSE list_concat(a, x) END) AS kept FROM s GROUP BY source)
-SELECT source, len(kept) AS picked, list_sum(list_transform(kept, lambda y: y.n)) AS chars, array_to_string(list_transform(kept, lambda y: CAST(y.i AS VARCHAR)), ',') AS ids FROM k""", chars="BIGINT")
+@query(r"""WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS h, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents),
+k AS (SELECT source, r, [struct_pack(i := doc_id, n := n_chars, h := h)] AS kept FROM d WHERE r = 1
+  UNION ALL SELECT d.source, d.r, CASE WHEN list_sum(list_transform(kept, lambda y: y.n)) + d.n_chars > 30000 OR len(list_filter(kept, lambda y: y.h <> '' AND d.h <> '' AND (contains(y.h, d.h) OR contains(d.h, y.h)))) > 0 THEN kept ELSE list_append(kept, struct_pack(i := d.doc_id, n := d.n_chars, h := d.h)) END
+  FROM k JOIN d ON d.source IS NOT DISTINCT FROM k.source AND d.r = k.r + 1),
+e AS (SELECT source, arg_max(kept, r) AS kept FROM k GROUP BY source)
+SELECT source, len(kept) AS picked, list_sum(list_transform(kept, lambda y: y.n)) AS chars, array_to_string(list_transform(kept, lambda y: CAST(y.i AS VARCHAR)), ',') AS ids FROM e""", chars="BIGINT")
 def extractive_summary_greedy(t: Tables):
     """Of a source's texts, the longest first, those that don't hold and aren't held in one already picked and still fit in 30 000 characters."""
     k = summaries.distinct_texts(t.documents, "source", "doc_id", "n_chars", "text", 30_000)
     return k.select("source", F.size("kept").cast("long").alias("picked"), F.col("total").alias("chars"), F.array_join(F.transform("kept", lambda y: y["i"].cast("string")), ",").alias("ids"))
 
 
-@query()
+NORM_OF = "CASE WHEN list_dot_product({0}, {0}) = 0 THEN 1 ELSE sqrt(list_dot_product({0}, {0})) END"
+
+
+@query(f"""WITH RECURSIVE a AS (SELECT coalesce(source, '') AS asset, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+u AS (SELECT asset, vec_id, list_transform(v, lambda x: x / {NORM_OF.format("v")}) AS v, row_number() OVER (PARTITION BY asset ORDER BY vec_id) AS r FROM a),
+k AS (SELECT asset, r, [v] AS sums, [1] AS of FROM u WHERE r = 1 UNION ALL
+  SELECT asset, r, CASE WHEN s >= 0.5 THEN list_concat(sums[1:b - 1], [list_transform(range(1, len(v) + 1), lambda i: sums[b][i] + v[i])], sums[b + 1:]) ELSE list_append(sums, v) END, list_append(of, CASE WHEN s >= 0.5 THEN b ELSE len(sums) + 1 END)
+  FROM (SELECT *, list_max(sims) AS s, list_position(sims, list_max(sims)) AS b FROM (SELECT u.asset, u.r, u.v, sums, of, list_transform(sums, lambda x: list_dot_product(u.v, x) / {NORM_OF.format("x")}) AS sims FROM k JOIN u ON u.asset = k.asset AND u.r = k.r + 1))),
+e AS (SELECT asset, arg_max(sums, r) AS sums, arg_max(of, r) AS of FROM k GROUP BY asset)
+SELECT u.asset, vec_id, CAST(of[r] - 1 AS BIGINT) AS cluster, round(list_dot_product(v, sums[of[r]]) / {NORM_OF.format("sums[of[r]]")}, 6) AS similarity FROM u JOIN e ON e.asset = u.asset""")
 def leader_clustering(t: Tables):
     """Assets are the documents' sources; vectors without a document are one more, with an empty name."""
     source = t.documents.select(F.col("doc_id").alias("vec_id"), "source")
     e = t.embeddings.join(source, "vec_id", "left").select(F.coalesce("source", F.lit("")).alias("asset"), "vec_id", "embedding")
-    return clusters.leader_clusters(e, "asset", "vec_id", "embedding", 0.5)
+    return clusters.leader_clusters(e, "asset", "vec_id", "embedding", 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // {HOUR} AS hour, value AS p, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // {HOUR}, value, event_id) AS r FROM events),
+k AS (SELECT user_id, event_id, r, hour, [p] AS last, [1] AS used, 1 AS i FROM e WHERE r = 1 UNION ALL
+  SELECT user_id, event_id, r, hour, list_concat(last[1:j - 1], [p], last[j + 1:]), list_append(used, j), j FROM (SELECT *, coalesce(free.i, len(last) + 1) AS j FROM (
+    SELECT *, list_min(list_transform(list_filter(range(1, len(last) + 1), lambda i: NOT list_contains(used, i) AND abs(p - last[i]) <= 18), lambda i: struct_pack(d := abs(p - last[i]), i := i))) AS free FROM (
+      SELECT e.*, last, CASE WHEN e.hour = k.hour THEN used ELSE [] END AS used FROM k JOIN e ON e.user_id = k.user_id AND e.r = k.r + 1))))
+SELECT user_id, event_id, CAST(i - 1 AS BIGINT) AS track FROM k""")
 def greedy_track_assignment(t: Tables):
     """A user is a group, an hour a frame."""
     e = ev(t).select("user_id", "event_id", F.floor(F.col("at") / HOUR).alias("hour"), "value")

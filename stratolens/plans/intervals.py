@@ -249,19 +249,19 @@ def outbox_due_poll(t: Tables):
     return due.crossJoin(F.broadcast(now)).filter("due_at <= now").orderBy("due_at", "event_id").limit(100).drop("now")
 
 
-SQL_DAY = f"(SELECT user_id, t_at // {24 * HOUR} AS day, list_sort(list(t_at)) AS points FROM {EV} GROUP BY ALL)"
+SQL_POINTS = f"(SELECT user_id, list_sort(list(t_at)) AS points FROM {EV} GROUP BY ALL)"
 
 
-@query(f"""WITH k AS (SELECT user_id, day, list_reduce(list_transform(points, lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[len(a)] >= {2 * HOUR} THEN list_concat(a, x) ELSE a END) AS kept FROM {SQL_DAY})
-SELECT user_id, day, len(kept) AS n, kept[len(kept)] AS last FROM k""")
+@query(f"""WITH k AS (SELECT user_id, list_reduce(list_transform(points, lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[len(a)] >= {2 * HOUR} THEN list_concat(a, x) ELSE a END) AS kept FROM {SQL_POINTS})
+SELECT user_id, len(kept) AS n, kept[len(kept)] AS last FROM k""")
 def min_gap_thinning(t: Tables):
     """The state is the number of points kept and the last of them."""
     gap = 2 * HOUR
     return I.carried(ev(t), "user_id", "at", lambda x: (1, x), lambda s, x: (s[0] + 1, x) if x - s[1] >= gap else s, lambda s: s, "n last")
 
 
-@query(f"""WITH r AS (SELECT user_id, day, list_reduce(list_transform(points, lambda x: [[x, 1]]), lambda a, x: CASE WHEN x[1][1] - a[len(a)][1] >= {HOUR} THEN list_concat(a, x) ELSE list_concat(a[1:len(a) - 1], [[a[len(a)][1], a[len(a)][2] + 1]]) END) AS w FROM {SQL_DAY})
-SELECT user_id, day, len(w) AS windows, list_sum(list_transform(w, lambda x: greatest(0, x[2] - 2))) AS rejected FROM r""", rejected="BIGINT")
+@query(f"""WITH r AS (SELECT user_id, list_reduce(list_transform(points, lambda x: [[x, 1]]), lambda a, x: CASE WHEN x[1][1] - a[len(a)][1] >= {HOUR} THEN list_concat(a, x) ELSE list_concat(a[1:len(a) - 1], [[a[len(a)][1], a[len(a)][2] + 1]]) END) AS w FROM {SQL_POINTS})
+SELECT user_id, len(w) AS windows, list_sum(list_transform(w, lambda x: greatest(0, x[2] - 2))) AS rejected FROM r""", rejected="BIGINT")
 def fixed_window_counter(t: Tables):
     """The state is the windows so far, the points rejected, and the open window's begin and count."""
     long = HOUR

@@ -9,8 +9,6 @@ from ..operators import ordered as O, vector_search as R
 from .base import Tables, query
 
 TERMS = ("the", "with", "that", "was")
-#: The SQL's query; the queries take all of queries().
-QUERY_ID = 7
 MARKS = f"translate(lower(text), '{X.MARKED}', '{X.PLAIN}')"
 NORM = f"trim(regexp_replace({MARKS}, '[ \\t\\n\\r]+', ' ', 'g'))"
 SQL_TERMS = f"list_filter(list_transform(regexp_split_to_array(regexp_replace({NORM}, '[^a-z0-9 -]+', ' ', 'g'), ' +'), lambda t: regexp_replace(t, '^-+|-+$', '', 'g')), lambda t: t <> '')"
@@ -19,7 +17,16 @@ SQL_KEYWORDS = f"list_filter({SQL_TERMS}, lambda t: length(t) > 2 AND NOT list_c
 SQL_FIRST = "(list_filter(list_transform(range(1, len({0}) + 1), lambda i: CASE WHEN list_position({0}, {0}[i]) = i THEN {0}[i] END), lambda t: t IS NOT NULL))"
 DOT = "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
 COSINE = f"{DOT} / (sqrt({DOT.replace('{1}', '{0}')}) * sqrt({DOT.replace('{0}', '{1}')}))".format("e.embedding", "q.embedding")
-SQL_COSINE = f"(SELECT e.vec_id, e.label, {COSINE} AS cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {QUERY_ID}) q)"
+SQL_QUERIES = "(SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 100 = 0)"
+SQL_COSINE = f"(SELECT q.query_id, e.vec_id, e.label, {COSINE} AS cosine FROM embeddings e, {SQL_QUERIES} q)"
+
+
+def sql_best(rows: str, k: int, order: str, rank: str = "rank") -> str:
+    """The first k rows of each query."""
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS {rank} FROM {rows}) WHERE {rank} <= {k})"
+
+
+
 SQL_HITS = f"(SELECT doc_id, source, lang, n_chars, len(list_intersect(list_distinct({SQL_TERMS}), {list(TERMS)!r})) AS hits FROM documents)"
 
 
@@ -38,11 +45,11 @@ def vectors(t: Tables):
 
 @query(f"""
 WITH c AS {SQL_COSINE}, h AS {SQL_HITS},
-v AS (SELECT *, row_number() OVER (ORDER BY vec_score DESC, doc_id) AS vec_rank FROM (SELECT vec_id AS doc_id, cosine AS vec_score FROM c ORDER BY 2 DESC, 1 LIMIT 150)),
+v AS (SELECT query_id, vec_id AS doc_id, cosine AS vec_score, vec_rank FROM {sql_best("c", 150, "cosine DESC, vec_id", "vec_rank")}),
 l AS (SELECT *, row_number() OVER (ORDER BY lex_score DESC, doc_id) AS lex_rank FROM (SELECT doc_id, hits / 4 AS lex_score FROM h WHERE hits > 0 ORDER BY 2 DESC, 1 LIMIT 150)),
-b AS (SELECT doc_id, vec_score, vec_rank, lex_score, lex_rank,
-   round(0.86 * coalesce(vec_score, 0) + 0.14 * least(1, greatest(0, coalesce(lex_score, 0))) + coalesce(1 / (60 + vec_rank), 0) + coalesce(1 / (60 + lex_rank), 0), 6) AS score FROM v FULL JOIN l USING (doc_id))
-SELECT doc_id, round(vec_score, 6) AS vec_score, vec_rank, lex_score, lex_rank, score FROM b ORDER BY score DESC, doc_id LIMIT 25""", vec_rank="INTEGER", lex_rank="INTEGER")
+b AS (SELECT query_id, doc_id, vec_score, vec_rank, lex_score, lex_rank,
+   round(0.86 * coalesce(vec_score, 0) + 0.14 * least(1, greatest(0, coalesce(lex_score, 0))) + coalesce(1 / (60 + vec_rank), 0) + coalesce(1 / (60 + lex_rank), 0), 6) AS score FROM v FULL JOIN (SELECT * FROM {SQL_QUERIES}, l) USING (query_id, doc_id))
+SELECT query_id, doc_id, round(vec_score, 6) AS vec_score, vec_rank, lex_score, lex_rank, score FROM {sql_best("b", 25, "score DESC, doc_id")}""", vec_rank="INTEGER", lex_rank="INTEGER")
 def hybrid_search_topk(t: Tables):
     vec = R.top_per_query(queries(t), vectors(t), 150, name="vec_rank").select("query_id", F.col("id").alias("doc_id"), F.col("cosine").alias("vec_score"), F.col("vec_rank").cast("int").alias("vec_rank"))
     lex = hits(t).filter("hits > 0").select("doc_id", (F.col("hits") / len(TERMS)).alias("lex_score"))
@@ -51,13 +58,14 @@ def hybrid_search_topk(t: Tables):
     return out.select("query_id", "doc_id", F.round("vec_score", 6).alias("vec_score"), "vec_rank", "lex_score", "lex_rank", "score")
 
 
-@query(f"SELECT vec_id, label, round(1 - cosine, 6) AS distance FROM {SQL_COSINE} ORDER BY cosine DESC, vec_id LIMIT 25")
+@query(f"SELECT query_id, vec_id, label, round(1 - cosine, 6) AS distance FROM {sql_best(SQL_COSINE, 25, 'cosine DESC, vec_id')}")
 def cosine_topk(t: Tables):
     return R.top_per_query(queries(t), vectors(t), 25, ["label"]).select("query_id", F.col("id").alias("vec_id"), "label", F.round(1 - F.col("cosine"), 6).alias("distance"))
 
 
-@query(f"""SELECT c.vec_id, d.source, round(greatest(0, cosine), 3) AS similarity FROM {SQL_COSINE} c JOIN documents d ON d.doc_id = c.vec_id
-JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(toxic) = 0 AND max(quality) = 1) l ON l.doc_id = d.doc_id WHERE d.lang = 'en' ORDER BY cosine DESC, vec_id LIMIT 40""")
+@query(f"""WITH f AS (SELECT query_id, c.vec_id, d.source, cosine FROM {SQL_COSINE} c JOIN documents d ON d.doc_id = c.vec_id
+JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(toxic) = 0 AND max(quality) = 1) l ON l.doc_id = d.doc_id WHERE d.lang = 'en')
+SELECT query_id, vec_id, source, round(greatest(0, cosine), 3) AS similarity FROM {sql_best("f", 40, "cosine DESC, vec_id")}""")
 def visual_topk_filtered(t: Tables):
     clean = t.labels.groupBy("doc_id").agg(F.max("toxic").alias("t"), F.max("quality").alias("q")).filter("t = 0 and q = 1").select("doc_id")
     docs = t.documents.filter("lang = 'en'").select("doc_id", "source").join(clean, "doc_id", "left_semi")
@@ -66,18 +74,18 @@ def visual_topk_filtered(t: Tables):
 
 
 @query(f"""WITH s AS (SELECT label, count(*) AS cluster_size FROM embeddings GROUP BY label),
-h AS (SELECT c.*, s.cluster_size FROM (SELECT * FROM {SQL_COSINE} ORDER BY cosine DESC, vec_id LIMIT 150) c JOIN s USING (label)),
-g AS (SELECT label, arg_min(vec_id, (-cosine, vec_id)) AS vec_id, max(cosine) AS best, count(*) AS support, max(cluster_size) AS size FROM h GROUP BY label)
-SELECT label, vec_id, support, round(best + (least(0.04, log2(greatest(1, size) + 1) * 0.01) + least(0.02, (support - 1) * 0.004)), 6) AS score FROM g""")
+h AS (SELECT c.*, s.cluster_size FROM {sql_best(SQL_COSINE, 150, "cosine DESC, vec_id")} c JOIN s USING (label)),
+g AS (SELECT query_id, label, arg_min(vec_id, (-cosine, vec_id)) AS vec_id, max(cosine) AS best, count(*) AS support, max(cluster_size) AS size FROM h GROUP BY query_id, label)
+SELECT query_id, label, vec_id, support, round(best + (least(0.04, log2(greatest(1, size) + 1) * 0.01) + least(0.02, (support - 1) * 0.004)), 6) AS score FROM g""")
 def appearance_cluster_collapse(t: Tables):
     sizes = t.embeddings.groupBy("label").agg(F.count("*").alias("cluster_size"))
     best = R.top_per_query(queries(t), vectors(t), 150, ["label"]).withColumnRenamed("id", "vec_id")
     return R.collapsed(best.join(sizes, "label"), "label", "vec_id", "cosine", per=["query_id"])
 
 
-@query(f"""WITH s AS (SELECT c.vec_id AS doc_id, h.source, 0.72 * cosine + 0.42 * (hits / 4) + CASE WHEN source = 'src3' THEN 0.25 ELSE 0 END + CASE WHEN lang = 'en' THEN 0.08 ELSE 0 END AS s
+@query(f"""WITH s AS (SELECT query_id, c.vec_id AS doc_id, h.source, 0.72 * cosine + 0.42 * (hits / 4) + CASE WHEN source = 'src3' THEN 0.25 ELSE 0 END + CASE WHEN lang = 'en' THEN 0.08 ELSE 0 END AS s
   FROM {SQL_COSINE} c JOIN {SQL_HITS} h ON h.doc_id = c.vec_id)
-SELECT doc_id, source, round(s, 6) AS score, round(least(0.96, greatest(0.5, 0.62 + 0.34 * s)), 6) AS confidence FROM s WHERE s > 0.12 ORDER BY s DESC, doc_id LIMIT 50""")
+SELECT query_id, doc_id, source, round(s, 6) AS score, round(least(0.96, greatest(0.5, 0.62 + 0.34 * s)), 6) AS confidence FROM {sql_best("s", 50, "s DESC, doc_id")} WHERE s > 0.12""")
 def knowledge_vector_score(t: Tables):
     h = vectors(t).join(hits(t), F.col("id") == F.col("doc_id"))
     bonus = 0.42 * (F.col("hits") / len(TERMS)) + F.when(F.col("source") == "src3", 0.25).otherwise(0.0) + F.when(F.col("lang") == "en", 0.08).otherwise(0.0)
@@ -209,8 +217,8 @@ def compliance_gate(t: Tables):
     return d.select("doc_id", "status", F.col("status").isin("not_applicable", "metadata_complete").alias("searchable"))
 
 
-@query(f"""WITH c AS {SQL_COSINE}, x AS (SELECT h.doc_id, hits, coalesce(cosine, 0) AS cosine FROM {SQL_HITS} h LEFT JOIN c ON c.vec_id = h.doc_id)
-SELECT doc_id, hits >= 2 AS lexical, cosine >= 0.88 AS semantic, cosine >= 0.45 AS visual FROM x WHERE hits >= 2 OR cosine >= 0.88 OR cosine >= 0.45""")
+@query(f"""WITH c AS {SQL_COSINE}, x AS (SELECT q.query_id, h.doc_id, hits, coalesce(cosine, 0) AS cosine FROM {SQL_HITS} h CROSS JOIN {SQL_QUERIES} q LEFT JOIN c ON c.vec_id = h.doc_id AND c.query_id = q.query_id)
+SELECT query_id, doc_id, hits >= 2 AS lexical, cosine >= 0.88 AS semantic, cosine >= 0.45 AS visual FROM x WHERE hits >= 2 OR cosine >= 0.88 OR cosine >= 0.45""")
 def search_inclusion(t: Tables):
     x = hits(t).join(vectors(t), F.col("doc_id") == F.col("id"), "left").select(F.col("doc_id").alias("id"), "v", "hits")
     x = R.within(queries(t), x, 0.45, F.col("hits") >= 2, ["hits"])

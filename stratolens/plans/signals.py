@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import intervals as I, ordered as O
 from .base import Tables, query
-from .intervals import HOUR, SQL_DAY, ev
+from .intervals import HOUR, SQL_POINTS, ev
 from .search import SQL_HITS, SQL_TERMS, TERMS, hits
 
 
-@query(f"""WITH k AS (SELECT user_id, day, points, list_reduce(list_transform(points, lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[len(a)] >= {3 * HOUR} THEN list_concat(a, x) ELSE a END) AS b FROM {SQL_DAY} WHERE len(points) > 1),
-e AS (SELECT user_id, day, CASE WHEN len(b) = 1 THEN [b[1], points[len(points)]] ELSE list_concat(b[1:len(b) - 1], [points[len(points)]]) END AS b FROM k)
-SELECT user_id, day, len(b) - 1 AS windows, b[1] AS start, b[len(b)] AS "end", b[len(b)] - b[len(b) - 1] AS last_length FROM e""")
+@query(f"""WITH k AS (SELECT user_id, points, list_reduce(list_transform(points, lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[len(a)] >= {3 * HOUR} THEN list_concat(a, x) ELSE a END) AS b FROM {SQL_POINTS} WHERE len(points) > 1),
+e AS (SELECT user_id, CASE WHEN len(b) = 1 THEN [b[1], points[len(points)]] ELSE list_concat(b[1:len(b) - 1], [points[len(points)]]) END AS b FROM k)
+SELECT user_id, len(b) - 1 AS windows, b[1] AS start, b[len(b)] AS "end", b[len(b)] - b[len(b) - 1] AS last_length FROM e""")
 def merge_short_windows(t: Tables):
     """Windows between a user's points, joined until they last three hours; what is left over at the end extends the last one. The state is the number of points and bounds, the first bound, the last two, and the last point."""
     long = 3 * HOUR

@@ -119,7 +119,7 @@ def prefer_roster_team(t: Tables):
     return t.orders.select("o_orderkey", "o_custkey", "o_orderstatus").join(h, "o_custkey").filter("o_orderstatus = 'O' or not any_open").select("o_orderkey", F.col("o_custkey").alias("player"))
 
 
-@query("""WITH u AS (SELECT 1 AS age, s_suppkey AS key, s_name AS name, s_nationkey AS nation FROM supplier UNION ALL SELECT 0, c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 3 = 0)
+@query("""WITH u AS (SELECT 1 AS age, s_suppkey AS key, s_name AS name, s_nationkey AS nation FROM supplier UNION ALL SELECT 0, c_custkey, c_name, c_nationkey FROM customer)
 SELECT key, arg_min(name, age) AS name, arg_min(nation, age) AS nation FROM u GROUP BY key""")
 def merge_first_wins(t: Tables):
     s = t.supplier.select(F.lit(1).alias("age"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))

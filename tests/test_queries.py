@@ -20,7 +20,7 @@ def duck():
 
 def plain(x):
     if isinstance(x, float):
-        return f"{x:.5g}"
+        return f"{x + 0.0:.5g}"  # no -0
     return str(x)
 
 
@@ -37,7 +37,8 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 25
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id % 100 = 0").count()
+    assert entry.entry(spark).count() == 25 * n
 
 
 def test_the_rest_works_without_the_training_data_operators(tmp_path):
