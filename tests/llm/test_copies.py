@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from stratolens.llm import exact_dedup as exact
 from stratolens.llm.components import components
 from stratolens.llm.exact_dedup import exact_dedup
 from stratolens.llm.ngram_join import near_duplicates
@@ -39,6 +40,22 @@ def test_exact_dedup(spark, texts, hot):
     assert sorted((tuple(r) for r in got), key=str) == plain_dedup(rows)
 
 
+@pytest.mark.parametrize("parts,batch", [(40, 3), (7, 512)])
+def test_exact_dedup_of_hot_texts_over_many_ranges(spark, monkeypatch, parts, batch):
+    """A third of the rows are one text, another third share 50 characters; keys are cut so short that they say little."""
+    monkeypatch.setattr(exact, "KEY_BYTES", 2)
+    monkeypatch.setattr("stratolens.llm.common.BATCH_ROWS", batch)
+    rng = np.random.default_rng(8)
+    rows = [(i, "hot  text" if i % 2 else "hottext") for i in range(300)] + [(None, "hot text"), (None, "hot text"), (17, "hot  text")]
+    rows += [(300 + i, "x" * 50 + f" {rng.integers(60)}" + " " * int(rng.integers(4))) for i in range(300)]
+    rows += [(600 + i, [None, "", " ", "a\0", "a", "\0", "é" * 40_000][i % 7]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = exact_dedup(df, parts=parts).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_dedup(rows)
+    kept = [r["doc_id"] for r in exact_dedup(df, carry=["text"], sized=False, parts=parts).filter("kept").collect()]
+    assert sorted(kept, key=str) == sorted((r[0] for r in plain_dedup(rows) if r[3]), key=str)
+
+
 def test_exact_dedup_carries_columns_with_clashing_names(docs, empty):
     df = docs.withColumn("kept", F.lit(5)).withColumn("k_hash", F.lit("x")).withColumn("m_run", F.lit(1.5))
     out = exact_dedup(df, carry=df.columns)
