@@ -44,27 +44,27 @@ def normalised(column: pa.Array | pa.ChunkedArray) -> pa.LargeBinaryArray:
     return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data[keep])])
 
 
-def _keys(norm: pa.LargeBinaryArray) -> tuple[np.ndarray, list[bytes]]:
-    """The splitters' first KEY_BYTES + 8 bytes (a function of the text, in the texts' order), and SHA-256, of each text."""
+def _keys(norm: pa.LargeBinaryArray, width: int) -> tuple[np.ndarray, list[bytes]]:
+    """The splitters' first width + 8 bytes (a function of the text, in the texts' order), and SHA-256, of each text."""
     shas = [hashlib.sha256(x.as_buffer()).digest() for x in norm]
-    prefix = pc.binary_slice(norm, 0, KEY_BYTES).to_pylist()
-    return np.array([p.ljust(KEY_BYTES, b"\0") + s[:8] for p, s in zip(prefix, shas)], f"S{KEY_BYTES + 8}"), shas
+    prefix = pc.binary_slice(norm, 0, width).to_pylist()
+    return np.array([p.ljust(width, b"\0") + s[:8] for p, s in zip(prefix, shas)], f"S{width + 8}"), shas
 
 
 def _whole(text_keys: np.ndarray, spread: np.ndarray) -> np.ndarray:
     """Splitters' keys: the text's, then the row's."""
-    n = len(text_keys)
-    both = [text_keys.view(np.uint8).reshape(n, KEY_BYTES + 8), spread.astype(">u8").view(np.uint8).reshape(n, 8)]
-    return np.concatenate(both, 1).view(f"S{KEY_BYTES + 16}").reshape(n)
+    n, width = len(text_keys), text_keys.dtype.itemsize
+    both = [text_keys.view(np.uint8).reshape(n, width), spread.astype(">u8").view(np.uint8).reshape(n, 8)]
+    return np.concatenate(both, 1).view(f"S{width + 8}").reshape(n)
 
 
 class _Ranges:
     """Sampled splitters, sorted, and the texts that several of them have."""
 
-    def __init__(self, keys: Sequence[bytes], parts: int):
-        keys = np.sort(np.array(keys, f"S{KEY_BYTES + 16}"))
+    def __init__(self, keys: Sequence[bytes], parts: int, width: int):
+        keys = np.sort(np.array(keys, f"S{width + 16}"))
         self.at = keys[(np.arange(1, parts) * len(keys)) // parts] if len(keys) else keys
-        texts, n = np.unique(self.at.astype(f"S{KEY_BYTES + 8}"), return_counts=True)
+        texts, n = np.unique(self.at.astype(f"S{width + 8}"), return_counts=True)
         self.hot = texts[n > 1]
 
     def place(self, text_keys: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,17 +73,17 @@ class _Ranges:
         return np.searchsorted(self.at, _whole(text_keys, np.where(hot, spread, 0).astype(np.uint64)), "right"), hot
 
 
-def _sampled(rows: DataFrame, names: Sequence[str], parts: int, n: int) -> _Ranges:
-    """names: text and spread columns. At most about SAMPLE keys of 48 bytes a partition reach the driver."""
+def _sampled(rows: DataFrame, names: Sequence[str], parts: int, n: int, width: int) -> _Ranges:
+    """names: text and spread columns. At most about SAMPLE keys a partition reach the driver."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, _ = _keys(normalised(b.column(0)))
+            text, _ = _keys(normalised(b.column(0)), width)
             yield pa.RecordBatch.from_arrays([pa.array(_whole(text, b.column(1).to_numpy().astype(np.uint64)).tolist(), pa.binary())], names=["k"])
 
     share = min(1.0, SAMPLE * parts / max(1, n))
     some = rows.select(*names) if share == 1 else rows.select(*names).sample(share, 1)
-    return _Ranges([r["k"] for r in some.mapInArrow(keys, "k binary").collect()], parts)
+    return _Ranges([r["k"] for r in some.mapInArrow(keys, "k binary").collect()], parts, width)
 
 
 def _solve(id_at: int, id_type: pa.DataType, out: Sequence[str], known: dict[bytes, tuple], sized: bool):
@@ -149,8 +149,8 @@ def _solve(id_at: int, id_type: pa.DataType, out: Sequence[str], known: dict[byt
     return stream
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), sized: bool = True, parts: int | None = None) -> DataFrame:
-    """id_col and the columns of carry, with keep_id, group_size, kept and text_sha256 of each row's group of equal texts. carry may name text_col and any other column; where it holds one of the four names, the new column gets an underscore before it. Without `sized`, group_size is null and no row is held. parts: ranges, by size if not given."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), sized: bool = True, parts: int | None = None, key_bytes: int = KEY_BYTES) -> DataFrame:
+    """id_col and the columns of carry, with keep_id, group_size, kept and text_sha256 of each row's group of equal texts. carry may name text_col and any other column; where it holds one of the four names, the new column gets an underscore before it. Without `sized`, group_size is null and no row is held. parts: ranges, by size if not given; key_bytes: bytes of the text in a splitter."""
     spark = docs.sparkSession
     small_batches(spark)
     carry = list(dict.fromkeys(c for c in carry if c != id_col))
@@ -159,13 +159,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(id_col, *carry, F.xxhash64(id_col).alias(spread), F.col(text_col).alias(text), F.coalesce(F.length(text_col), F.lit(0)).alias(length))
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     parts = parts or max(partitions(spark), -(-size // PART_BYTES), -(-n // PART_ROWS))
-    ranges = _sampled(rows, [text, spread], parts, n)
+    ranges = _sampled(rows, [text, spread], parts, n, key_bytes)
     width = 1 + len(carry)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = normalised(b.column(width + 1))
-            keys, shas = _keys(found)
+            keys, shas = _keys(found, key_bytes)
             place, is_hot = ranges.place(keys, b.column(width).to_numpy().astype(np.uint64))
             more = [found.cast(pa.binary()), pa.array(shas, pa.binary()), b.column(width + 2), pa.array(place.astype(np.int32)), pa.array(is_hot)]
             yield pa.RecordBatch.from_arrays([*b.columns[:width], *more], names=[id_col, *carry, norm, sha, length, part, hot])

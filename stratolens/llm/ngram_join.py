@@ -3,7 +3,9 @@
 1. Each text becomes its set of distinct n-gram hashes. Texts with the same set are one class; classes are joined.
 2. Bound against all others. Tokens are dealt by hash to buckets, packed per document as 32-bit remainders; a bucket tells
    for each class how many of its tokens some other class has too. A class links with another only if at least
-   the threshold's share of its own tokens is shared, so all others are settled here.
+   the threshold's share of its own tokens is shared, so all others are settled here. Tokens that meet in one task are
+   counted there and go on once, so a frequent token is never gathered; tokens of one set with equal remainders may be
+   counted once instead of twice and are added to the bound.
 3. The classes left are sorted by two minhashes of their shared tokens and cut into groups of GROUP classes, so similar
    ones stand together. The token-group matrix holds each group's union of tokens, sparse: (token, group). A class probes
    it with the rarest of its tokens, as many as any partner must share one of (document frequencies make the order, so
@@ -35,6 +37,8 @@ from .shingles import mix, shingle_sets
 GROUP, BLOCK = 64, 512
 #: Tokens a task packs before it passes them on; tokens for which one more bucket is made.
 FLUSH, BUCKET_TOKENS = 2_000_000, 4_000_000
+#: A token with more than a partition's share / HOT of all shared tokens is hot.
+HOT = 8
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -47,100 +51,109 @@ def _need(n, num: int, den: int):
 
 
 def shingle_classes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """id, n_shingles, digest (of the set) of every row."""
+    """id, n_shingles, twins, digest (of the set) of every row. twins: tokens whose lower half another token of the set has."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, digest = [], []
+            size, twins, digest = [], [], []
             for s in shingle_sets(b.column(1), n):
+                low = np.sort(s.astype(np.uint32))
                 size.append(len(s))
+                twins.append(int(np.count_nonzero(low[1:] == low[:-1])))
                 digest.append(_digest(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary())], names=["id", "n_shingles", "digest"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(twins, pa.int64()), pa.array(digest, pa.binary())], names=["id", "n_shingles", "twins", "digest"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(sets, f"id {kind}, n_shingles long, digest binary")
+    return docs.select(id_col, text_col).mapInArrow(sets, f"id {kind}, n_shingles long, twins long, digest binary")
 
 
 def _short(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
 
+#: Stands for "two other documents, or more" where a token's documents met in one task already.
+_SOME = np.int64(np.iinfo(np.int64).min)
+
+
 def _packer(n: int, buckets: int):
-    """Texts -> (bucket, docs, counts, tokens): the short digests of the documents with tokens in the bucket, how many each has, and the tokens' lower halves."""
+    """Texts -> (bucket, docs, counts, tokens): the short digests of the documents with tokens in the bucket, how many each has, and the tokens' lower halves.
+
+    Tokens that several documents of a flush have are counted here, in a row of a bucket below 0 (docs, counts), and go on
+    once, as _SOME's; so a token of a third of all texts is one entry a flush.
+    """
 
-    def flush(sets: list[np.ndarray], names: list[int]) -> pa.RecordBatch:
+    def row(bucket: int, docs: np.ndarray, counts: np.ndarray, tokens: np.ndarray) -> tuple:
+        return bucket, docs.tobytes(), counts.astype(np.uint32).tobytes(), tokens.tobytes()
+
+    def flush(of: dict[int, np.ndarray]) -> pa.RecordBatch:
+        names, sets = np.fromiter(of, np.int64, len(of)), list(of.values())
         every = np.concatenate(sets)
-        sizes = np.array([len(s) for s in sets])
+        doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(every)
+        token = every[order]
+        again = token[1:] == token[:-1]
+        here = np.zeros(len(every), bool)  # shared inside this flush
+        here[order[1:]] |= again
+        here[order[:-1]] |= again
+        rows = [row(-1 - int(names[0]) % buckets, names, np.bincount(doc[here], minlength=len(sets)), np.zeros(0, np.uint32))]
+        first = np.concatenate([[True], ~again]) & here[order]
+        every, doc = np.concatenate([every[~here], token[first]]), np.concatenate([doc[~here], np.full(int(first.sum()), len(sets))])
+        names = np.append(names, _SOME)
         bucket = (((every >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
         order = np.argsort(bucket, kind="stable")
-        doc, bucket, low = np.repeat(np.arange(len(sets)), sizes)[order], bucket[order], (every[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        start = np.concatenate([[0], np.flatnonzero((bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])) + 1])
-        counts, doc, of = np.diff(np.append(start, len(every))).astype(np.uint32), np.array(names, np.int64)[doc[start]], bucket[start]
-        ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of))
-        rows, a = [], 0
-        for z in ends.tolist():
-            t0, t1 = start[a], start[z] if z < len(start) else len(every)
-            rows.append((int(of[a]), doc[a:z].tobytes(), counts[a:z].tobytes(), low[t0:t1].tobytes()))
+        doc, bucket, low = doc[order], bucket[order], (every[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        start = np.concatenate([[0], np.flatnonzero((bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])) + 1]) if len(every) else np.zeros(0, np.int64)
+        counts, doc, at = np.diff(np.append(start, len(every))), names[doc[start]], bucket[start]
+        a = 0
+        for z in (np.append(np.flatnonzero(at[1:] != at[:-1]) + 1, len(at)) if len(at) else np.zeros(0, np.int64)).tolist():
+            rows.append(row(int(at[a]), doc[a:z], counts[a:z], low[start[a] : start[z] if z < len(start) else len(every)]))
             a = z
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "docs", "counts", "tokens"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: list[np.ndarray] = []
-        names: list[int] = []
+        of: dict[int, np.ndarray] = {}
         held = 0
         for b in batches:
             for s in shingle_sets(b.column(0), n):
-                if len(s):
-                    sets.append(s)
-                    names.append(_short(_digest(s)))
+                if len(s) and (name := _short(_digest(s))) not in of:
+                    of[name] = s
                     held += len(s)
                 if held >= FLUSH:
-                    yield flush(sets, names)
-                    sets, names, held = [], [], 0
-        if sets:
-            yield flush(sets, names)
+                    yield flush(of)
+                    of, held = {}, 0
+        if of:
+            yield flush(of)
 
     return pack
 
 
-def _sharer(ranges: int):
-    """The rows of a bucket -> (range, docs, counts): how many tokens each document shares with another one."""
-
-    def share(t: pa.Table) -> pa.Table:
-        get = lambda c, k: np.frombuffer(b"".join(t.column(c).to_pylist()), k)
-        names, slot = np.unique(get("docs", np.int64), return_inverse=True)
-        key = (get("tokens", np.uint32).astype(np.uint64) << np.uint64(32)) | np.repeat(slot, get("counts", np.uint32)).astype(np.uint64)
-        key.sort()
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-        token = key >> np.uint64(32)
-        again = token[1:] == token[:-1]
-        shared = np.zeros(len(key), bool)
-        shared[1:] |= again
-        shared[:-1] |= again
-        counts = np.bincount((key[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
-        at = np.flatnonzero(counts)
-        names, counts = names[at], counts[at].astype(np.uint32)
-        part = names.astype(np.uint64) % np.uint64(ranges)
-        order = np.argsort(part, kind="stable")
-        names, counts, part = names[order], counts[order], part[order]
-        of, first = np.unique(part, return_index=True)
-        cut = np.append(first, len(part))
-        return pa.table({"part": pa.array(of.astype(np.int64)), "docs": pa.array([names[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary()), "counts": pa.array([counts[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary())})
-
-    return share
-
-
-def _total(t: pa.Table) -> pa.Table:
-    names, slot = np.unique(np.frombuffer(b"".join(t.column("docs").to_pylist()), np.int64), return_inverse=True)
-    return pa.table({"sid": names, "shared": np.bincount(slot, np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint32), len(names)).astype(np.int64)})
+def _share(t: pa.Table) -> pa.Table:
+    """The rows of a bucket -> (sid, far, near): how many tokens a document shares with others outside its flush, or inside."""
+    get = lambda c, k: np.frombuffer(b"".join(t.column(c).to_pylist()), k)
+    docs, counts = get("docs", np.int64), get("counts", np.uint32)
+    none = lambda n: pa.nulls(n, pa.int64())
+    if t.column("bucket")[0].as_py() < 0:
+        return pa.table({"sid": docs, "far": none(len(docs)), "near": counts.astype(np.int64)})
+    names, slot = np.unique(docs, return_inverse=True)
+    key = (get("tokens", np.uint32).astype(np.uint64) << np.uint64(32)) | np.repeat(slot, counts).astype(np.uint64)
+    key.sort()
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    token = key >> np.uint64(32)
+    again = token[1:] == token[:-1]
+    shared = np.zeros(len(key), bool)
+    shared[1:] |= again
+    shared[:-1] |= again
+    far = np.bincount((key[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
+    at = np.flatnonzero((far > 0) & (names != _SOME))
+    return pa.table({"sid": names[at], "far": far[at], "near": none(len(at))})
 
 
 def shared_tokens(texts: DataFrame, n: int, tokens: int) -> DataFrame:
-    """texts (text) -> (sid, shared): for each set, by its short digest, the tokens that another set has too. Sets that share none are left out."""
+    """texts (text) -> (sid, shared): for each set, by its short digest, at least the tokens that another set has too, but for its twins. Every copy of a set counts its flush's tokens in full, so the least of those counts and all others make a bound."""
     buckets = max(partitions(texts.sparkSession), -(-tokens // BUCKET_TOKENS))
     packed = texts.mapInArrow(_packer(n, buckets), "bucket long, docs binary, counts binary, tokens binary")
-    part = packed.groupBy("bucket").applyInArrow(_sharer(max(1, buckets // 4)), "part long, docs binary, counts binary")
-    return part.groupBy("part").applyInArrow(_total, "sid long, shared long")
+    found = packed.groupBy("bucket").applyInArrow(_share, "sid long, far long, near long")
+    return found.groupBy("sid").agg((F.coalesce(F.sum("far"), F.lit(0)) + F.coalesce(F.min("near"), F.lit(0))).alias("shared"))
 
 
 def _opener(num: int, den: int):
@@ -207,8 +220,13 @@ def _opener(num: int, den: int):
 def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
     """sets (sid, tokens) -> (sid, root, links) rows, see _opener."""
     tokens = sets.select("sid", F.explode("tokens").alias("token"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = tokens.join(common, "token").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    common = stored(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "join-common")
+    # A token that fills a fair part of a task by itself never meets in one: there are at most HOT a partition, sent to every task.
+    total = common.agg(F.sum("df")).first()[0] or 0
+    often = F.col("df") * partitions(sets.sparkSession) * HOT > total
+    hot = F.broadcast(common.filter(often))
+    cold = tokens.join(hot.select("token"), "token", "left_anti").join(common.filter(~often).hint("merge"), "token")
+    shared = tokens.join(hot, "token").unionByName(cold).groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
     sized = sets.select("sid", F.size("tokens").alias("n"))
     rare = F.col("n") - F.floor((num * F.col("n") + den - 1) / den) + 1 - (F.col("n") - F.size("shared"))
     probe = shared.join(sized, "sid").withColumn("rare", rare.cast("int")).filter("rare > 0").withColumn("prefix", F.transform(F.slice("shared", 1, F.col("rare")), lambda x: x["token"]))
@@ -233,12 +251,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key, text = fresh(docs, "row_key", "row_text")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias(text)).withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.xxhash64(text))))
     rows = shingle_classes(docs.withColumn("k", F.struct("doc_id", key, F.xxhash64(text).alias("text_hash"))), "k", text, n)
-    rows = stored(rows.select("id.doc_id", "id.text_hash", F.col(f"id.{key}").alias("row_key"), "n_shingles", "digest"), "join-classes")
-    classes = rows.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.min("row_key").alias("row_key"))
+    rows = stored(rows.select("id.doc_id", "id.text_hash", F.col(f"id.{key}").alias("row_key"), "n_shingles", "twins", "digest"), "join-classes")
+    classes = rows.groupBy("digest", "n_shingles", "twins").agg(F.min("doc_id").alias("class_id"), F.min("row_key").alias("row_key"))
+    classes = stored(classes.withColumn("sid", F.monotonically_increasing_id()), "join-names")  # a number of its own for each class
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    shared = shared_tokens(docs.select(text), n, total)
-    sid = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    left = classes.withColumn("sid", sid).join(shared, "sid").filter((F.col("n_shingles") > 0) & (100 * F.col("shared") >= percent * F.col("n_shingles")))
+    shared = shared_tokens(docs.select(text), n, total).withColumnRenamed("sid", "short")
+    short = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+    left = classes.withColumn("short", short).join(shared, "short").filter((F.col("n_shingles") > 0) & (100 * (F.col("shared") + F.col("twins")) >= percent * F.col("n_shingles")))
     left = stored(left.select("sid", F.col("row_key").alias("want_key"), F.col("digest").alias("want")), "join-left")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = stored(_linked(sets, percent, 100), "join-links")
     parts = components(linked.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy("sid").agg(F.sum("links").alias("n_links"))
-    names = classes.select("digest", "class_id", sid.alias("sid")).join(parts.withColumnRenamed("id", "p_id"), F.col("sid") == F.col("p_id"), "left").join(links, "sid", "left")
+    names = classes.select("digest", "class_id", "sid").join(parts.withColumnRenamed("id", "p_id"), F.col("sid") == F.col("p_id"), "left").join(links, "sid", "left")
     names = stored(names.select("digest", "class_id", F.coalesce("label", "sid").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "join-names")
     whole = names.groupBy("label").agg(F.min("class_id").alias("component_id"))
     names = names.join(whole, "label").select("digest", "class_id", "component_id", "n_links", "label")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stratolens.llm import exact_dedup as exact
+from stratolens.llm import ngram_join
 from stratolens.llm.components import components
 from stratolens.llm.exact_dedup import exact_dedup
 from stratolens.llm.ngram_join import near_duplicates
@@ -43,16 +43,15 @@ def test_exact_dedup(spark, texts, hot):
 @pytest.mark.parametrize("parts,batch", [(40, 3), (7, 512)])
 def test_exact_dedup_of_hot_texts_over_many_ranges(spark, monkeypatch, parts, batch):
     """A third of the rows are one text, another third share 50 characters; keys are cut so short that they say little."""
-    monkeypatch.setattr(exact, "KEY_BYTES", 2)
     monkeypatch.setattr("stratolens.llm.common.BATCH_ROWS", batch)
     rng = np.random.default_rng(8)
     rows = [(i, "hot  text" if i % 2 else "hottext") for i in range(300)] + [(None, "hot text"), (None, "hot text"), (17, "hot  text")]
     rows += [(300 + i, "x" * 50 + f" {rng.integers(60)}" + " " * int(rng.integers(4))) for i in range(300)]
     rows += [(600 + i, [None, "", " ", "a\0", "a", "\0", "é" * 40_000][i % 7]) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = exact_dedup(df, parts=parts).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    got = exact_dedup(df, parts=parts, key_bytes=2).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
     assert sorted((tuple(r) for r in got), key=str) == plain_dedup(rows)
-    kept = [r["doc_id"] for r in exact_dedup(df, carry=["text"], sized=False, parts=parts).filter("kept").collect()]
+    kept = [r["doc_id"] for r in exact_dedup(df, carry=["text"], sized=False, parts=parts, key_bytes=2).filter("kept").collect()]
     assert sorted(kept, key=str) == sorted((r[0] for r in plain_dedup(rows) if r[3]), key=str)
 
 
@@ -114,6 +113,50 @@ def test_near_duplicates_in_one_large_group(spark):
     assert sorted((tuple(r) for r in got), key=str) == plain_join(rows, 4, 85)
 
 
+def test_bound_of_shared_tokens(monkeypatch):
+    """A token in a third of the texts, equal lower halves in a text, copies in other flushes: never less than the truth, and exact without twins."""
+    rng = np.random.default_rng(4)
+    hot = np.uint64(7 << 40)
+    sets = []
+    for i in range(90):
+        s = rng.integers(0, 1 << 63, 20).astype(np.uint64)
+        if i % 3 == 0:
+            s = np.append(s, hot)
+        if i % 5 == 0:  # two tokens with one lower half, shared with the next set
+            s = np.concatenate([s, [np.uint64((i << 33) + 5), np.uint64((i << 33) + (1 << 32) + 5)]]).astype(np.uint64)
+        if i % 5 == 1:
+            s = np.concatenate([s, [x for x in sets[-1] if int(x) % (1 << 32) == 5], sets[-1][:3]]).astype(np.uint64)
+        sets.append(np.unique(s))
+    sets += [sets[0], sets[7]]
+    monkeypatch.setattr(ngram_join, "shingle_sets", lambda column, n: iter([sets[x.as_py()] for x in column]))
+    monkeypatch.setattr(ngram_join, "FLUSH", 300)
+    packed = pa.Table.from_batches(ngram_join._packer(4, 3)([pa.record_batch([pa.array(range(len(sets)))], names=["text"])]))
+    far, near = Counter(), {}
+    hot_entries = 0
+    for b in set(packed["bucket"].to_pylist()):
+        some = packed.filter(pa.compute.equal(packed["bucket"], b))
+        hot_entries += sum(np.frombuffer(x.as_py(), np.uint32).tolist().count(int(hot) & 0xFFFFFFFF) for x in some["tokens"])
+        for r in ngram_join._share(some).to_pylist():
+            far[r["sid"]] += r["far"] or 0
+            if r["near"] is not None:
+                near[r["sid"]] = min(near.get(r["sid"], 1 << 60), r["near"])
+    distinct = {ngram_join._short(ngram_join._digest(s)): set(s.tolist()) for s in sets}
+    df = Counter(x for s in distinct.values() for x in s)
+    for name, s in distinct.items():
+        want, low = sum(df[x] > 1 for x in s), Counter(x & 0xFFFFFFFF for x in s)
+        twins = len(s) - len(low)
+        assert want <= far[name] + near[name] + twins and (twins or far[name] + near[name] == want)
+    assert hot_entries <= len({b for b in range(len(packed))}) and hot_entries < 20
+
+
+def test_near_duplicates_with_a_shingle_in_every_text(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, "one two three four " + " ".join(f"u{rng.integers(10**6)}" for _ in range(rng.integers(1, 9)))) for i in range(400)]
+    rows += [(400 + i, rows[i][1]) for i in range(50)] + [(500 + i, "one two three four") for i in range(150)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=2, percent=60).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain_join(rows, 2, 60)
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_duplicates(empty).collect() == []
 
