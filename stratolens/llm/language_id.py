@@ -5,11 +5,13 @@ over its letters' bytes. Gates are a = (s(x) + 1) / 2 with s(x) = x / (1 + |x|),
 saturating shape without exponentials, and training uses its own derivative.
 
 Texts are read whole, in windows of WINDOW bytes that overlap their neighbours by CONTEXT bytes on both sides, so memory
-doesn't grow with a text's length. Training reads at most SAMPLE_DOCS texts, the same number a language as far as there are
-that many; that bound is a parameter, everything else covers all rows.
+doesn't grow with a text's length. Training learns from at most SAMPLE_DOCS texts, the same number a language as far as
+there are that many, and PIECES pieces of TIME bytes from anywhere in each, which tasks draw; that bound is a parameter,
+everything else covers all rows. The network has an output a language, so languages are taken to be few (up to thousands).
 
-Null texts and texts without a letter get `und` and score 0. If no labelled row can be learned from, all texts do. Null
-identifiers count as empty for the fold. Other columns pass through; repeated rows get the same answer.
+Null texts and texts without a letter get `und` and score 0. If no labelled row can be learned from, all texts do. Equally
+likely languages: the first by name. Null identifiers count as empty for the fold. Other columns pass through, also under
+the results' names (those get an underscore then); repeated rows get the same answer; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import fresh, small_batches, utf8
 
-HIDDEN, WINDOW, CONTEXT, SAMPLE_DOCS = 8, 512, 24, 2400
+HIDDEN, WINDOW, CONTEXT = 8, 512, 24
+#: Bounds of what is learned from: texts, pieces of each, bytes of a piece.
+SAMPLE_DOCS, PIECES, TIME = 2400, 16, 48
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -111,18 +115,17 @@ class Network:
             g[f"x{d}"], g[f"u{d}"] = gx, gu
         return float(loss), g
 
-    def fit(self, texts: list[bytes], label: np.ndarray, steps: int = 320, batch: int = 192, time: int = 48, rate: float = 0.02, seed: int = 11) -> "Network":
-        """Adam on windows from anywhere in the texts, each language as often."""
+    def fit(self, texts: list[list[bytes]], label: np.ndarray, steps: int = 320, batch: int = 192, time: int = TIME, rate: float = 0.02, seed: int = 11) -> "Network":
+        """Adam on pieces from anywhere in the texts, each language as often."""
         rng = np.random.default_rng(seed)
-        of = [[t for t, y in zip(texts, label) if y == k and t] for k in range(len(self.langs))]
+        of = [[t for t, y in zip(texts, label) if y == k] for k in range(len(self.langs))]
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         for i in range(1, steps + 1):
             seq, y = np.full((batch, time), 32, np.uint8), rng.integers(0, len(self.langs), batch)
             for j, k in enumerate(y):
                 if of[k]:
                     t = of[k][rng.integers(len(of[k]))]
-                    at = rng.integers(0, max(1, len(t) - time + 1))
-                    part = np.frombuffer(t[at : at + time], np.uint8)
+                    part = np.frombuffer(t[rng.integers(len(t))], np.uint8)[:time]
                     seq[j, : len(part)] = part
             _, g = self.gradients(seq, y)
             now = rate * min(1, 2 * (1 - i / (steps + 1)))
@@ -133,29 +136,49 @@ class Network:
                 self.p[k] = (self.p[k] - now * (first[k] / (1 - 0.9**i)) / (np.sqrt(second[k] / (1 - 0.98**i)) + 1e-6)).astype(np.float32)
         return self
 
-    def label(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Probabilities (window, byte, language) of windows [start, end) of data, longest first; bytes past a window's end are of no meaning."""
-        size, k = end - start, len(self.langs)
-        out = np.zeros((int(size[0]), len(size), k), np.float32)
-        active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right")
+    def label(self, byte: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Probabilities (language, time, window) for bytes (time, window), of which the first active[t] windows have a byte at t; the rest has no meaning. The gates' parts of all weights lie apart, so every operation runs over one stretch of memory."""
+        h, time, n = len(self.p["uf"]), *byte.shape
+        out = np.zeros((len(self.langs), time * n), np.float32)
         for d in "fb":
-            h = np.zeros((len(size), len(self.p["uf"])), np.float32)
-            for t, n in enumerate(active.tolist()):
-                at = t if d == "f" else size[:n] - 1 - t
-                new = self._step(d, data[start[:n] + at], h[:n])[0]
-                h[:n] = new
-                if d == "f":
-                    np.matmul(new, self.p["of"], out=out[t, :n])
-                else:
-                    out[at, np.arange(n)] += new @ self.p["ob"]
-        out += self.p["bias"]
-        out -= out.max(2, keepdims=True)
+            x_of, u_of = (np.ascontiguousarray(self.p[k].reshape(-1, 3, h).transpose(1, 0, 2)) for k in (f"x{d}", f"u{d}"))
+            u_of[2] *= 0.5  # (s + 1) / 2 * u is (s + 1) * (u / 2)
+            states = np.zeros((time, n, h), np.float32)
+            before = np.zeros((n, h), np.float32)
+            x, u, size = (np.empty((3, n, h), np.float32) for _ in range(3))
+            for t in range(time) if d == "f" else range(time - 1, -1, -1):
+                m = int(active[t])
+                if x.shape[1] != m:
+                    x, u, size = (np.empty((3, m, h), np.float32) for _ in range(3))
+                prev, new = before[:m], states[t, :m]
+                np.take(x_of, byte[t, :m], axis=1, out=x, mode="clip")
+                np.matmul(prev, u_of, out=u)
+                gate, soft = x[:2], size[:2]
+                gate += u[:2]
+                np.abs(gate, out=soft)
+                soft += 1
+                gate /= soft
+                gate += 1
+                c, soft = u[2], size[2]
+                c *= gate[0]
+                c += x[2]
+                np.abs(c, out=soft)
+                soft += 1
+                c /= soft
+                np.subtract(prev, c, out=soft)
+                soft *= gate[1]
+                soft *= 0.5
+                np.add(soft, c, out=new)
+                before = states[t]
+            out += self.p[f"o{d}"].T @ states.reshape(time * n, h).T
+        out += self.p["bias"][:, None]
+        out -= out.max(0)
         np.exp(out, out=out)
-        out /= out.sum(2, keepdims=True)
-        return out.transpose(1, 0, 2)
+        out /= out.sum(0)
+        return out.reshape(-1, time, n)
 
-    def windows(self, data: np.ndarray, at: np.ndarray, block: int = 768) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Blocks of windows: document, first byte, number of bytes, probabilities (window, byte, language) of those."""
+    def windows(self, data: np.ndarray, at: np.ndarray, block: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks of windows: document, first byte, bytes before it that are context, number of bytes, the bytes (time, window) and their probabilities (language, time, window), both from the context on."""
         n = -(-np.diff(at) // WINDOW)
         doc = np.repeat(np.arange(len(n)), n)
         core = at[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
@@ -164,31 +187,27 @@ class Network:
         order = np.argsort(start - end, kind="stable")
         for i in range(0, len(order), block):
             o = order[i : i + block]
-            prob = self.label(data, start[o], end[o])
-            lead = core[o] - start[o]
-            if lead.any():
-                moved = np.minimum(lead[:, None] + np.arange(min(WINDOW, prob.shape[1])), prob.shape[1] - 1)
-                prob = np.take_along_axis(prob, moved[:, :, None], 1)
-            yield doc[o], core[o], stop[o] - core[o], prob[:, :WINDOW]
+            size = end[o] - start[o]
+            t = np.arange(int(size[0]))
+            byte = data[np.minimum(start[o] + t[:, None], len(data) - 1)]
+            yield doc[o], core[o], core[o] - start[o], stop[o] - core[o], byte, self.label(byte, np.searchsorted(-size, -t, "left"))
 
     def documents(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         """Language and its pooled probability of each text."""
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
         data, at = utf8(texts)
-        pooled, letters = np.zeros((len(at) - 1, len(self.langs))), np.zeros(len(at) - 1, np.int64)
-        for doc, core, size, prob in self.windows(data, at):
-            use = np.arange(prob.shape[1]) < size[:, None]
-            use &= _LETTER[data[np.minimum(core[:, None] + np.arange(prob.shape[1]), len(data) - 1)]]
-            np.add.at(pooled, doc, np.einsum("wbk,wb->wk", prob, use.astype(np.float32)))
-            np.add.at(letters, doc, use.sum(1))
+        pooled, letters, plain = np.zeros((len(at) - 1, len(self.langs))), np.zeros(len(at) - 1, np.int64), np.zeros(len(at) - 1, np.int64)
+        for doc, _, lead, size, byte, prob in self.windows(data, at):
+            t = np.arange(len(byte))[:, None]
+            use = (t >= lead) & (t < lead + size) & _LETTER[byte]
+            np.add.at(pooled, doc, np.einsum("ktn,tn->nk", prob, use.astype(np.float32)))
+            np.add.at(letters, doc, use.sum(0))
+            np.add.at(plain, doc, (use & (byte < 128)).sum(0))
         best = pooled.argmax(1)
-        ascii_letter = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(_LETTER[data] & (data < 128), out=ascii_letter[1:])
-        some = ascii_letter[at[1:]] > ascii_letter[at[:-1]]
         langs, scores = [], []
         for i, n in enumerate(letters.tolist()):
-            known = n and (some[i] or any(c.isalpha() for c in texts[i].as_py()))
+            known = n and (plain[i] or any(c.isalpha() for c in texts[i].as_py()))
             langs.append(self.langs[best[i]] if known else "und")
             scores.append(min(1.0, float(pooled[i, best[i]]) / n) if known else 0.0)
         return langs, scores
@@ -204,12 +223,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     each = max(1, sample_docs // len(langs))
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, 1.2 * each / count[k]))])
     draw = F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1 << 30)) / (1 << 30)
-    found = rows.filter(draw < share[F.col("lang")]).withColumn("draw", draw).orderBy("draw", "id", F.xxhash64("text")).limit(2 * sample_docs).collect()
+    drawn = rows.filter(draw < share[F.col("lang")]).select(draw.alias("draw"), "id", "lang", F.xxhash64("text").alias("h"), "text")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for seed, text in zip(b.column(3).to_pylist(), b.column(4)):
+                whole, rng = memoryview(text.as_buffer()) if text.is_valid and len(text.as_buffer()) else b"", np.random.default_rng(abs(seed))
+                out.append([bytes(whole[i : i + TIME]) for i in rng.integers(0, max(1, len(whole) - TIME + 1), PIECES).tolist()] if len(whole) else [])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.list_(pa.binary()))], names=["draw", "id", "lang", "h", "pieces"])
+
+    small_batches(docs.sparkSession)
+    found = drawn.mapInArrow(pieces, "draw double, id string, lang string, h long, pieces array<binary>").filter("size(pieces) > 0").orderBy("draw", "id", "h").limit(2 * sample_docs).collect()
     texts, label, of = [], [], dict.fromkeys(langs, 0)
     for r in found:
-        if of[r["lang"]] < each and r["text"]:
+        if of[r["lang"]] < each:
             of[r["lang"]] += 1
-            texts.append(r["text"].encode())
+            texts.append([bytes(x) for x in r["pieces"]])
             label.append(langs.index(r["lang"]))
     return Network(langs).fit(texts, np.array(label, np.int64))
 
@@ -237,8 +267,9 @@ def language_spans(docs: DataFrame, network: Network, id_col: str = "doc_id", te
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = utf8(b.column(1))
-            for doc, core, size, prob in network.windows(data, at):
-                best = prob.argmax(2)
+            for doc, core, lead, size, _, prob in network.windows(data, at):
+                best = prob.argmax(0).T
+                best = np.take_along_axis(best, np.minimum(lead[:, None] + np.arange(size.max()), best.shape[1] - 1), 1)
                 best[np.arange(best.shape[1]) >= size[:, None]] = -1
                 new = np.ones(best.shape, bool)
                 new[:, 1:] = best[:, 1:] != best[:, :-1]

@@ -40,6 +40,36 @@ def test_windows_agree_with_one_pass(monkeypatch):
     assert whole[0][1:3] == ["und", "und"] and whole[1][1:3] == [0, 0]
 
 
+def test_labels_are_those_of_a_loop_over_bytes(monkeypatch):
+    net = language_id.Network(["a", "b", "c"], hidden=5)
+    monkeypatch.setattr(language_id, "WINDOW", 16)
+    monkeypatch.setattr(language_id, "CONTEXT", 7)
+    texts = ["short", "été 12", "x" * 16, "a longer text, which has several windows, some with context", None, "", "..."]
+    soft = lambda x: x / (1 + abs(x))
+
+    def states(d, part):
+        h, out = np.zeros(5), []
+        for byte in part:
+            x, u = net.p[f"x{d}"][byte], h @ net.p[f"u{d}"]
+            r, z = (soft(x[:5] + u[:5]) + 1) / 2, (soft(x[5:10] + u[5:10]) + 1) / 2
+            m = soft(x[10:] + r * u[10:])
+            h = (1 - z) * m + z * h
+            out.append(h)
+        return out
+
+    for text, lang, score in zip(texts, *net.documents(pa.array(texts))):
+        b, total, n = (text or "").encode(), np.zeros(3), 0
+        for at in range(0, len(b), 16):
+            a, z = max(0, at - 7), min(len(b), at + 16 + 7)
+            f, r = states("f", b[a:z]), states("b", b[a:z][::-1])[::-1]
+            for i in range(at, min(at + 16, len(b))):
+                if chr(b[i]).isascii() and chr(b[i]).isalpha() or b[i] > 127:
+                    e = np.exp(f[i - a] @ net.p["of"] + r[i - a] @ net.p["ob"] + net.p["bias"])
+                    total += e / e.sum()
+                    n += 1
+        assert (lang, score) == (("und", 0) if not n else (net.langs[total.argmax()], pytest.approx(total.max() / n, rel=1e-4)))
+
+
 def test_language_accuracy_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     net = language_id.train(docs)
@@ -52,7 +82,7 @@ def test_language_accuracy_held_out(spark):
 
 def test_language_edges(docs, empty):
     net = language_id.train(docs.filter("lang is null"))
-    assert net.langs == [] and {r["lang_pred"] for r in language_id.predict_language(docs, net).collect()} == {"und"}
+    assert language_id.train(empty).langs == [] and net.langs == [] and {r["lang_pred"] for r in language_id.predict_language(docs, net).collect()} == {"und"}
     net = language_id.Network(["en", "de"])
     out = language_id.predict_language(docs.withColumnRenamed("lang", "score"), net)
     assert out.columns[-2:] == ["lang_pred", "_score"] and out.count() == docs.count()
