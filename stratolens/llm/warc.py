@@ -4,16 +4,22 @@ A record is a run of rows (record, chunk_no, data): chunk 0 has the WARC and HTT
 the payload each, with the running SHA-1 of the payload so far. A record's data are one gzip member, as in .warc.gz files,
 flushed at the end of each chunk. The reader takes a record's chunks in order and carries
 that digest, so neither side ever holds a record's bytes together beyond the row that brought the payload. A payload that
-occurs again is written as a revisit: headers only, naming the response with the smallest identifier.
-
-Null payloads are empty. A null identifier comes after all others, and stays null. Repeated rows are records each: those
-with the smallest identifier are responses. An empty table gives an empty archive.
+occurs again (by SHA-256) is written as a revisit: headers only, naming the response with the smallest identifier. A payload
+that fills a fair part of all rows is looked up in a table that every task has, so its rows stay where they are; there are at
+most HOT such payloads a partition. write_files streams the chunks of whole records to .warc.gz files.
+
+Every record has an identifier of its own. A response's comes from its digest and source, so that revisits in other tasks can
+name it. Null payloads are empty. A null source comes after all others, and stays null. Repeated rows are records each: those
+with the smallest source are responses; if that source is there several times, revisits name it by address alone. Very long
+payloads take one row of memory and a chunk at a time. Other columns are left out, so names can't clash. An empty table gives
+an empty archive.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,16 +27,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches, stored
+from .common import partitions, small_batches, stored
 
 CHUNK = 64 << 10
+#: A payload with more rows than a partition's share / HOT is hot.
+HOT = 4
 _HEAD = "WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{uuid}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: {url}\r\nWARC-Payload-Digest: sha1:{digest}\r\nX-Payload-Length: {size}\r\nX-Source-Id: {source}\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _uuid(hexes: str) -> str:
-    return f"{hexes[:8]}-{hexes[8:12]}-{hexes[12:16]}-{hexes[16:20]}-{hexes[20:32]}"
+def _uuid(*parts) -> str:
+    return str(uuid.uuid5(uuid.NAMESPACE_URL, "/".join(map(str, parts))))
 
 
 def _line(value) -> str:
@@ -44,15 +52,16 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows: list[tuple] = []
         held = 0
-        for source, url, payload, sha1, kind, first in zip(*(c for c in b.columns)):
-            source, url, sha1, kind, first = (x.as_py() for x in (source, url, sha1, kind, first))
+        for source, url, payload, sha1, kind, first, times in zip(*(c for c in b.columns)):
+            source, url, sha1, kind, first, times = (x.as_py() for x in (source, url, sha1, kind, first, times))
             view = memoryview(payload.as_buffer()) if payload.is_valid and len(payload.as_buffer()) else memoryview(b"")
             size = len(view)
             digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-            own = sha1 if kind == "response" else hashlib.md5(f"{part}/{n}".encode()).hexdigest()
-            head = _HEAD.format(kind=kind, uuid=_uuid(own), url=_line(url), digest=digest, size=size, source=_line(source))
+            own = _uuid(sha1, source) if kind == "response" and times == 1 else _uuid("record", part, n)
+            head = _HEAD.format(kind=kind, uuid=own, url=_line(url), digest=digest, size=size, source=_line(source))
             if kind == "revisit":
-                head += f"WARC-Profile: {_PROFILE}\r\nWARC-Refers-To: <urn:uuid:{_uuid(sha1)}>\r\nX-Refers-To-Source: {_line(first)}\r\nContent-Length: 0\r\n\r\n"
+                refers = f"WARC-Refers-To: <urn:uuid:{_uuid(sha1, first)}>\r\n" if times == 1 else ""
+                head += f"WARC-Profile: {_PROFILE}\r\n{refers}X-Refers-To-Source: {_line(first)}\r\nContent-Length: 0\r\n\r\n"
                 view = memoryview(b"")
             else:
                 http = _HTTP.format(size=size)
@@ -78,14 +87,48 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """The chunk table (record, chunk_no, data, running_sha1, last) of an archive with a record for each row; payloads under `least` bytes are never revisits."""
     small_batches(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).alias("source"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
-    first = rows.groupBy("sha1").agg(F.min("source").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("sha1").alias("first_sha1"), "first")
-    rows = rows.join(first, F.col("sha1") == F.col("first_sha1"), "left")
-    again = F.col("first_sha1").isNotNull() & ~F.col("source").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= least)
-    rows = rows.select("source", "url", "payload", "sha1", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("first"))
+    rows = pages.select(F.col(id_col).alias("source"), F.col(url_col).alias("url"), payload.alias("payload")).withColumns({"sha1": F.sha1("payload"), "sha2": F.sha2("payload", 256)})
+    times = rows.groupBy("sha2", "source").agg(F.count("*").alias("times"))
+    first = times.groupBy("sha2").agg(F.min(F.struct(F.col("source").isNull().alias("none"), "source", "times")).alias("best"), F.sum("times").alias("n"))
+    first = stored(first.select(F.col("sha2").alias("first_sha2"), F.col("best.source").alias("first"), "best.times", "n"), "warc-first")
+    most = (first.agg(F.sum("n")).first()[0] or 0) / (HOT * partitions(pages.sparkSession))
+    # At most HOT rows a partition: small enough to send to every task.
+    hot = F.broadcast(first.filter((F.col("n") > most) & (F.col("n") > 1)).select(F.col("first_sha2").alias("hot_sha2"), F.col("first").alias("hot_first"), F.col("times").alias("hot_times")))
+    rows = rows.join(hot, F.col("sha2") == F.col("hot_sha2"), "left").withColumn("key", F.when(F.col("hot_sha2").isNull(), F.col("sha2")).otherwise(F.md5(F.concat(F.lit("hot "), F.coalesce(F.col("source").cast("string"), F.lit(""))))))
+    # Never broadcast: payloads that occur more than once grow with the table.
+    rows = rows.join(first.filter((F.col("n") <= most) & (F.col("n") > 1)).hint("merge"), F.col("key") == F.col("first_sha2"), "left")
+    found, first, times = F.coalesce("first_sha2", "hot_sha2"), F.when(F.col("hot_sha2").isNull(), F.col("first")).otherwise(F.col("hot_first")), F.coalesce("times", "hot_times")
+    again = found.isNotNull() & ~F.col("source").eqNullSafe(first) & (F.octet_length("payload") >= least)
+    small = found.isNotNull() & (F.octet_length("payload") < least)  # several responses of one payload
+    rows = rows.select("source", "url", "payload", "sha1", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, first).alias("first"), F.when(small, 2).otherwise(F.coalesce(times, F.lit(1))).alias("times"))
     return stored(rows.mapInArrow(_write, "record long, chunk_no long, data binary, running_sha1 string, last boolean"), "warc")
 
 
+def write_files(chunks: DataFrame, folder: str) -> DataFrame:
+    """Writes the records of a chunk table to .warc.gz files in a folder that all executors share, a file a partition, streaming; (file, records, bytes). A file gets its name when it is whole, so a task that runs again replaces it."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        context = TaskContext.get()
+        files, top = fs.FileSystem.from_uri(folder)
+        name = f"part-{context.partitionId():05d}.warc.gz"
+        part, records, size = f"{top}/.{name}.{context.taskAttemptId()}", 0, 0
+        files.create_dir(top)
+        with files.open_output_stream(part) as out:
+            for b in batches:
+                for no, data in zip(b.column(0).to_pylist(), b.column(1)):
+                    records += no == 0
+                    size += out.write(data.as_buffer())
+        files.move(part, f"{top}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records]), pa.array([size])], names=["file", "records", "bytes"])
+
+    small_batches(chunks.sparkSession)
+    rows = chunks.select("record", "chunk_no", "data").repartition("record").sortWithinPartitions("record", "chunk_no")
+    done = rows.select("chunk_no", "data").mapInArrow(write, "file string, records long, bytes long")
+    return chunks.sparkSession.createDataFrame(done.collect(), done.schema)  # a row a file; written once
+
+
 class _Record:
     """What is known of a record whose chunks come in."""
 

@@ -63,6 +63,41 @@ def test_warc(spark):
     assert warc.read_warc(warc.write_warc(pages.limit(0))).collect() == []
 
 
+def _records(folder):
+    """Headers of each gzip member of the files in a folder, read with the standard library alone."""
+    for path in sorted(folder.glob("*.warc.gz")):
+        data = path.read_bytes()
+        while data:
+            member = zlib.decompressobj(31)
+            record, data = member.decompress(data), member.unused_data
+            head, body = record.split(b"\r\n\r\n", 1)
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            assert len(body) == int(fields["Content-Length"]) + 4
+            yield fields, body[: -4]
+
+
+@pytest.mark.parametrize("hot", [4, 10**6])
+def test_warc_files_and_record_ids(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(warc, "HOT", hot)
+    rows = [(i, f"u{i}", "error page" if i % 3 == 0 else f"page {i % 40} " + "é" * (i * 50)) for i in range(120)] + [(1, "again", "page 1 " + "é" * 50), (None, "n", "error page"), (7, "v", ""), (8, "w", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    done = warc.write_files(warc.write_warc(pages), str(tmp_path / "out")).collect()
+    found = list(_records(tmp_path / "out"))
+    assert sum(r["records"] for r in done) == len(found) == len(rows)
+    ids = [f["WARC-Record-ID"] for f, _ in found]
+    assert len(set(ids)) == len(ids)
+    by = {f["WARC-Record-ID"]: (f, body) for f, body in found}
+    revisits = [f for f, _ in found if f["WARC-Type"] == "revisit"]
+    assert len(revisits) == len(rows) - len({h or "" for _, _, h in rows}) - 1
+    for f in revisits:
+        if f["X-Refers-To-Source"] != "1":
+            assert by[f["WARC-Refers-To"]][0]["X-Source-Id"] == f["X-Refers-To-Source"] and by[f["WARC-Refers-To"]][0]["WARC-Payload-Digest"] == f["WARC-Payload-Digest"]
+    bodies = {f["X-Source-Id"]: body.split(b"\r\n\r\n", 1)[1].decode() for f, body in found if f["WARC-Type"] == "response"}
+    assert all(bodies[i] == (dict((str(r[0]), r[2]) for r in rows[:120])[i]) for i in bodies if i not in ("1", "7", "8"))
+    small = warc.read_warc(warc.write_warc(pages, least=10**6)).collect()
+    assert {r["record_type"] for r in small} == {"response"} and all(r["intact"] for r in small)
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix_sources(docs, block=8, shard_words=500).collect()
     assert len(rows) == docs.count() and all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
