@@ -127,33 +127,55 @@ def _packer(n: int, buckets: int):
     return pack
 
 
-def _share(t: pa.Table) -> pa.Table:
-    """The rows of a bucket -> (sid, far, near): how many tokens a document shares with others outside its flush, or inside."""
-    get = lambda c, k: np.frombuffer(b"".join(t.column(c).to_pylist()), k)
-    docs, counts = get("docs", np.int64), get("counts", np.uint32)
-    none = lambda n: pa.nulls(n, pa.int64())
-    if t.column("bucket")[0].as_py() < 0:
-        return pa.table({"sid": docs, "far": none(len(docs)), "near": counts.astype(np.int64)})
-    names, slot = np.unique(docs, return_inverse=True)
-    key = (get("tokens", np.uint32).astype(np.uint64) << np.uint64(32)) | np.repeat(slot, counts).astype(np.uint64)
-    key.sort()
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    token = key >> np.uint64(32)
-    again = token[1:] == token[:-1]
-    shared = np.zeros(len(key), bool)
-    shared[1:] |= again
-    shared[:-1] |= again
-    far = np.bincount((key[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
-    at = np.flatnonzero((far > 0) & (names != _SOME))
-    return pa.table({"sid": names[at], "far": far[at], "near": none(len(at))})
+def _sharer(parts: int):
+    """The rows of a bucket -> (part, near, docs, counts): how many tokens documents share with others inside their flush (near) or outside, dealt to parts by document."""
+
+    def share(t: pa.Table) -> pa.Table:
+        get = lambda c, k: np.frombuffer(b"".join(t.column(c).to_pylist()), k)
+        names, counts = get("docs", np.int64), get("counts", np.uint32)
+        near = t.column("bucket")[0].as_py() < 0
+        if not near:
+            names, slot = np.unique(names, return_inverse=True)
+            key = (get("tokens", np.uint32).astype(np.uint64) << np.uint64(32)) | np.repeat(slot, counts).astype(np.uint64)
+            key.sort()
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+            token = key >> np.uint64(32)
+            again = token[1:] == token[:-1]
+            shared = np.zeros(len(key), bool)
+            shared[1:] |= again
+            shared[:-1] |= again
+            counts = np.bincount((key[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
+            at = np.flatnonzero((counts > 0) & (names != _SOME))
+            names, counts = names[at], counts[at].astype(np.uint32)
+        part = names.astype(np.uint64) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        names, counts, part = names[order], counts[order], part[order]
+        of, first = np.unique(part, return_index=True)
+        cut = list(zip(first.tolist(), [*first[1:].tolist(), len(part)]))
+        return pa.table({"part": pa.array(of.astype(np.int64)), "near": pa.array([near] * len(of), pa.bool_()), "docs": pa.array([names[a:z].tobytes() for a, z in cut], pa.binary()), "counts": pa.array([counts[a:z].tobytes() for a, z in cut], pa.binary())})
+
+    return share
+
+
+def _total(t: pa.Table) -> pa.Table:
+    """The rows of a part -> (sid, shared): all counts outside, and the least of those inside."""
+    docs, counts = ([np.frombuffer(x, k) for x in t.column(c).to_pylist()] for c, k in (("docs", np.int64), ("counts", np.uint32)))
+    inside = np.repeat(t.column("near").to_numpy(), [len(x) for x in docs])
+    names, slot = np.unique(np.concatenate(docs), return_inverse=True)
+    n = np.concatenate(counts).astype(np.int64)
+    least = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(least, slot[inside], n[inside])
+    shared = np.bincount(slot[~inside], n[~inside], len(names)).astype(np.int64) + np.where(least == np.iinfo(np.int64).max, 0, least)
+    some = shared > 0
+    return pa.table({"sid": names[some], "shared": shared[some]})
 
 
 def shared_tokens(texts: DataFrame, n: int, tokens: int) -> DataFrame:
-    """texts (text) -> (sid, shared): for each set, by its short digest, at least the tokens that another set has too, but for its twins. Every copy of a set counts its flush's tokens in full, so the least of those counts and all others make a bound."""
+    """texts (text) -> (sid, shared): for each set, by its short digest, at least the tokens that another set has too, but for its twins. Every copy of a set counts its flush's tokens in full, so the least of those counts and all others make a bound. Sets that share none are left out."""
     buckets = max(partitions(texts.sparkSession), -(-tokens // BUCKET_TOKENS))
     packed = texts.mapInArrow(_packer(n, buckets), "bucket long, docs binary, counts binary, tokens binary")
-    found = packed.groupBy("bucket").applyInArrow(_share, "sid long, far long, near long")
-    return found.groupBy("sid").agg((F.coalesce(F.sum("far"), F.lit(0)) + F.coalesce(F.min("near"), F.lit(0))).alias("shared"))
+    parts = packed.groupBy("bucket").applyInArrow(_sharer(max(1, buckets // 16)), "part long, near boolean, docs binary, counts binary")
+    return parts.groupBy("part").applyInArrow(_total, "sid long, shared long")
 
 
 def _opener(num: int, den: int):

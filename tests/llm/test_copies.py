@@ -131,22 +131,20 @@ def test_bound_of_shared_tokens(monkeypatch):
     monkeypatch.setattr(ngram_join, "shingle_sets", lambda column, n: iter([sets[x.as_py()] for x in column]))
     monkeypatch.setattr(ngram_join, "FLUSH", 300)
     packed = pa.Table.from_batches(ngram_join._packer(4, 3)([pa.record_batch([pa.array(range(len(sets)))], names=["text"])]))
-    far, near = Counter(), {}
-    hot_entries = 0
+    parts, hot_entries = [], 0
     for b in set(packed["bucket"].to_pylist()):
         some = packed.filter(pa.compute.equal(packed["bucket"], b))
         hot_entries += sum(np.frombuffer(x.as_py(), np.uint32).tolist().count(int(hot) & 0xFFFFFFFF) for x in some["tokens"])
-        for r in ngram_join._share(some).to_pylist():
-            far[r["sid"]] += r["far"] or 0
-            if r["near"] is not None:
-                near[r["sid"]] = min(near.get(r["sid"], 1 << 60), r["near"])
+        parts.append(ngram_join._sharer(4)(some))
+    parts = pa.concat_tables(parts)
+    got = {r["sid"]: r["shared"] for p in range(4) for r in ngram_join._total(parts.filter(pa.compute.equal(parts["part"], p))).to_pylist()}
     distinct = {ngram_join._short(ngram_join._digest(s)): set(s.tolist()) for s in sets}
     df = Counter(x for s in distinct.values() for x in s)
     for name, s in distinct.items():
         want, low = sum(df[x] > 1 for x in s), Counter(x & 0xFFFFFFFF for x in s)
         twins = len(s) - len(low)
-        assert want <= far[name] + near[name] + twins and (twins or far[name] + near[name] == want)
-    assert hot_entries <= len({b for b in range(len(packed))}) and hot_entries < 20
+        assert want <= got.get(name, 0) + twins and (twins or got.get(name, 0) == want)
+    assert hot_entries < 20
 
 
 def test_near_duplicates_with_a_shingle_in_every_text(spark):
