@@ -188,6 +188,61 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).collect() == []
 
 
+def plain_scan(rows, templates):
+    """License and the windows that hold it, by the definition."""
+    out = {}
+    for i, text in rows:
+        pairs = licenses._words(text or "")
+        pairs = list(zip(pairs, pairs[1:]))
+        for k, t in templates.items():
+            has = set(licenses._pairs(t))
+            w = licenses.width(len(has))
+            starts = [a for a in range(0, len(pairs), w // 4) if len(has & set(pairs[a : a + w])) >= licenses.need(len(has))]
+            if starts:
+                first = min(j for a in starts for j in range(a, min(a + w, len(pairs))) if pairs[j] in has)
+                out[i, k] = (max(len(has & set(pairs[a : a + w])) / len(has) for a in starts), first, len(starts))
+    return out
+
+
+def test_licenses_in_blocks_equal_the_plain_scan(spark):
+    rng = np.random.default_rng(3)
+    filler, rows = ["alpha", "beta", "the", "software", "of", "in", "notice", "x" * 90], []
+    for i, (_, t) in enumerate(licenses.TEMPLATES.items()):
+        w = licenses._words(t)
+        for j in range(2):  # every tenth word changed, long texts around it
+            part = [x if rng.random() > 0.1 * j else "changed" for x in w]
+            rows.append((2 * i + j, " ".join([*rng.choice(filler, rng.integers(0, 900)), *part, *rng.choice(filler, rng.integers(0, 900))])))
+    rows += [(900, "word " * 3000), (901, "y" * 9000)]
+    got = licenses.scan_licenses(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string"), block=4000).collect()
+    assert len(got) == len({(r["doc_id"], r["license"]) for r in got})
+    assert {(r["doc_id"], r["license"]): (pytest.approx(r["containment"]), r["first_word"], r["windows"]) for r in got} == plain_scan(rows, licenses.TEMPLATES)
+
+
+def test_bands_retrieve_by_themselves(spark):
+    """Windows with the least share of a template's shingles, the others random: all are retrieved."""
+    rng, rows = np.random.default_rng(5), []
+    n_bands = licenses.bands()
+    for k, t in licenses.TEMPLATES.items():
+        pairs = licenses._pairs(t)
+        for j in range(6):
+            some = [pairs[i] for i in rng.permutation(len(pairs))[: licenses.need(len(pairs))]]
+            some += [(f"r{rng.integers(10**9)}", "r") for _ in range(licenses.width(len(pairs)) - len(some))]
+            rows.append((len(rows), k, licenses.width(len(pairs)), [f"{a} {b}" for a, b in some]))
+    df = spark.createDataFrame(rows, "doc_id long, want string, width int, words array<string>")
+    df = df.withColumn("pairs", F.transform("words", lambda x: F.xxhash64(F.split(x, " ")[0], F.split(x, " ")[1])))
+    met = licenses._retrieved(df.withColumn("minima", licenses._minima(F.col("pairs"), n_bands)), licenses.TEMPLATES, n_bands)
+    assert met.filter("want = license").select("doc_id").distinct().count() == len(rows)
+
+
+def test_templates_from_a_folder(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("You may read this text and share it with all of your friends")
+    (tmp_path / "empty.txt").write_text("")
+    own = licenses.templates_of(spark, str(tmp_path))
+    assert list(own) == ["Own-1.0"]
+    docs = spark.createDataFrame([(1, "Header: you may read this text and share it with all of your friends."), (2, "you may")], "doc_id long, text string")
+    assert [(r["doc_id"], r["license"]) for r in licenses.scan_licenses(docs, templates=own).collect()] == [(1, "Own-1.0")]
+
+
 def test_every_template_is_found_in_itself(spark):
     rows = [(i, f"{'a b c ' * i}{t}{' d e f' * i}") for i, t in enumerate(licenses.TEMPLATES.values())]
     got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
