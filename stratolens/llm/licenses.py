@@ -118,11 +118,11 @@ def _minima(shingles: Column, n: int) -> Column:
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, reach: int, block: int) -> DataFrame:
     """doc_id, digest, first (word), own (words), words: each text, or blocks of it with the `reach` words that follow them."""
-    low = F.lower(F.coalesce(text_col, F.lit("")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"), low.alias("low"))
-    short = rows.filter(F.length("low") <= block).select("doc_id", "digest", F.lit(0).cast("long").alias("first"), _word_column(F.col("low")).alias("words"))
+    is_long = F.length(text_col) > block
+    rows = lambda some: docs.filter(some).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"), F.lower(text_col).alias("low"))
+    short = rows(~is_long).select("doc_id", "digest", F.lit(0).cast("long").alias("first"), _word_column(F.col("low")).alias("words"))
     short = short.select("doc_id", "digest", "first", F.size("words").alias("own"), "words")
-    long = rows.filter(F.length("low") > block).dropDuplicates(["doc_id", "digest"])
+    long = rows(is_long).dropDuplicates(["doc_id", "digest"])
     long = long.select("doc_id", "digest", F.posexplode(F.regexp_extract_all("low", F.lit(f"(?s).{{1,{block}}}[a-z0-9]*"), 0)).alias("n", "part"))
     long = long.select("doc_id", "digest", "n", _word_column(F.col("part")).alias("words"))
     by = Window.partitionBy("doc_id", "digest").orderBy("n")
