@@ -17,26 +17,38 @@ BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or the warehouse on a cluster where it is unset, or a temporary folder in local mode."""
-    conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir"):
+    """The folder all executors share: spark.checkpoint.dir. In local mode without that setting a temporary folder; on a cluster without it an error."""
+    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
-    if not (spark.sparkContext.master or "").startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+    if (spark.sparkContext.master or "").split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not getattr(shared_dir, "local", None):
         shared_dir.local = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return shared_dir.local
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: cuts the lineage, and survives lost executors."""
+    """df written as Parquet in the shared folder and read back: cuts the lineage, and survives lost executors. clear() takes it away."""
     path = f"{shared_dir(df.sparkSession)}/stages/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Deletes what stored() has written in this process, once results that read it are no longer needed; the number of folders."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that hold whole texts."""
+    """Bounds the Arrow batches that hold whole texts. The session keeps the setting, as batches are cut when a frame is run, not when it is made."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -72,3 +84,11 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return whole[at[0] : at[-1]], at - at[0]
+
+
+def counts_in(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many bytes of a mask are set in each text; needs no more memory than a number a text."""
+    out, some = np.zeros(len(at) - 1, np.int64), at[1:] > at[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(mask, at[:-1][some], dtype=np.int64)
+    return out

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import fresh, partitions, small_batches, utf8
+from .common import counts_in, fresh, partitions, small_batches, utf8
 
 #: Bytes of the normalised text in a splitter; sampled rows, bytes and rows a partition.
 KEY_BYTES, SAMPLE, PART_BYTES, PART_ROWS = 32, 64, 32 << 20, 250_000
@@ -37,11 +37,8 @@ def normalised(column: pa.Array | pa.ChunkedArray) -> pa.LargeBinaryArray:
     """The texts without blanks (space, \\t, \\n, \\v, \\f, \\r), as UTF-8; null is empty."""
     data, at = utf8(column)
     keep = _KEEP_BYTE[data]
-    size, some = np.zeros(len(at) - 1, np.int64), at[1:] > at[:-1]
-    if some.any():
-        size[some] = np.add.reduceat(keep, at[:-1][some], dtype=np.int64)
-    ends = np.concatenate([[0], np.cumsum(size)])
-    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data[keep])])
+    ends = np.concatenate([[0], np.cumsum(counts_in(keep, at))])
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data[keep])])
 
 
 def _keys(norm: pa.LargeBinaryArray, width: int) -> tuple[np.ndarray, list[bytes]]:

@@ -199,18 +199,18 @@ def _decoded(media: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
 
 
 def video_features(videos: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of each file: what its stored bytes decode to."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, clips (seconds from-to of each shot, as shot_clips has them in rows) of each file: what its stored bytes decode to."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for f, samples in _decoded(b.column(2)) if len(b) else ():
                 payload, found = samples.tobytes(), cuts(samples)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(f), hashlib.sha256(f).hexdigest(), f"frames={len(samples)};shots={len(found) + 1};cuts={','.join(map(str, found))}"))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x) for x in zip(*rows))] if rows else [c.slice(0, 0) for c in b.columns[:2]] + [pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(f), hashlib.sha256(f).hexdigest(), f"frames={len(samples)};shots={len(found) + 1};cuts={','.join(map(str, found))}", ",".join(f"{a / RATE:.2f}-{z / RATE:.2f}" for a, z in zip([0, *found], [*found, len(samples)]))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x) for x in zip(*rows))] if rows else [c.slice(0, 0) for c in b.columns[:2]] + [pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"])
 
     kind = videos.schema["doc_id"].dataType.simpleString()
-    return videos.select("doc_id", "n_bytes", "media").mapInArrow(read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return videos.select("doc_id", "n_bytes", "media").mapInArrow(read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips string")
 
 
 def shot_clips(videos: DataFrame) -> DataFrame:

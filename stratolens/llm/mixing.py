@@ -3,15 +3,17 @@
 Every source gets its weight's share of all words, at most max_repeat times its own words; what a capped source leaves
 goes to the others by weight. The words of the mix are equal blocks: the source with the highest quotient
 weight / (2 k - 1) gets the next block. A source's documents are dealt into shards by a seeded hash (a hot source has
-many), its blocks go to the shards by the same rule with the shards' words as weights, and every shard takes whole rounds
-of its blocks and a run of blocks, in seeded document order, from a seeded start. So all but two documents of a shard are
+many), its blocks go to teams of FAN shards and then to the shards by the same rule with their words as weights, and every
+shard takes whole rounds of its blocks and a run of blocks, in seeded document order, from a seeded start. So all but two documents of a shard are
 taken whole, and reruns agree.
 
 The highest quotients are found without listing every block: a count differs from its exact quota by less than
 1 + n w / 2W (n parties, weight w of W), and only seats in that range are ranked.
 
-Null and empty texts have size 0 and are never taken. Null is a source of its own, the last. Repeated rows count each.
-Empty tables give an empty result. Sources of no words have target 0.
+Sources meet in one window, a row each, so they are taken to be at most some millions; everything else is dealt to shards.
+Null and empty texts have size 0 and are never taken. Null is a source of its own, the last. Repeated rows count each. A very
+long text is in one shard, which grows by it. Equal quotients go to the source of smaller rank, the smaller team and shard.
+Other columns are left out, so names can't clash. Empty tables give an empty result. Sources of no words have target 0.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import n_words, stored
 
-#: Words in a block and, nearly, in a shard; shards of one source at most (beyond it they grow).
-BLOCK, SHARD_WORDS, MAX_SHARDS = 32, 32_768, 4096
+#: Words in a block and, nearly, in a shard; shards that share a source's blocks among them at once.
+BLOCK, SHARD_WORDS, FAN = 32, 32_768, 4096
 
 
 def _seeded(key: Column, seed: int) -> Column:
@@ -48,7 +50,7 @@ def _apportion(parties: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     return k.groupBy(*dict.fromkeys([*by, order])).agg((F.max("lo") + won).alias("quota"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = 0) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, block: int = BLOCK, shard_words: int = SHARD_WORDS, fan: int = FAN, seed: int = 0) -> DataFrame:
     """doc_id, digest (xxhash64 of the text, for joins), source, size, source_size, target, taken of every row. weights go to the sources in order of their names, repeating."""
     rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
     one = W.partitionBy("one")
@@ -65,7 +67,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     s = s.withColumn("all_w", F.sum(F.when(~F.col("capped"), F.col("w")).otherwise(0)).over(one))
     s = s.withColumn("n", F.sum(F.when(~F.col("capped"), 1).otherwise(0)).over(one))
     s = s.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise((F.col("w") * F.col("open_words")).cast("double") / F.col("all_w")))
-    s = s.withColumn("n_shards", F.greatest(F.lit(1), F.least(F.lit(MAX_SHARDS), F.ceil(F.col("source_size") / shard_words))))
+    s = s.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)))
     s = s.withColumn("seats", F.round(F.col("open_words") / block).cast("long")).withColumn("most", F.ceil(F.col("cap") / block).cast("long"))
     quota = _apportion(s.filter(~F.col("capped")), ["one"], "rank")
     s = stored(s.join(quota.select("rank", "quota"), "rank", "left").select("source", "source_size", "target", "capped", "n_shards", "quota"), "mix-sources")
@@ -75,8 +77,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("w"), *[F.first(c).alias(c) for c in ("source_size", "capped", "quota")])
     shards = shards.withColumn("blocks", F.ceil(F.col("w") / block)).withColumn("most", max_repeat * F.col("blocks"))
     shards = stored(shards.filter("w > 0"), "mix-shards")
-    parts = shards.filter(~F.col("capped")).select("source", "shard", "w", F.col("source_size").alias("all_w"), F.col("quota").alias("seats"), "most").withColumn("n", F.count("*").over(W.partitionBy("source")))
-    won = _apportion(parts, ["source"], "shard").withColumnRenamed("quota", "won").withColumnRenamed("source", "s2").withColumnRenamed("shard", "h2")
+    parts = shards.filter(~F.col("capped")).withColumn("team", F.floor(F.col("shard") / fan))
+    team = W.partitionBy("source", "team")
+    teams = parts.groupBy("source", "team").agg(F.sum("w").alias("w"), F.sum("most").alias("most"), *[F.first(c).alias(c) for c in ("source_size", "quota")])
+    teams = teams.select("source", "team", "w", F.col("source_size").alias("all_w"), F.col("quota").alias("seats"), "most").withColumn("n", F.count("*").over(W.partitionBy("source")))
+    seats = _apportion(teams, ["source"], "team").select(F.col("source").alias("s3"), F.col("team").alias("t3"), F.col("quota").alias("seats"))
+    parts = parts.select("source", "team", "shard", "w", F.sum("w").over(team).alias("all_w"), "most", F.count("*").over(team).alias("n"))
+    parts = parts.join(seats, F.col("source").eqNullSafe(F.col("s3")) & (F.col("team") == F.col("t3")))
+    won = _apportion(parts, ["source", "team"], "shard").withColumnRenamed("quota", "won").withColumnRenamed("source", "s2").withColumnRenamed("shard", "h2")
     shards = shards.join(won, F.col("source").eqNullSafe(F.col("s2")) & (F.col("shard") == F.col("h2")), "left")
     begin = F.pmod(_number(_seeded(F.concat_ws("/", F.coalesce("source", F.lit("")), "shard"), seed)), F.col("blocks"))
     shards = shards.select(F.col("source").alias("s1"), F.col("shard").alias("h1"), "blocks", F.coalesce(F.when(F.col("capped"), F.col("most")).otherwise(F.col("won")), F.lit(0)).alias("take"), begin.alias("begin"))
@@ -105,7 +113,7 @@ f AS (SELECT 0 AS round, [0::BIGINT][1:0] AS capped UNION ALL
 k AS (SELECT coalesce(capped, []) AS capped FROM f ORDER BY round DESC LIMIT 1),
 s2 AS (SELECT s1.*, list_contains(capped, rank) AS capped FROM s1, k),
 s3 AS (SELECT *, CAST(total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER () AS BIGINT) AS open_words, CAST(sum(CASE WHEN capped THEN 0 ELSE w END) OVER () AS BIGINT) AS all_w FROM s2),
-s4 AS (SELECT *, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE CAST(w * open_words AS DOUBLE) / all_w END AS target, least(4096, greatest(1, CAST(ceil(source_size / 32768) AS BIGINT))) AS n_shards FROM s3),
+s4 AS (SELECT *, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE CAST(w * open_words AS DOUBLE) / all_w END AS target, greatest(1, CAST(ceil(source_size / 32768) AS BIGINT)) AS n_shards FROM s3),
 q0 AS (SELECT rank, w / (2 * unnest(range(1, CAST(ceil(cap / 32) AS BIGINT) + 1)) - 1) AS quotient, CAST(round(open_words / 32) AS BIGINT) AS seats FROM s4 WHERE NOT capped),
 q1 AS (SELECT rank, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, rank) AS place FROM q0) WHERE place <= seats GROUP BY rank),
 s AS (SELECT s4.*, coalesce(quota, 0) AS quota FROM s4 LEFT JOIN q1 USING (rank)),

@@ -7,8 +7,10 @@ shrinks to the shortest permitted length that holds its contents.
 
 A bin's cost is fixed + length + length^2 / square: a start-up part, a linear part, and attention's square.
 
-Null and empty texts have no words: one row with n_words 0 and no bin. Repeated rows are packed each. Ties go by
-identifier and piece number. An empty table gives an empty result.
+Null and empty texts have no words: one row with n_words 0 and no bin. Repeated rows are packed each and spread over the
+shards by a row number, which holds for one layout of the input; null identifiers are values like others. A very long text is
+many pieces. Ties go by identifier and piece number. Other columns are left out, so names can't clash. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ def pack_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("digest"))
     pieces = rows.withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("size") / longest) - 1))))
     pieces = pieces.withColumn("start", F.col("piece_no") * longest).withColumn("n_words", F.least(F.lit(longest), F.col("size") - F.col("start")))
-    pieces = stored(pieces, "pack-pieces")
+    pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
     shards = max(1, -(-pieces.count() // shard_pieces))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece_no long, start long, n_words long, bin_id long, bin_offset long, bin_size int, bin_used long"
@@ -75,7 +77,7 @@ def pack_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = out.append_column(name, pa.array(x + none, k))
         return out
 
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "digest", "piece_no"), F.lit(shards)))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "digest", "piece_no", "row"), F.lit(shards)))
     return pieces.select("doc_id", "piece_no", "start", "n_words", "digest", "shard").groupBy("shard").applyInArrow(pack, schema)
 
 

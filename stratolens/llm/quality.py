@@ -5,11 +5,14 @@ are hashed to BUCKETS; their values are log(1 + count), scaled to length 1. Stat
 upper case, digits, marks, blanks, line ends; lengths of words and lines; repeated words) and its recorded length are each
 cut into LEVELS steps, one feature a step.
 
-Training reads at most SAMPLE_DOCS labelled texts outside the held-out fold, chosen by a hash of the identifier; that
-bound is a parameter. Scoring covers whole texts of all rows.
-
-Null and empty texts are scored by their statistics alone. A text with several labels has the highest. Without labels all
-scores are 0.5. Null identifiers count as empty for the fold. Repeated rows get the same score.
+Training reads at most SAMPLE_DOCS labelled texts outside the held-out fold, chosen by a hash of the identifier, one of each
+identifier; that bound is a parameter, and a text has at most WIDTH features, whatever its length. Scoring covers whole texts
+of all rows, a batch at a time.
+
+Null and empty texts are scored by their statistics alone; a null length counts as 0. A text with several labels has the
+highest. Without labels, or without texts for them, all scores are 0.5. Null identifiers count as empty for the fold and have
+no label. Repeated rows get the same score. Other columns pass through, also one with the score's name (the score gets an
+underscore before it then). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fresh, small_batches, utf8
+from .common import counts_in, fresh, small_batches, utf8
 from .shingles import word_hashes
 
 BUCKETS, FACTORS, LEVELS, SAMPLE_DOCS = 1 << 15, 4, 12, 5000
@@ -58,13 +61,8 @@ def features(texts: pa.Array, recorded: np.ndarray) -> tuple[np.ndarray, np.ndar
         values.append(x / norm[doc - first])
         words[first : first + len(size)] = size
         distinct[first : first + len(size)] = np.bincount(doc - first, minlength=len(size))
-    kinds = np.zeros((9, n))
-    some = np.diff(at) > 0
-    if some.any():
-        c = _CLASS[data]
-        for k in range(9):
-            total = np.concatenate([[0], np.cumsum(c == k)])
-            kinds[k] = total[at[1:]] - total[at[:-1]]
+    c = _CLASS[data]
+    kinds = np.stack([counts_in(c == k, at) for k in range(9)])
     size = np.maximum(1, np.diff(at))
     letters = np.maximum(1, kinds[0] + kinds[4])
     stats = {
@@ -136,19 +134,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     draw = F.pmod(F.xxhash64("label_id", F.lit("quality")), F.lit(1 << 30)) / (1 << 30)
     # At most sample_docs rows of an identifier and a label: small enough to send to every task.
     chosen = marked.filter(draw < 1.2 * sample_docs / max(1, n)).withColumn("draw", draw).orderBy("draw", "label_id").limit(sample_docs)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(size_col).alias("size")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(size_col).alias("size"), F.xxhash64(text_col).alias("h")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, ids, x = features(b.column(1), _lengths(b.column(2)))
             cut = np.searchsorted(rows, np.arange(len(b) + 1))
             packed = [[y[a:z].tobytes() for a, z in zip(cut, cut[1:])] for y in (ids.astype(np.int32), x.astype(np.float32))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), *(pa.array(y, pa.binary()) for y in packed)], names=["draw", "y", "ids", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(4), *(pa.array(y, pa.binary()) for y in packed)], names=["draw", "y", "h", "ids", "x"])
 
-    found = rows.select("draw", "text", "size", "y").mapInArrow(extract, "draw double, y double, ids binary, x binary").collect()
+    small_batches(docs.sparkSession)
+    found = rows.select("draw", "text", "size", "y", "h").mapInArrow(extract, "draw double, y double, h long, ids binary, x binary")
+    # One text of an identifier, so the bound holds whatever repeats.
+    found = [r["b"] for r in found.groupBy("draw").agg(F.min(F.struct("draw", "h", "y", "ids", "x")).alias("b")).collect()]
     if not found:
         return None
-    found.sort(key=lambda r: (r["draw"], bytes(r["ids"])))
+    found.sort(key=lambda r: (r["draw"], r["h"]))
     sets = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["x"], np.float32).astype(float)) for r in found]
     return FactorisationMachine().fit(sets, np.array([r["y"] for r in found]))
 

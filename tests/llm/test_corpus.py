@@ -21,12 +21,16 @@ def test_avi_round_trip(docs, texts, empty):
     by = defaultdict(set)
     for r in media.video_features(videos).collect():
         by[r["doc_id"]].add(tuple(r)[1:])
+    assert all(got[-1].startswith("0.00-") for x in by.values() for got in x)
     for i, t in texts:
         b = (t or "").encode()
         n = len(b)
         b += b"\xff" * (576 - n % 576 if n % 576 or not n else 0)
         (got,) = by[i]
         assert got[:4] == (n, len(b), hashlib.sha256(b).hexdigest(), zlib.crc32(b[-32:]))
+    rows = media.shot_clips(videos).filter("doc_id <> 130").orderBy("clip_no").collect()
+    for r in media.video_features(videos).filter("doc_id <> 130").collect():
+        assert r["clips"] == ",".join(f"{x['start_s']:.2f}-{x['end_s']:.2f}" for x in rows if x["doc_id"] == r["doc_id"])
     clips = media.shot_clips(videos).groupBy("doc_id").agg(F.max("end_frame").alias("n"), F.sum(F.col("end_frame") - F.col("first_frame")).alias("all")).collect()
     assert all(r["n"] == r["all"] for r in clips if r["doc_id"] not in (130,))
     assert media.video_features(media.text_videos(empty)).collect() == []
@@ -122,6 +126,11 @@ def test_mixing(docs, empty):
         assert t == pytest.approx(target[s]) and abs(taken - t) <= 8 * (3 + size // 500), s
     again = {(r["doc_id"], r["digest"]): r["taken"] for r in mixing.mix_sources(docs.repartition(7), block=8, shard_words=500).collect()}
     assert all(again[r["doc_id"], r["digest"]] == r["taken"] for r in rows if r["doc_id"] != 130)
+    teams = {(r["doc_id"], r["digest"]): r for r in mixing.mix_sources(docs, block=8, shard_words=200, fan=3).collect()}
+    for s, (size, _, t) in of.items():
+        rows_of = [r for r in teams.values() if r["source"] == s]
+        assert all(r["taken"] <= 3 * r["size"] for r in rows_of)
+        assert abs(sum(r["taken"] for r in rows_of) - t) <= 8 * (3 + size // 200) + 3 * sum(r["size"] for r in rows if r["doc_id"] == 130), s
     assert mixing.mix_sources(empty).collect() == []
 
 
