@@ -2,6 +2,10 @@
 
 Each stage works on all rows its predecessor kept and returns the columns of documents, but for the last, which returns the
 packed pieces. Every stage's result is written as Parquet in the shared folder and read again as the next one's documents.
+
+Null and empty texts have no language and go in the first stage; a null identifier or source is a value like others; rows that
+are repeated become one in the second; ties go to the smallest identifier; texts are read whole at any length; columns beside
+those of documents pass through, under whatever name; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,25 +26,25 @@ WORDS, PERCENT = 5, 80
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and texts no language is likely for."""
+    """Drops texts without a letter and texts no language is likely for; a language that isn't known becomes the predicted one."""
     lang, score = fresh(docs, "lang_pred", "score")
-    found = predict_language(docs, train(docs))
-    return found.filter((F.col(lang) != "und") & (F.col(score) >= LANG_SCORE)).select(docs.columns)
+    found = predict_language(docs, train(docs)).filter((F.col(lang) != "und") & (F.col(score) >= LANG_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", lang)).select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of equal texts."""
     kept = fresh(docs, "keep_id", "group_size", "kept")[2]
-    return exact_dedup(docs, carry=docs.columns).filter(F.col(kept)).select(docs.columns)
+    return exact_dedup(docs, carry=docs.columns, sized=False).filter(F.col(kept)).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest identifier of each component of linked texts; texts without words link with nothing and stay."""
-    found = near_duplicates(docs, n=WORDS, percent=PERCENT)
-    alone = found.filter("component IS NULL").select("doc_id", "text_hash")
-    first = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
-    keep = first.select("first.doc_id", "first.text_hash").union(alone).toDF("keep_doc", "keep_hash")
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("keep_doc")) & (F.xxhash64(docs["text"]) == F.col("keep_hash")), "left_semi")
+    found = near_duplicates(docs, n=WORDS, percent=PERCENT).filter("component is not null")
+    row = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    first = found.groupBy("component").agg(F.min(row).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = found.join(first, "component").filter(row != F.col("first")).select(F.col("doc_id").alias("gone_doc"), F.col("text_hash").alias("gone_hash"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_doc")) & (F.xxhash64(docs["text"]) == F.col("gone_hash")), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
