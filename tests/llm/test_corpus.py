@@ -278,3 +278,15 @@ def test_pipeline_stages(spark):
 
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("rows", [0, 1])
+def test_pipeline_stages_take_edge_cases(spark, docs, empty, rows):
+    """Nulls in any column, repeated rows, clashing columns; and no rows at all."""
+    some = (docs if rows else empty).withColumn("kept", F.lit(1)).withColumn("lang_pred", F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, some, SF)
+        if name == "best_fit_packing":
+            assert (out.count() > 0) == bool(rows)
+        else:
+            assert out.columns == some.columns and (out.count() > 0) == bool(rows)
