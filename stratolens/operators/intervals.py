@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .ordered import running
 
@@ -19,25 +19,34 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket:
     """Rows of left (start, end) and right (r_start, r_end) with equal keys whose intervals share time, and `overlap`.
 
     Both sides are cut into buckets of time, so the join is on equality and a busy key spreads over its buckets; a pair
-    that meets in several buckets is kept in the first. how is inner or left.
+    that meets in several buckets is kept in the first. how is inner or left: left rows that meet none stay once, with nulls.
     """
     cells = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.greatest(F.col(z) - 1, F.col(a)) / bucket)))
-    l = left.withColumn("_id", F.monotonically_increasing_id()) if how == "left" else left
-    on = l.withColumn("_cell", cells("start", "end")).join(right.withColumn("_cell", cells("r_start", "r_end")), [*keys, "_cell"])
-    on = on.filter((F.col("r_end") > F.col("start")) & (F.col("r_start") < F.col("end")))
-    on = on.filter(F.col("_cell") == F.greatest(F.floor(F.col("start") / bucket), F.floor(F.col("r_start") / bucket))).drop("_cell")
-    return on.withColumn("overlap", F.least("end", "r_end") - F.greatest("start", "r_start"))
+    on = left.withColumn("_id", F.monotonically_increasing_id()).withColumn("_cell", cells("start", "end"))
+    r = right.select(*[F.col(c).alias(f"_r_{c}" if c in keys else c) for c in right.columns], F.lit(True).alias("_met")).withColumn("_r_cell", cells("r_start", "r_end"))
+    same = (F.col("_cell") == F.col("_r_cell")) & (F.col("_cell") == F.greatest(F.floor(F.col("start") / bucket), F.floor(F.col("r_start") / bucket)))
+    for k in keys:
+        same &= F.col(k) == F.col(f"_r_{k}")
+    on = on.join(r, same & (F.col("r_end") > F.col("start")) & (F.col("r_start") < F.col("end")), how)
+    if how == "left":
+        one = W.partitionBy("_id")
+        on = on.withColumn("_any", F.max("_met").over(one)).withColumn("_nth", F.row_number().over(one.orderBy("_cell")))
+        on = on.filter(F.col("_met") | (F.col("_any").isNull() & (F.col("_nth") == 1))).drop("_any", "_nth")
+    return on.withColumn("overlap", F.least("end", "r_end") - F.greatest("start", "r_start") if how == "inner" else F.when(F.col("_met"), F.least("end", "r_end") - F.greatest("start", "r_start"))).drop("_id", "_cell", "_r_cell", "_met", *[f"_r_{k}" for k in keys])
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance: int, tie: str) -> DataFrame:
-    """Each left row (at) with the right row (r_at) nearest in time within the tolerance; the earlier, then smaller tie, wins. Left rows without one stay, with nulls. Rows meet by buckets of the tolerance's length."""
-    l = left.withColumn("_id", F.struct(*left.columns)).withColumn("_cell", F.explode(F.sequence(F.floor((F.col("at") - tolerance) / tolerance), F.floor((F.col("at") + tolerance) / tolerance))))
-    r = right.withColumn("_cell", F.floor(F.col("r_at") / tolerance))
-    gap = F.abs(F.col("at") - F.col("r_at"))
-    met = l.join(r, [*keys, "_cell"]).filter(gap <= tolerance)
-    best = met.groupBy("_id").agg(F.min(F.struct(gap.alias("gap"), "r_at", F.col(tie).alias("tie"))).alias("b"))
-    best = best.select(*[F.col(f"_id.{c}").alias(c) for c in left.columns], F.col("b.r_at").alias("r_at"), F.col("b.tie").alias(tie), F.col("b.gap").alias("gap"))
-    return left.join(best, list(left.columns), "left")
+    """Each left row (at) with the right row (r_at) nearest in time within the tolerance; the earlier, then smaller tie, wins. Left rows without one stay, with nulls, as do those with a null key or time. Rows meet by buckets of the tolerance's length."""
+    cells = F.sequence(F.floor((F.col("at") - tolerance) / tolerance), F.floor((F.col("at") + tolerance) / tolerance))
+    l = left.withColumn("_id", F.monotonically_increasing_id()).withColumn("_cell", F.explode_outer(cells))
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "r_at", F.col(tie).alias("_tie"), F.floor(F.col("r_at") / tolerance).alias("_r_cell"))
+    same, gap = F.col("_cell") == F.col("_r_cell"), F.abs(F.col("at") - F.col("r_at"))
+    for k in keys:
+        same &= F.col(k) == F.col(f"_r_{k}")
+    met = l.join(r, same & (gap <= tolerance), "left")
+    best = F.min(F.when(F.col("r_at").isNotNull(), F.struct(gap.alias("gap"), "r_at", "_tie"))).alias("_b")
+    out = met.groupBy("_id").agg(F.first(F.struct(*left.columns)).alias("_l"), best)
+    return out.select("_l.*", F.col("_b.r_at").alias("r_at"), F.col("_b._tie").alias(tie), F.col("_b.gap").alias("gap"))
 
 
 def coalesced(df: DataFrame, keys: Sequence[str], gap: int, part: int = 86_400_000_000) -> DataFrame:
@@ -57,12 +66,6 @@ def split(df: DataFrame, longest: int) -> DataFrame:
     return cut.select(*[c for c in df.columns if c not in ("start", "end")], "part", (F.col("start") + F.floor(F.col("part") * size)).alias("start"), (F.col("start") + F.floor((F.col("part") + 1) * size)).alias("end"))
 
 
-def thinned(points: Column, gap: int) -> Column:
-    """Of a sorted array of points those at least gap after the last one kept; the first is kept."""
-    step = lambda kept, x: F.when((F.size(kept) == 0) | (x - F.element_at(kept, -1) >= gap), F.concat(kept, F.array(x))).otherwise(kept)
-    return F.aggregate(points, F.array().cast("array<bigint>"), step)
-
-
 def carried(df: DataFrame, key: str, at: str, first: Callable, step: Callable, result: Callable, columns: str) -> DataFrame:
     """key and columns (of bigint): a fold over all points of a key in order of `at`. Partitions hold whole keys, sorted; the state goes on from batch to batch, so memory doesn't grow with a key, but its time does. first(point) and step(state, point) give a state, result(state) a row, or None for no row."""
     names = [key, *columns.split()]

@@ -28,7 +28,7 @@ def label_and_snippets(t: Tables):
 
 
 @query("""SELECT o_orderkey, CAST(year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END AS VARCHAR) || '-' || lpad(CAST((year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END + 1) % 100 AS VARCHAR), 2, '0') AS season,
-CAST(o_orderkey % 7 + 1 AS VARCHAR) || CASE o_orderkey % 7 + 1 WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END AS place, lpad(CAST(CAST(round(o_totalprice / 100) AS BIGINT) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(round(o_totalprice / 100) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock FROM orders""")
+CAST(o_orderkey % 7 + 1 AS VARCHAR) || CASE o_orderkey % 7 + 1 WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END AS place, CAST(CAST(round(o_totalprice / 100) AS BIGINT) // 60 AS VARCHAR) || ':' || lpad(CAST(CAST(round(o_totalprice / 100) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock FROM orders""")
 def season_and_clock(t: Tables):
     return t.orders.select("o_orderkey", X.season(F.col("o_orderdate")).alias("season"), X.ordinal(F.col("o_orderkey") % 7 + 1).alias("place"), X.minutes(F.col("o_totalprice") / 100).alias("clock"))
 

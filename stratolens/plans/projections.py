@@ -60,7 +60,7 @@ def metadata_tags(t: Tables):
 @query("""SELECT page_id, CASE WHEN starts_with(url, 'https://m.') THEN '/mobile/' || substr(url, 11) WHEN starts_with(url, 'https://') THEN '/web/' || substr(url, 9) ELSE url END AS path FROM pages""")
 def path_reroot(t: Tables):
     u = F.col("url")
-    return t.pages.select("page_id", F.when(u.startswith("https://m."), F.concat(F.lit("/mobile/"), F.substring(u, 11, 1 << 20))).when(u.startswith("https://"), F.concat(F.lit("/web/"), F.substring(u, 9, 1 << 20))).otherwise(u).alias("path"))
+    return t.pages.select("page_id", F.when(u.startswith("https://m."), F.concat(F.lit("/mobile/"), F.expr("substring(url, 11)"))).when(u.startswith("https://"), F.concat(F.lit("/web/"), F.expr("substring(url, 9)"))).otherwise(u).alias("path"))
 
 
 @query("""WITH g AS (SELECT conv_id, list(struct_pack(t := turn, r := role) ORDER BY turn) AS turns FROM conversations GROUP BY conv_id HAVING bool_or(role = 'system') OR count(*) > 6)

@@ -9,10 +9,10 @@ from ..operators import ordered as O, vector_search as R
 from .base import Tables, query
 
 TERMS = ("the", "with", "that", "was")
-MARKS = f"translate(lower(text), '{X.MARKED}', '{X.PLAIN}')"
+MARKS = f"translate(regexp_replace(lower(text), '[{X._MARKS}]+', '', 'g'), '{X.MARKED}', '{X.PLAIN}')"
 NORM = f"trim(regexp_replace({MARKS}, '[ \\t\\n\\r]+', ' ', 'g'))"
-SQL_TERMS = f"list_filter(list_transform(regexp_split_to_array(regexp_replace({NORM}, '[^a-z0-9 -]+', ' ', 'g'), ' +'), lambda t: regexp_replace(t, '^-+|-+$', '', 'g')), lambda t: t <> '')"
-SQL_KEYWORDS = f"list_filter({SQL_TERMS}, lambda t: length(t) > 2 AND NOT list_contains({list(X.STOP_WORDS)!r}, t))"
+SQL_TERMS = f"list_filter(list_transform(regexp_split_to_array(regexp_replace({NORM}, '[^{X.LETTERS} -]+', ' ', 'g'), ' +'), lambda t: regexp_replace(t, '^-+|-+$', '', 'g')), lambda t: t <> '')"
+SQL_KEYWORDS = f"list_filter({SQL_TERMS}, lambda t: (length(t) > 2 OR length(t) = 2 AND regexp_matches(t, '[{X.EAST}]')) AND NOT list_contains({list(X.STOP_WORDS)!r}, t))"
 #: Distinct in order of first appearance.
 SQL_FIRST = "(list_filter(list_transform(range(1, len({0}) + 1), lambda i: CASE WHEN list_position({0}, {0}[i]) = i THEN {0}[i] END), lambda t: t IS NOT NULL))"
 DOT = "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
@@ -31,7 +31,7 @@ SQL_HITS = f"(SELECT doc_id, source, lang, n_chars, len(list_intersect(list_dist
 
 
 def hits(t: Tables):
-    return t.documents.select("doc_id", "source", "lang", "n_chars", X.lexical_hits(X.terms(F.col("text")), TERMS).alias("hits"))
+    return t.documents.select("doc_id", "source", "lang", "n_chars", X.lexical_score(F.col("text"), TERMS).alias("hits"))
 
 
 def queries(t: Tables):
@@ -166,8 +166,8 @@ def three_valued_filter(t: Tables):
 
 @query(f"SELECT doc_id, len(list_intersect(list_distinct({SQL_TERMS}), ['the', 'with'])) = 2 AS has_all, len(list_intersect(list_distinct({SQL_TERMS}), ['auch', 'nicht', 'pour'])) > 0 AS has_any FROM documents")
 def required_evidence_all_any(t: Tables):
-    tokens = X.terms(F.col("text"))
-    return t.documents.select("doc_id", (X.lexical_hits(tokens, ("the", "with")) == 2).alias("has_all"), (X.lexical_hits(tokens, ("auch", "nicht", "pour")) > 0).alias("has_any"))
+    text = F.col("text")
+    return t.documents.select("doc_id", (X.lexical_score(text, ("the", "with")) == 2).alias("has_all"), (X.lexical_score(text, ("auch", "nicht", "pour")) > 0).alias("has_any"))
 
 
 SQL_LEDGER = f"(SELECT *, CAST(c_lang = 'trusted' AS INT) + CAST(c_text = 'trusted' AS INT) + CAST(c_safe = 'trusted' AS INT) AS hard, CAST(c_lang = 'weak' AS INT) + CAST(c_text = 'weak' AS INT) + CAST(c_safe = 'weak' AS INT) AS soft FROM {SQL_CHECKS})"
@@ -288,9 +288,8 @@ SELECT doc_id, item_id, count(*) AS shared, any_value(size) AS size FROM d JOIN
 
 def candidates(t: Tables):
     """(document, item) pairs that share at least three keywords, from an inverted index of the items."""
-    stop = 1 << 20
-    item = t.benchmark.select("item_id", X.keywords(F.col("text"), stop).alias("k")).select("item_id", F.size("k").alias("size"), F.explode("k").alias("term"))
-    doc = t.documents.select("doc_id", F.explode(X.keywords(F.col("text"), stop)).alias("term"))
+    item = t.benchmark.select("item_id", X.keywords(F.col("text"), None).alias("k")).select("item_id", F.size("k").alias("size"), F.explode("k").alias("term"))
+    doc = t.documents.select("doc_id", F.explode(X.keywords(F.col("text"), None)).alias("term"))
     return doc.join(item, "term").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.first("size").cast("long").alias("size"))
 
 

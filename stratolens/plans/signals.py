@@ -45,12 +45,12 @@ def lexical_provenance(t: Tables):
     return d.groupBy("term", "source").agg(F.count("*").alias("texts"), F.count_distinct("lang").alias("langs"), F.min("doc_id").alias("first_doc"))
 
 
-@query("SELECT doc_id, strlen(text) AS broken_chars, text AS repaired FROM documents WHERE strlen(text) <> length(text)")
+@query("SELECT doc_id, strlen(text) AS broken_chars, text AS repaired, TRUE AS left_alone FROM documents WHERE strlen(text) <> length(text)")
 def encoding_repair(t: Tables):
-    """UTF-8 that was read as Latin-1 has one character a byte; read back, it is the text again."""
+    """Texts whose UTF-8 was read as Latin-1 are told by their looks and read again; the texts as they are stay. The broken ones are made here, from all texts that can break."""
     broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    d = t.documents.filter(F.octet_length("text") != F.length("text")).select("doc_id", broken.alias("b"))
-    return d.select("doc_id", F.length("b").cast("long").alias("broken_chars"), F.decode(F.encode("b", "ISO-8859-1"), "UTF-8").alias("repaired"))
+    d = t.documents.filter(F.octet_length("text") != F.length("text")).select("doc_id", "text", broken.alias("b"))
+    return d.select("doc_id", F.length("b").cast("long").alias("broken_chars"), X.repaired(F.col("b")).alias("repaired"), (X.repaired(F.col("text")) == F.col("text")).alias("left_alone"))
 
 
 SQL_RGB = """(WITH h AS (SELECT event_id, (value * 7.31) % 6 AS h FROM events), i AS (SELECT event_id, CAST(floor(h) AS INT) AS i, h - floor(h) AS f FROM h)

@@ -33,9 +33,9 @@ def conditional_counts(t: Tables):
 @query("""SELECT c_mktsegment AS domain, c_nationkey AS provider, CASE WHEN c_acctbal < 0 THEN 'debit' ELSE 'credit' END AS kind, count(*) AS n, CAST(grouping(domain, provider, kind) AS BIGINT) AS level
 FROM customer GROUP BY GROUPING SETS ((), (domain), (provider), (kind), (domain, provider), (domain, kind))""")
 def status_grouping_sets(t: Tables):
-    t.customer.withColumn("kind", F.when(F.col("c_acctbal") < 0, "debit").otherwise("credit")).createOrReplaceTempView("status_rows")
-    return t.spark.sql("""SELECT c_mktsegment AS domain, c_nationkey AS provider, kind, count(*) AS n, grouping_id() AS level FROM status_rows
-        GROUP BY c_mktsegment, c_nationkey, kind GROUPING SETS ((), (c_mktsegment), (c_nationkey), (kind), (c_mktsegment, c_nationkey), (c_mktsegment, kind))""")
+    rows = t.customer.select(F.col("c_mktsegment").alias("domain"), F.col("c_nationkey").alias("provider"), F.when(F.col("c_acctbal") < 0, "debit").otherwise("credit").alias("kind"))
+    sets = [[], ["domain"], ["provider"], ["kind"], ["domain", "provider"], ["domain", "kind"]]
+    return rows.groupingSets([[F.col(c) for c in x] for x in sets], "domain", "provider", "kind").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
 @query("SELECT p_brand AS team, p_size % 5 AS position, count(*) AS n FROM part GROUP BY ROLLUP (p_brand, p_size % 5) HAVING p_brand IS NOT NULL")

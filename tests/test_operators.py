@@ -10,7 +10,7 @@ from stratolens.operators import intervals as I, merging as M, vector_search as
 
 def test_overlap_join_equals_all_pairs(spark):
     rng = random.Random(1)
-    left = [(i, rng.randrange(3), s := rng.randrange(1000), s + rng.randrange(0, 300)) for i in range(60)]
+    left = [(i, rng.randrange(3), s := rng.randrange(1000), s + rng.randrange(0, 300)) for i in range(60)] + [(60, 9, 5, 900)]
     right = [(i, rng.randrange(3), s := rng.randrange(1000), s + rng.randrange(1, 300)) for i in range(80)]
     l = spark.createDataFrame(left, "id long, k long, start long, end long")
     r = spark.createDataFrame(right, "r_id long, k long, r_start long, r_end long")
@@ -18,7 +18,11 @@ def test_overlap_join_equals_all_pairs(spark):
     for bucket in (7, 100, 5000):
         got = I.overlap_join(l, r, ["k"], bucket).select("id", "r_id", "overlap").collect()
         assert sorted(map(tuple, got)) == want
+        kept = I.overlap_join(l, r, ["k"], bucket, "left").select("id", "r_id", "overlap").collect()
+        none = {a[0] for a in left} - {a for a, _, _ in want}
+        assert none and sorted(map(tuple, kept), key=str) == sorted([*want, *((i, None, None) for i in none)], key=str)
     assert I.overlap_join(l, r.limit(0), ["k"], 10).count() == 0
+    assert I.overlap_join(l, r.limit(0), ["k"], 10, "left").count() == 61 and "_id" not in I.overlap_join(l, r, ["k"], 10, "left").columns
 
 
 def test_nearest_equals_all_pairs(spark):
@@ -30,6 +34,9 @@ def test_nearest_equals_all_pairs(spark):
         near = sorted((abs(r["at"] - b[2]), b[2], b[0]) for b in right if b[1] == r["k"] and abs(r["at"] - b[2]) <= 50)
         assert (r["gap"], r["r_at"], r["r_id"]) == (near[0] if near else (None, None, None))
     assert len(got) == 60
+    null = spark.createDataFrame([(1, 1, 10, None), (1, 1, 10, "x"), (2, None, 10, "x"), (3, 1, None, None)], "id long, k long, at long, note string")
+    got = I.nearest(null, spark.createDataFrame([(7, 1, 12)], "r_id long, k long, r_at long"), ["k"], 50, "r_id").select("id", "note", "r_id").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, "x", 7), (1, None, 7), (2, "x", None), (3, None, None)]
 
 
 def test_coalesced_and_split(spark):
@@ -40,11 +47,6 @@ def test_coalesced_and_split(spark):
     assert all(z - a <= 4 for _, a, z in parts) and sum(z - a for _, a, z in parts) == 30
 
 
-def test_thinned(spark):
-    df = spark.createDataFrame([([0, 1, 5, 9, 10, 16],), ([],)], "p array<long>")
-    assert [r[0] for r in df.select(I.thinned(F.col("p"), 5)).collect()] == [[0, 5, 10, 16], []]
-
-
 def test_merges(spark):
     df = spark.createDataFrame([(1, 2, "x"), (1, 1, "y"), (2, 5, None), (None, 1, "z")], "k long, o long, v string")
     assert sorted((tuple(r) for r in M.best_per_key(df, ["k"], F.col("o")).select("k", "v").collect()), key=str) == [(1, "y"), (2, None), (None, "z")]
@@ -73,6 +75,14 @@ def test_text(spark):
     assert tuple(got[0]) == ("ete d'aout the-end- x", ["ete", "aout", "the-end"], "ete-d-aout-the-end-x") and got[1]["k"] == [] and got[2]["n"] is None
     n = spark.createDataFrame([("1,234.5",), ("x",)], "t string").select(X.number(F.col("t"))).collect()
     assert [r[0] for r in n] == [1234.5, None]
+    east = spark.createDataFrame([("생일 축하 ring 日本 a ü", 1)], "t string, i long")
+    assert east.select(X.keywords(F.col("t"))).first()[0] == ["생일", "축하", "ring", "日本"]
+    score = east.select(*[X.lexical_score(F.col("t"), [q]) for q in ("일 축", "생", "ring", "rin", "ring 日本", "U", "축하  RING", "日")]).first()
+    assert list(score) == [1, 1, 1, 0, 1, 1, 1, 0]
+    assert [r[0] for r in spark.createDataFrame([(7384,), (59,), (-3,)], "s long").select(X.minutes(F.col("s"))).collect()] == ["123:04", "0:59", "0:00"]
+    row = spark.createDataFrame([("hello world-wide x_y", "football.final_third", "Yes", ["A  b", "a B", " ", None, "c"])], "a string, b string, c string, d array<string>")
+    got = row.select(X.title_case(F.col("a")), X.readable(F.col("b")), X.boolean(F.col("c")), X.distinct_spellings(F.col("d"))).first()
+    assert tuple(got) == ("Hello World-Wide X_y", "final third", True, ["A b", "c"])
     assert spark.range(1, 5).select(X.ordinal(F.col("id"))).collect()[3][0] == "4th"
 
 
