@@ -28,7 +28,7 @@ def _matrix(a: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return m, np.where(n == 0, 1.0, n)
 
 
-def _blocks(queries: DataFrame, rows: DataFrame, pick: _Top | _Within, schema: str, extra: Sequence[str], block: int) -> DataFrame:
+def _blocks(queries: DataFrame, rows: DataFrame, pick: _Top | _Within | _Nested, schema: str, extra: Sequence[str], block: int) -> DataFrame:
     """Every query (query_id, q) against every row (id, v, bonus and extra): each block of queries meets each block of rows in one group. pick gets cosines of some queries and the rows of a block, and gives the pairs of interest; those are recomputed as a sum over the vector alone, so that equal vectors tie."""
     n_q, n_r = (max(1, -(-df.count() // block)) for df in (queries, rows.select("id")))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -46,7 +46,7 @@ def _blocks(queries: DataFrame, rows: DataFrame, pick: _Top | _Within, schema: s
             q_id, r_id, bonus = a["query_id"].to_numpy(), b["id"].to_numpy(), b["bonus"].to_numpy()
             for at in range(0, len(q), CHUNK):
                 z = at + CHUNK
-                i, j = pick.near(q_unit[at:z] @ r_unit, bonus)
+                i, j = pick.near(q_unit[at:z] @ r_unit, bonus, b)
                 i = i + at
                 cos = np.empty(len(i))
                 for k in range(0, len(i), PAIRS):
@@ -54,7 +54,7 @@ def _blocks(queries: DataFrame, rows: DataFrame, pick: _Top | _Within, schema: s
                     cos[k : k + PAIRS] = (q[x] * r[y]).sum(1) / (q_len[x] * r_len[y])
                 keep = pick.best(q_id[i], r_id[j], cos, bonus[j], b, j)
                 i, j, cos = i[keep], j[keep], cos[keep]
-                found.append(pa.table({"query_id": q_id[i], "id": r_id[j], "cosine": cos, "score": pick.weight * cos + bonus[j], **{c: b[c].take(pa.array(j)) for c in extra}}).select(names))
+                found.append(pa.table({"query_id": q_id[i], "id": r_id[j], "cosine": cos, "score": pick.score(cos, bonus[j], b, j), **{c: b[c].take(pa.array(j)) for c in extra}}).select(names))
         return pa.concat_tables(found) if found else pa.table({c: pa.array([], t) for c, t in zip(names, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[b.schema.field(c).type for c in extra]])})
 
     return left.groupBy("_qb", "_rb").cogroup(right.groupBy("_qb", "_rb")).applyInArrow(meet, schema)
@@ -66,12 +66,15 @@ class _Top:
     def __init__(self, k: int, weight: float, tie: str):
         self.k, self.weight, self.tie = k, weight, tie
 
-    def near(self, cos, bonus):
+    def near(self, cos, bonus, b):
         s = self.weight * cos + bonus
         if self.k < s.shape[1]:
             return np.nonzero(s >= np.partition(s, -self.k, axis=1)[:, -self.k][:, None] - SLACK)
         return np.nonzero(np.ones_like(s, bool))
 
+    def score(self, cos, bonus, b, j):
+        return self.weight * cos + bonus
+
     def best(self, q, r, cos, bonus, b, j):
         order = np.lexsort((r, b[self.tie].to_numpy()[j], -(self.weight * cos + bonus), q))
         first = np.flatnonzero(np.r_[True, np.diff(q[order]) != 0]) if len(q) else np.array([], int)
@@ -82,18 +85,61 @@ class _Top:
 class _Within:
     """All rows with a cosine of at least `least`, and those whose bonus isn't 0."""
 
-    weight = 1.0
-
     def __init__(self, least: float):
         self.least = least
 
-    def near(self, cos, bonus):
+    def score(self, cos, bonus, b, j):
+        return cos + bonus
+
+    def near(self, cos, bonus, b):
         return np.nonzero((cos >= self.least - SLACK) | (bonus != 0))
 
     def best(self, q, r, cos, bonus, b, j):
         return np.flatnonzero((cos >= self.least) | (bonus != 0))
 
 
+class _Nested:
+    """The best k rows a query and group by weight x cosine + bonus, cosines cut to three places and at 0. Rows with `always` compete in any case, others where their cosine reaches one of two bounds; of a group with any `always` rows (`strict`), only those."""
+
+    def __init__(self, k: int, group: str, semantic: float, visual: float):
+        self.k, self.group, self.semantic, self.visual = k, group, semantic, visual
+
+    def score(self, cos, bonus, b, j):
+        return b["weight"].to_numpy()[j] * self.cut(cos) + bonus
+
+    @staticmethod
+    def cut(cos):
+        return np.maximum(0, np.round(cos, 3))
+
+    def allowed(self, cos, b, j):
+        """Whether rows j compete, by their cosines less a slack for the first look."""
+        always, strict, seen = (b[c].to_numpy(zero_copy_only=False)[j] for c in ("always", "strict", "seen"))
+        return np.where(strict, always, (cos >= self.semantic) | (seen & (cos >= self.visual)))
+
+    def near(self, cos, bonus, b):
+        every = np.arange(len(bonus))
+        ok = self.allowed(cos + 1e-3, b, every)
+        s = np.where(ok, b["weight"].to_numpy() * np.maximum(0, cos) + bonus, -np.inf)
+        rows, cols = [], []
+        for g in np.unique(names := b[self.group].to_numpy(zero_copy_only=False).astype(str)):
+            at = np.flatnonzero(names == g)
+            part = s[:, at]
+            least = np.partition(part, -self.k, axis=1)[:, -self.k][:, None] - 0.02 if self.k < len(at) else -np.inf
+            x, y = np.nonzero((part >= least) & (part > -np.inf))
+            rows.append(x)
+            cols.append(at[y])
+        return np.concatenate(rows), np.concatenate(cols)
+
+    def best(self, q, r, cos, bonus, b, j):
+        keep = np.flatnonzero(self.allowed(self.cut(cos), b, j))
+        group = np.unique(b[self.group].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1][j[keep]]
+        order = np.lexsort((r[keep], -self.score(cos, bonus, b, j)[keep], group, q[keep]))
+        pair = np.stack([q[keep], group])[:, order]
+        first = np.flatnonzero(np.r_[True, (pair[:, 1:] != pair[:, :-1]).any(0)]) if len(keep) else np.array([], int)
+        rank = np.arange(len(keep)) - np.repeat(first, np.diff(np.r_[first, len(keep)]))
+        return keep[order[rank < self.k]]
+
+
 def _schema(rows: DataFrame, extra: Sequence[str]) -> str:
     return ", ".join(["query_id long", "id long", "cosine double", "score double", *[f"{c} {rows.schema[c].dataType.simpleString()}" for c in extra]])
 
@@ -113,6 +159,14 @@ def within(queries: DataFrame, rows: DataFrame, least: float, also: Column, extr
     return _blocks(queries, _rows(rows, also.cast("int"), extra), _Within(least), _schema(rows, extra), extra, BLOCK).drop("score")
 
 
+def nested(queries: DataFrame, rows: DataFrame, group: str, k: int, semantic: float, visual: float, extra: Sequence[str]) -> DataFrame:
+    """query_id, id, cosine, score, the group, extra and rank: the best k rows of each query and group, see _Nested. rows: id, v, bonus, weight, always, strict, seen, group, extra."""
+    more = [group, *extra]
+    some = rows.select("id", "v", F.col("bonus").cast("double").alias("bonus"), F.col("weight").cast("double").alias("weight"), "always", "strict", "seen", *[c for c in more if c != "seen"])
+    found = _blocks(queries, some, _Nested(k, group, semantic, visual), _schema(rows, more), more, BLOCK)
+    return ordered.top_per_group(found, ["query_id", group], k, [F.col("score").desc(), F.col("id")], "id")
+
+
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
 

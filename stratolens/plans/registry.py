@@ -1,6 +1,6 @@
 """The queries of the evidence engine by name, and their SQL."""
 
-from . import catalog, evidence, intervals, projections, search, signals, stats, streams
+from . import catalog, evidence, intervals, parsing, projections, scoring, search, signals, stats, streams, trust
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "evidence", "intervals", "projections", "search", "signals", "stats", "streams"]
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "evidence", "intervals", "parsing", "projections", "scoring", "search", "signals", "stats", "streams", "trust"]
