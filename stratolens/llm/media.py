@@ -5,8 +5,10 @@ prediction), one `00dc` chunk of an AVI file with an `idx1` index. The Huffman t
 so every difference takes 9 bits with its extra bits; that makes coding and decoding arithmetic on whole arrays. Any
 decoder of lossless JPEG reads the frames.
 
-The reader finds the frames by the RIFF index, undoes byte stuffing, decodes, and sums the differences up again. It reads
-grey lossless frames of 24 x 24 with this table; a file without index, or with other frames, raises ValueError.
+The reader finds the frames by the RIFF index, undoes byte stuffing, decodes, and sums the differences up again. Frames with
+the header above are decoded many at once. Others are read by their own tables, sample by sample in jpeg.py: lossless grey of
+any size, table and predictor, and baseline frames, of which the luma counts. A file without index, or with frames of another
+sort or of several sizes, raises ValueError.
 
 A cut is where the histogram (16 bins) changes by more than mean + DEVIATIONS standard deviations of the last RECENT changes, those
 capped at LEAST; a change under LEAST is no cut. Clips run from cut to cut, timed at RATE frames a second.
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import small_batches, utf8
+from .jpeg import luma
 
 SIDE, RATE = 24, 25
 FRAME = SIDE * SIDE
@@ -137,15 +140,21 @@ def frames_of(data: bytes) -> list[bytes]:
         at += 8 + size + size % 2
     if movi is None or index is None:
         raise ValueError("no frames or no index")
-    video = index[index[:, 0] == int.from_bytes(b"00dc", "little")]
-    return [data[a : a + n] for a, n in zip((movi + 8 + video[:, 2].astype(np.int64)).tolist(), video[:, 3].tolist())]
+    video = index[np.isin(index[:, 0], [int.from_bytes(x, "little") for x in (b"00dc", b"00db")])]
+    at = video[:, 2].astype(np.int64)
+    if len(at) and data[movi + at[0] : movi + at[0] + 4] not in (b"00dc", b"00db"):  # some files count from their begin
+        movi = 0
+    return [data[a : a + n] for a, n in zip((movi + 8 + at).tolist(), video[:, 3].tolist())]
 
 
 def decode(frames: list[bytes]) -> np.ndarray:
-    """Samples (n, FRAME) of JPEG frames."""
-    if any(not f.startswith(_HEAD) or not f.endswith(_END) for f in frames):
-        raise ValueError("not a grey lossless frame of 24 x 24")
-    return np.concatenate([_samples([f[len(_HEAD) : -2] for f in frames[i : i + BLOCK]]) for i in range(0, len(frames), BLOCK)])
+    """Samples of JPEG frames of one size, a row a frame."""
+    if all(f.startswith(_HEAD) and f.endswith(_END) for f in frames):
+        return np.concatenate([_samples([f[len(_HEAD) : -2] for f in frames[i : i + BLOCK]]) for i in range(0, len(frames), BLOCK)])
+    found = [luma(f) for f in frames]
+    if len({x.shape for x in found}) != 1:
+        raise ValueError("frames of several sizes")
+    return np.stack([x.reshape(-1) for x in found])
 
 
 def cuts(samples: np.ndarray) -> list[int]:
@@ -154,7 +163,7 @@ def cuts(samples: np.ndarray) -> list[int]:
     if n < 2:
         return []
     hist = np.bincount((np.arange(n)[:, None] * 16 + (samples >> 4)).reshape(-1), minlength=16 * n).reshape(n, 16)
-    change = np.abs(np.diff(hist, axis=0)).sum(1) / (2 * FRAME)
+    change = np.abs(np.diff(hist, axis=0)).sum(1) / (2 * samples.shape[1])
     calm = np.minimum(change, LEAST)  # a cut shall not hide the next one
     total, square = np.concatenate([[0], np.cumsum(calm)]), np.concatenate([[0], np.cumsum(calm**2)])
     i = np.arange(n - 1)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratolens.llm import licenses, media, mixing, packing, warc
+from stratolens.llm import jpeg, licenses, media, mixing, packing, warc
 from stratolens.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -46,6 +46,118 @@ def test_avi_of_noise_and_of_broken_files():
         media.decode([b"\xff\xd8\xff\xd9"])
 
 
+def _bits(pairs):
+    """Codes (value, length) as stuffed bytes, filled up with ones."""
+    s = "".join(f"{v:0{n}b}" for v, n in pairs if n)
+    s += "1" * (-len(s) % 8)
+    return bytes(int(s[i : i + 8], 2) for i in range(0, len(s), 8)).replace(b"\xff", b"\xff\x00")
+
+
+def _value(d):
+    """Size of a difference, and its extra bits."""
+    n = abs(d).bit_length()
+    return n, (d if d >= 0 else d + (1 << n) - 1, n)
+
+
+def _segment(marker, data):
+    return bytes([255, marker]) + (len(data) + 2).to_bytes(2, "big") + data
+
+
+@pytest.mark.parametrize("kind", range(1, 8))
+def test_lossless_frames_of_any_size_table_and_predictor(kind):
+    rng = np.random.default_rng(kind)
+    x = np.cumsum(rng.integers(-3, 4, (11, 17)), 1).astype(np.int64) % 256
+    rows, codes, order = 5, [], [3, 0, 1, 2, 4, 5, 6, 7, 8, 9]  # symbols by code; all codes have four bits
+    for y in range(11):
+        if y % rows == 0 and y:
+            codes.append(None)
+        for k in range(17):
+            a, b, c = (int(x[y, k - 1]), int(x[y - 1, k]), int(x[y - 1, k - 1])) if y and k else (0, 0, 0)
+            before = (int(x[y, k - 1]) if k else 128) if y % rows == 0 else int(x[y - 1, 0]) if not k else (a, b, c, a + b - c, a + ((b - c) >> 1), b + ((a - c) >> 1), (a + b) // 2)[kind - 1]
+            n, extra = _value(int(x[y, k]) - before)
+            codes += [(order.index(n), 4), extra]
+    scans, part = [], []
+    for c in [*codes, None]:
+        if c is None:
+            scans.append(_bits(part))
+            part = []
+        else:
+            part.append(c)
+    scan = scans[0] + b"".join(bytes([255, 0xD0 + i % 8]) + s for i, s in enumerate(scans[1:]))
+    frame = b"\xff\xd8" + _segment(0xC4, bytes([0] + [0, 0, 0, 10] + [0] * 12 + order)) + _segment(0xDD, (rows * 17).to_bytes(2, "big")) + _segment(0xC3, bytes([8, 0, 11, 0, 17, 1, 1, 0x11, 0])) + _segment(0xDA, bytes([1, 1, 0, kind, 0, 0])) + scan + b"\xff\xd9"
+    assert (jpeg.luma(frame) == x).all()
+    assert (media.decode(media.frames_of(media.avi([frame] * 3))) == x.reshape(-1)).all()
+    with pytest.raises(ValueError):
+        jpeg.luma(frame[:-30] + b"\xff\xd9")
+
+
+@pytest.mark.parametrize("sampling", [(1, 1), (2, 2)])
+def test_baseline_frames(sampling):
+    """Blocks of known coefficients against the cosine sum, written out; chroma is skipped where it lies."""
+    rng = np.random.default_rng(0)
+    h, v = sampling
+    one = h * v == 1
+    size = (16, 24) if one else (30, 26)
+    mcus = (2, 3) if one else (2, 2)
+    want = np.zeros((mcus[0] * 8 * (1 if one else v), mcus[1] * 8 * (1 if one else h)))
+    symbols = sorted({*range(12), *(r << 4 | n for r in range(16) for n in range(1, 11)), 0, 0xF0})
+    at, codes, dc = {s: i for i, s in enumerate(symbols)}, [], [0, 0, 0]
+
+    def put(component, coef):
+        n, extra = _value(int(coef[0]) - dc[component])
+        dc[component] = int(coef[0])
+        codes.extend([(at[n], 8), extra])
+        run = 0
+        for c in coef[1:]:
+            if not c:
+                run += 1
+                continue
+            while run > 15:
+                codes.append((at[0xF0], 8))
+                run -= 16
+            n, extra = _value(int(c))
+            codes.extend([(at[run << 4 | n], 8), extra])
+            run = 0
+        if run:
+            codes.append((at[0], 8))
+
+    for my in range(mcus[0]):
+        for mx in range(mcus[1]):
+            for j in range(1 if one else h * v):
+                coef = np.where(rng.random(64) < 0.1, rng.integers(-9, 10, 64), 0)
+                coef[0] = rng.integers(-60, 60)
+                put(0, coef)
+                y0, x0 = ((my, mx) if one else (my * v + j // h, mx * h + j % h))
+                for y in range(8):
+                    for x in range(8):
+                        want[y0 * 8 + y, x0 * 8 + x] = sum(coef[i] * 2 * (0.5**0.5 if not p[0] else 1) * (0.5**0.5 if not p[1] else 1) / 4 * np.cos((2 * y + 1) * p[0] * np.pi / 16) * np.cos((2 * x + 1) * p[1] * np.pi / 16) for i, p in enumerate(jpeg.ZIGZAG) if coef[i])
+            for c in () if one else (1, 2):
+                put(c, rng.integers(-3, 4, 64))
+    table = bytes([0] * 7 + [len(symbols)] + [0] * 8) + bytes(symbols)
+    parts = [(1, 16 * h + v)] + ([] if one else [(2, 0x11), (3, 0x11)])
+    frame = b"\xff\xd8" + _segment(0xDB, bytes([0] + [2] * 64)) + _segment(0xC4, b"\x00" + table + b"\x10" + table) + _segment(0xC0, bytes([8, 0, size[0], 0, size[1], len(parts)]) + b"".join(bytes([i, s, 0]) for i, s in parts))
+    frame += _segment(0xDA, bytes([len(parts)]) + b"".join(bytes([i, 0]) for i, _ in parts) + bytes([0, 63, 0])) + _bits(codes) + b"\xff\xd9"
+    assert np.abs(jpeg.luma(frame).astype(int) - np.clip(np.round(want[: size[0], : size[1]] + 128), 0, 255)).max() <= 1
+    assert jpeg.ZIGZAG[:6] == [(0, 0), (0, 1), (1, 0), (2, 0), (1, 1), (0, 2)] and len(set(jpeg.ZIGZAG)) == 64
+
+
+def test_cuts_equal_a_loop():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        n = int(rng.integers(1, 30))
+        level = np.repeat(rng.integers(0, 250, n), rng.integers(1, 5, n))[:n]
+        samples = np.clip(level[:, None] + rng.integers(-6, 7, (n, media.FRAME)), 0, 255).astype(np.uint8)
+        hist = [np.bincount(x >> 4, minlength=16) for x in samples]
+        change = [np.abs(a - b).sum() / (2 * media.FRAME) for a, b in zip(hist[1:], hist)]
+        want = []
+        for i, c in enumerate(change):
+            before = [min(x, media.LEAST) for x in change[max(0, i - media.RECENT) : i]]
+            bound = np.mean(before) + media.DEVIATIONS * np.std(before) if before else 0
+            if c > max(media.LEAST, bound) + 1e-9:
+                want.append(i + 1)
+        assert media.cuts(samples) == want
+
+
 def test_cuts():
     dark, light = np.full((6, media.FRAME), 10, np.uint8), np.full((6, media.FRAME), 200, np.uint8)
     assert media.cuts(np.concatenate([dark, light, dark])) == [6, 12] and media.cuts(dark) == [] and media.cuts(dark[:1]) == []
