@@ -15,6 +15,11 @@
    is copied for blocks of BLOCK queries. Tasks give one row for each class they link, with the smallest class of its
    links there, never all pairs; components come from these rows.
 
+Where only components are asked for (links=False), groups first link inside themselves, then groups of what stands for their
+components, level by level. After that a token's commonest component doesn't ask: those of other components that have the
+token ask its groups. So a cluster of k variants costs about k instead of k * k / GROUP. With links every set is held against
+every group that it may have links in, as their number is asked for.
+
 All steps are exact, up to collisions of 64-bit hashes. Nulls and texts without words have the empty set and link with
 nothing. Texts of fewer than n words are one shingle. A null identifier is compared like any other but never names a
 component (a component of nulls alone has null). Repeated rows are members of one class. Empty tables give no rows.
@@ -239,8 +244,25 @@ def _opener(num: int, den: int):
     return open_group
 
 
-def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """sets (sid, tokens) -> (sid, root, links) rows, see _opener."""
+def _merged(probe: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links found level by level, (sid, root, links): in groups of neighbours by minhash, then in groups of what stands for their components, until that hardly shrinks. A cluster of many variants becomes few components in the logarithm of its size."""
+    opener = _opener(num, den)
+    reps, edges = probe.select("sid", "at"), None
+    n = reps.count()
+    while True:
+        groups = reps.repartitionByRange("at").sortWithinPartitions("at").withColumn("row", F.monotonically_increasing_id())
+        groups = stored(groups.select("sid", (F.col("row") - F.pmod(F.col("row").bitwiseAND(0x1FFFFFFFF), F.lit(GROUP))).alias("gid")), "join-level")
+        found = stored(groups.join(sets, "sid").groupBy("gid").applyInArrow(lambda t: opener(t, t), "sid long, root long, links long"), "join-level-links")
+        edges = found if edges is None else edges.unionByName(found)
+        reps = stored(reps.join(found.filter("sid != root").select("sid"), "sid", "left_anti"), "join-reps")
+        left = reps.count()
+        if left > 0.9 * n:
+            return edges
+        n = left
+
+
+def _linked(sets: DataFrame, num: int, den: int, links: bool) -> DataFrame:
+    """sets (sid, tokens) -> (sid, root, links) rows, see _opener. Without links, sets that are known to be of one component aren't held against each other."""
     tokens = sets.select("sid", F.explode("tokens").alias("token"))
     common = stored(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "join-common")
     # A token that fills a fair part of a task by itself never meets in one: there are at most HOT a partition, sent to every task.
@@ -255,19 +277,28 @@ def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
     hashed = lambda seed: F.array_min(F.transform("shared", lambda x: F.xxhash64(x["token"], F.lit(seed))))
     probe = probe.select("sid", "prefix", hashed(1).alias("h1"), hashed(2).alias("h2"))
     probe = probe.repartitionByRange("h1", "h2", "sid").sortWithinPartitions("h1", "h2", "sid").withColumn("at", F.monotonically_increasing_id())
-    probe = stored(probe.select("sid", "prefix", (F.col("at") - F.pmod(F.col("at").bitwiseAND(0x1FFFFFFFF), F.lit(GROUP))).alias("gid")), "join-groups")
-    matrix = probe.select("gid", F.explode("prefix").alias("token")).distinct()
-    asked = probe.select("sid", F.explode("prefix").alias("token")).join(matrix, "token").select("gid", "sid").distinct()
-    asked = stored(asked, "join-asked")
+    probe = stored(probe.select("sid", "prefix", "at", (F.col("at") - F.pmod(F.col("at").bitwiseAND(0x1FFFFFFFF), F.lit(GROUP))).alias("gid")), "join-groups")
+    entries, edges = probe.select("gid", "sid", F.explode("prefix").alias("token")), None
+    askers = entries
+    if not links:
+        edges = _merged(probe, sets, num, den)
+        known = components(edges.select(F.col("sid").alias("a"), F.col("root").alias("b")))
+        entries = stored(entries.join(known, F.col("sid") == F.col("id"), "left").select("gid", "sid", "token", F.coalesce("label", "sid").alias("label")), "join-entries")
+        most = entries.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "label"))["label"].alias("top"), F.count("*").alias("labels"))
+        # A token's commonest component needn't ask: all others that have the token ask its groups.
+        askers = entries.join(most.filter("labels > 1"), "token").filter("label != top")
+    matrix = entries.select("gid", "token").distinct()
+    asked = stored(askers.select("sid", "token").join(matrix, "token").select("gid", "sid").distinct(), "join-asked")
     blocks = asked.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     queries = asked.join(blocks, "gid").select("gid", F.pmod(F.xxhash64("sid"), "blocks").alias("block"), "sid").join(sets, "sid")
     queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # columns of its own, beside the members'
     members = probe.select("gid", "sid").join(blocks, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid").join(sets, "sid")
-    return members.groupBy("gid", "block").cogroup(queries.groupBy("gid", "block")).applyInArrow(_opener(num, den), "sid long, root long, links long")
+    found = members.groupBy("gid", "block").cogroup(queries.groupBy("gid", "block")).applyInArrow(_opener(num, den), "sid long, root long, links long")
+    return found if edges is None else found.unionByName(edges)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_hash (xxhash64), n_shingles, component_id, class_id (smallest doc_id with the same set), n_links (other sets linked with this one) and component (a number for the component, null for empty sets) of every row. Linked: 100 * intersection >= percent * union of the sets of n-grams."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, links: bool = True) -> DataFrame:
+    """doc_id, text_hash (xxhash64), n_shingles, component_id, class_id (smallest doc_id with the same set), n_links (other sets linked with this one) and component (a number for the component, null for empty sets) of every row. Linked: 100 * intersection >= percent * union of the sets of n-grams. Without `links`, n_links is null and clusters of very many variants cost in proportion to their size, not its square."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     key, text = fresh(docs, "row_key", "row_text")
@@ -296,11 +327,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A merge join at every size: what is left grows with the corpus, so it is never broadcast.
     sets = docs.join(left.hint("merge"), F.col(key) == F.col("want_key")).select(text, "sid", "want").mapInArrow(again, "sid long, tokens array<long>").dropDuplicates(["sid"])
     sets = stored(sets, "join-sets")
-    linked = stored(_linked(sets, percent, 100), "join-links")
+    linked = stored(_linked(sets, percent, 100, links), "join-links")
     parts = components(linked.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     links = linked.groupBy("sid").agg(F.sum("links").alias("n_links"))
     names = classes.select("digest", "class_id", "sid").join(parts.withColumnRenamed("id", "p_id"), F.col("sid") == F.col("p_id"), "left").join(links, "sid", "left")
-    names = stored(names.select("digest", "class_id", F.coalesce("label", "sid").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "join-names")
+    names = stored(names.select("digest", "class_id", F.coalesce("label", "sid").alias("label"), (F.coalesce("n_links", F.lit(0)) if links else F.lit(None).cast("long")).alias("n_links")), "join-names")
     whole = names.groupBy("label").agg(F.min("class_id").alias("component_id"))
     names = names.join(whole, "label").select("digest", "class_id", "component_id", "n_links", "label")
     own = F.col("n_shingles") == 0

@@ -98,6 +98,8 @@ def plain_join(rows, n, percent):
 def test_near_duplicates(docs, texts, n, percent):
     got = near_duplicates(docs, n=n, percent=percent).select("doc_id", "n_shingles", "component_id", "n_links").collect()
     assert sorted((tuple(r) for r in got), key=str) == plain_join(texts, n, percent)
+    alone = near_duplicates(docs, n=n, percent=percent, links=False).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((tuple(r) for r in alone), key=str) == [x[:3] for x in plain_join(texts, n, percent)]
 
 
 def test_near_duplicates_in_one_large_group(spark):
@@ -155,6 +157,21 @@ def test_near_duplicates_with_a_shingle_in_every_text(spark):
     assert sorted((tuple(r) for r in got), key=str) == plain_join(rows, 2, 60)
 
 
+def test_components_without_links_in_large_groups(spark):
+    """Chains of variants, two clusters that share a passage, and lone texts that share it too."""
+    rng = np.random.default_rng(12)
+    passage, rows = " ".join(f"p{i}" for i in range(30)), []
+    for c in range(2):
+        w = [f"c{c}w{i}" for i in range(70)]
+        for i in range(400):  # each a little further from the first
+            w[int(rng.integers(70))] = f"c{c}x{rng.integers(10**6)}"
+            rows.append((len(rows), passage + " " + " ".join(w)))
+    rows += [(len(rows) + i, passage + " " + " ".join(f"l{i}w{j}" for j in range(int(rng.integers(2, 12))))) for i in range(150)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=3, percent=85, links=False).select("doc_id", "n_shingles", "component_id").collect()
+    want = [x[:3] for x in plain_join(rows, 3, 85)]
+    assert sorted((tuple(r) for r in got), key=str) == want and 3 < len({x[2] for x in want}) < 400
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_duplicates(empty).collect() == []
 
