@@ -40,7 +40,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest identifier of each component of linked texts; texts without words link with nothing and stay."""
-    found = near_duplicates(docs, n=WORDS, percent=PERCENT).filter("component is not null")
+    found = near_duplicates(docs, n=WORDS, percent=PERCENT, links=False).filter("component is not null")
     row = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     first = found.groupBy("component").agg(F.min(row).alias("first"), F.count("*").alias("n")).filter("n > 1")
     gone = found.join(first, "component").filter(row != F.col("first")).select(F.col("doc_id").alias("gone_doc"), F.col("text_hash").alias("gone_hash"))
