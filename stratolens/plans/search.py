@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X, vectors as V
-from ..operators import ordered as O, vector_search as R
+from ..operators import ordered as O, overlap, vector_search as R
 from .base import Tables, query
 
 TERMS = ("the", "with", "that", "was")
@@ -286,21 +286,20 @@ SQL_CANDIDATES = f"""(WITH i AS ({SQL_ITEM}), x AS (SELECT item_id, len(k) AS si
 SELECT doc_id, item_id, count(*) AS shared, any_value(size) AS size FROM d JOIN x USING (term) GROUP BY doc_id, item_id)"""
 
 
-def candidates(t: Tables):
-    """(document, item) pairs that share at least three keywords, from an inverted index of the items."""
-    item = t.benchmark.select("item_id", X.keywords(F.col("text"), None).alias("k")).select("item_id", F.size("k").alias("size"), F.explode("k").alias("term"))
-    doc = t.documents.select("doc_id", F.explode(X.keywords(F.col("text"), None)).alias("term"))
-    return doc.join(item, "term").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.first("size").cast("long").alias("size"))
+def candidates(t: Tables, need):
+    """(document, item) pairs that share at least `need` keywords, a column of the item's size."""
+    item = t.benchmark.select("item_id", X.keywords(F.col("text"), None).alias("k")).select("item_id", F.size("k").cast("long").alias("size"), "k")
+    return overlap.sharing(t.documents.select("doc_id", X.keywords(F.col("text"), None).alias("k")), item, need)
 
 
 @query(f"SELECT doc_id, item_id, shared, round(shared / size, 4) AS share FROM {SQL_CANDIDATES} WHERE shared >= 3")
 def inverted_index_candidates(t: Tables):
-    return candidates(t).filter("shared >= 3").select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("size"), 4).alias("share"))
+    return candidates(t, F.lit(3)).select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("size"), 4).alias("share"))
 
 
 @query(f"""SELECT doc_id, item_id, round(shared / size, 4) AS share, shared / size >= 0.8 AS strong FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY shared / size DESC, item_id) AS r FROM {SQL_CANDIDATES}) WHERE r = 1 AND shared / size >= 0.5""")
 def best_alignment(t: Tables):
-    c = candidates(t).withColumn("share", F.col("shared") / F.col("size"))
+    c = candidates(t, F.ceil(F.col("size") / 2)).withColumn("share", F.col("shared") / F.col("size"))
     best = c.groupBy("doc_id").agg(F.max(F.struct("share", (-F.col("item_id")).alias("i"))).alias("b")).filter("b.share >= 0.5")
     return best.select("doc_id", (-F.col("b.i")).alias("item_id"), F.round("b.share", 4).alias("share"), (F.col("b.share") >= 0.8).alias("strong"))
 
