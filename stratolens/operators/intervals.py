@@ -66,24 +66,33 @@ def split(df: DataFrame, longest: int) -> DataFrame:
     return cut.select(*[c for c in df.columns if c not in ("start", "end")], "part", (F.col("start") + F.floor(F.col("part") * size)).alias("start"), (F.col("start") + F.floor((F.col("part") + 1) * size)).alias("end"))
 
 
-def carried(df: DataFrame, key: str, at: str, first: Callable, step: Callable, result: Callable, columns: str) -> DataFrame:
-    """key and columns (of bigint): a fold over all points of a key in order of `at`. Partitions hold whole keys, sorted; the state goes on from batch to batch, so memory doesn't grow with a key, but its time does. first(point) and step(state, point) give a state, result(state) a row, or None for no row."""
+def folded(df: DataFrame, key: str, at: str, step: Callable, last: Callable, columns: str) -> DataFrame:
+    """key and columns (of bigint): a fold over all points of a key in order of `at` that gives rows on its way. Partitions hold whole keys, sorted; the state goes on from batch to batch, so memory doesn't grow with a key, but its time does. step(state, point) gives the next state and a row or None, from state None on; last(state) a row or None."""
     names = [key, *columns.split()]
 
     def rows(batches):
-        now, state, types = None, None, None
+        now, state, kind = None, None, None
         for b in batches:
-            types = types or [b.schema.field(0).type, *[pa.int64()] * (len(names) - 1)]
+            kind = kind or b.schema.field(0).type
             out = []
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if state is not None and k == now:
-                    state = step(state, x)
-                else:
-                    out += [(now, *r)] if state is not None and (r := result(state)) else []
-                    now, state = k, first(x)
-            yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
-        if state is not None and (r := result(state)):
-            yield pa.record_batch([pa.array([x], t) for x, t in zip((now, *r), types)], names=names)
-
-    schema = ", ".join([f"{key} {df.schema[key].dataType.simpleString()}", *[f"`{c}` bigint" for c in names[1:]]])
+                if state is not None and k != now:
+                    out += [(now, *r)] if (r := last(state)) else []
+                    state = None
+                now = k
+                state, r = step(state, x)
+                out += [(now, *r)] if r else []
+            yield table(out, kind)
+        if state is not None and (r := last(state)):
+            yield table([(now, *r)], kind)
+
+    def table(out, kind):
+        return pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate([kind, *[pa.int64()] * (len(names) - 1)])], names=names)
+
+    schema = ", ".join([f"`{key}` {df.schema[key].dataType.simpleString()}", *[f"`{c}` bigint" for c in names[1:]]])
     return df.select(key, at).repartition(key).sortWithinPartitions(key, at).mapInArrow(rows, schema)
+
+
+def carried(df: DataFrame, key: str, at: str, first: Callable, step: Callable, result: Callable, columns: str) -> DataFrame:
+    """A fold with one row a key, see folded: first(point) and step(state, point) give a state, result(state) a row, or None for no row."""
+    return folded(df, key, at, lambda s, x: (first(x) if s is None else step(s, x), None), result, columns)

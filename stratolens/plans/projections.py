@@ -114,13 +114,18 @@ def token_merge(t: Tables):
     return O.top_per_group(f, ["conv_id"], 5, [F.col("turns").desc(), F.col("first_turn"), F.col("term")], "term").select("conv_id", "term", "turns", "first_turn")
 
 
-@query("""WITH a AS (SELECT 'competition' AS kind, n_nationkey AS id, n_name AS title FROM nation ORDER BY id LIMIT 8), b AS (SELECT 'player', c_custkey, c_name FROM customer WHERE c_acctbal > 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 80), c AS (SELECT 'fact', o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC, o_orderkey LIMIT 30)
-SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
+@query("""WITH a AS (SELECT 'competition' AS kind, n_nationkey AS id, n_name AS title FROM nation ORDER BY id LIMIT 8), b AS (SELECT 'player', c_custkey, c_name FROM customer WHERE c_acctbal > 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 80), c AS (SELECT 'fact', o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC, o_orderkey LIMIT 30),
+d AS (SELECT 'activity', l_orderkey * 10 + l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag = 'R' ORDER BY l_extendedprice DESC, 2, l_partkey, l_suppkey LIMIT 80), p AS (SELECT 'play', event_id, event_type FROM events WHERE event_type = 'purchase' ORDER BY value DESC, event_id LIMIT 80),
+v AS (SELECT 'video', doc_id, source FROM (SELECT source, arg_max(doc_id, (n_chars, -doc_id)) AS doc_id FROM documents WHERE source IS NOT NULL GROUP BY source))
+SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d UNION ALL SELECT * FROM p UNION ALL SELECT * FROM v""")
 def grounded_evidence(t: Tables):
     a = t.nation.orderBy("n_nationkey").limit(8).select(F.lit("competition").alias("kind"), F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("title"))
     b = t.customer.filter("c_acctbal > 0").orderBy(F.col("c_acctbal").desc(), "c_custkey").limit(80).select(F.lit("player"), "c_custkey", "c_name")
     c = t.orders.filter("o_orderstatus = 'P'").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(30).select(F.lit("fact"), "o_orderkey", "o_orderpriority")
-    return a.union(b).union(c)
+    d = t.lineitem.filter("l_returnflag = 'R'").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber")).orderBy(F.col("l_extendedprice").desc(), "id", "l_partkey", "l_suppkey").limit(80).select(F.lit("activity"), "id", "l_returnflag")
+    p = t.events.filter("event_type = 'purchase'").orderBy(F.col("value").desc(), "event_id").limit(80).select(F.lit("play"), "event_id", "event_type")
+    v = t.documents.filter("source is not null").groupBy("source").agg(F.max(F.struct("n_chars", (-F.col("doc_id")).alias("d")))["d"].alias("d")).select(F.lit("video"), -F.col("d"), "source")
+    return a.union(b).union(c).union(d).union(p).union(v)
 
 
 @query(f"""WITH p AS (SELECT user_id, round((t_at % {24 * HOUR}) / {S}, 2) AS second, event_id FROM {EV}), k AS (SELECT user_id, second, max(event_id) AS event_id FROM p WHERE second > 0.2 AND second < 86399.8 GROUP BY ALL) SELECT user_id, second, event_id, least(86400, second + 1.0) - second >= 1 AS whole FROM k""")
