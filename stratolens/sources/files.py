@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.parsing import game_seconds
+
 
 def header_name(name: str) -> str:
     return re.sub("^_+|_+$", "", re.sub("[^a-z0-9]+", "_", name.strip().lower()))
@@ -75,3 +77,17 @@ def predictions(lines: DataFrame, column: str = "value") -> DataFrame:
     named = [F.from_json(F.get_json_object(column, f"$.{k}"), item) for k in ("spots", "predictions", "annotations", "actions", "events")]
     rows = lines.select(F.explode(F.coalesce(whole, *named)).alias("p"))
     return rows.select(F.col("p.position").try_cast("double").alias("at_ms"), F.col("p.label").alias("label"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col("p.confidence").try_cast("double"), F.lit(0.0)))).alias("confidence"))
+
+
+def spots(lines: DataFrame, end_s: float = 0, column: str = "value") -> DataFrame:
+    """(position, label, confidence) of prediction files in seconds, sorted: whatever names they give to the time, the label and the confidence. Positions far past a video's end are milliseconds; rows without a label or a time go."""
+    item = "array<map<string,string>>"
+    whole = F.when(F.trim(column).startswith("["), F.from_json(column, item))
+    named = [F.from_json(F.get_json_object(column, f"$.{k}"), item) for k in ("spots", "predictions", "annotations", "actions", "events")]
+    p = lines.select(F.explode(F.coalesce(whole, *named)).alias("p"))
+    first = lambda *keys: [F.nullif(F.trim(F.col("p")[k]), F.lit("")) for k in keys]
+    at = F.coalesce(*[x.try_cast("double") for x in first("position", "time", "timestamp", "second", "seconds", "start")], game_seconds(F.col("p")["gameTime"]))
+    at = F.when((F.lit(end_s) > 0) & (at > end_s + 30), at / 1000).otherwise(at)
+    sure = F.coalesce(*[x.try_cast("double") for x in first("confidence", "score", "probability")], F.lit(1.0))
+    rows = p.select(F.round(F.greatest(F.lit(0.0), at), 3).alias("position"), F.coalesce(*first("label", "class", "event", "name")).alias("label"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)), 3).alias("confidence"), at.isNotNull().alias("ok"))
+    return rows.filter("ok and label is not null").drop("ok").orderBy("position", F.col("confidence").desc())
