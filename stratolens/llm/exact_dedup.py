@@ -184,6 +184,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """All documents with the row that stays of their group of equal texts. Edge cases: see the module."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -285,6 +285,7 @@ def language_spans(docs: DataFrame, network: Network, id_col: str = "doc_id", te
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
+    """All texts by a network that learns from the folds that are not held out. Edge cases: see the module."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = predict_language(docs.select("doc_id", "text"), train(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -179,6 +179,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
+    """All texts against all templates: a row for each document, text and license that it holds. Edge cases: see the module."""
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

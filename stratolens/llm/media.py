@@ -243,6 +243,7 @@ def shot_clips(videos: DataFrame) -> DataFrame:
 
 
 def op1_mjpeg_avi(spark, sf_dir: str) -> DataFrame:
+    """All texts through AVI files and back: what the stored bytes decode to, with the clips. Edge cases: see the module."""
     return video_features(text_videos(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 

@@ -256,7 +256,7 @@ def _merged(probe: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         edges = found if edges is None else edges.unionByName(found)
         reps = stored(reps.join(found.filter("sid != root").select("sid"), "sid", "left_anti"), "join-reps")
         left = reps.count()
-        if left > 0.9 * n:
+        if left >= 0.9 * n:
             return edges
         n = left
 
@@ -340,6 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
+    """All documents by four-word shingles at 85 hundredths: set size, component, class and number of links. Edge cases: see the module."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, percent=85).drop("text_hash", "component")
 
 

@@ -82,4 +82,5 @@ def pack_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """All texts in bins of the permitted lengths, a row a piece. Edge cases: see the module."""
     return pack_sequences(spark.read.parquet(f"{sf_dir}/documents.parquet"))

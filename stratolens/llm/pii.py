@@ -293,6 +293,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op9_personal_data(spark, sf_dir: str) -> DataFrame:
+    """Spans of all texts: the base by kind with their digest, and all with what the classifier adds. Edge cases: see the module."""
     found = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -170,6 +170,7 @@ def score_quality(docs: DataFrame, machine: FactorisationMachine | None, text_co
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """All texts by a machine that learns from the labels of the folds that are not held out. Edge cases: see the module."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     machine = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     found = score_quality(docs.select("doc_id", "text", "n_chars"), machine)

@@ -191,6 +191,7 @@ def read_warc(chunks: DataFrame) -> DataFrame:
 
 
 def op5_warc_chunks(spark, sf_dir: str) -> DataFrame:
+    """All pages written as chunked records and read back. Edge cases: see the module."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     kind = pages.schema["page_id"].dataType
     found = read_warc(write_warc(pages))
