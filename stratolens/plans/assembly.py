@@ -146,7 +146,7 @@ def frame_coverage(t: Tables):
     return g.select("user_id", expected.alias("expected"), F.round(F.least(F.lit(1.0), F.col("n") / F.greatest(F.lit(1), expected)), 4).alias("coverage"))
 
 
-@query("""WITH l AS (SELECT l_orderkey, list_distinct(list(tag ORDER BY l_linenumber, l_partkey, l_suppkey, k)) AS d, list(tag ORDER BY l_linenumber, l_partkey, l_suppkey, k) AS a FROM (SELECT *, unnest([l_returnflag, l_linestatus, 'part-' || CAST(l_partkey % 50 AS VARCHAR)]) AS tag, unnest([0, 1, 2]) AS k FROM lineitem) GROUP BY l_orderkey)
+@query("""WITH l AS (SELECT l_orderkey, list_distinct(list(tag ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, k)) AS d, list(tag ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, k) AS a FROM (SELECT *, unnest([l_returnflag, l_linestatus, 'part-' || CAST(l_partkey % 50 AS VARCHAR)]) AS tag, unnest([0, 1, 2]) AS k FROM lineitem) GROUP BY l_orderkey)
 SELECT l_orderkey, array_to_string(list_filter(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN list_position(a, a[i]) = i THEN a[i] END), lambda x: x IS NOT NULL)[1:32], ',') AS tags FROM l""")
 def ordered_tags(t: Tables):
     """Distinct tags in order of appearance, 32 at most, which is the rule for an asset's tags."""

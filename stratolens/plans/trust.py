@@ -206,14 +206,14 @@ def segment_summary_score(t: Tables):
 
 
 @query("""WITH s AS (SELECT event_id, value / 1000 AS speed, value > 40 AS near, minute(ts) / 60 AS y, hour(ts) >= 16 AS attack, event_type = 'click' AS same, user_id % 2 = 0 AS reliable FROM events WHERE event_type <> 'signup')
-SELECT event_id, CASE WHEN attack AND y > 0.5e0 THEN 'through_ball_receive' ELSE 'pass_receive' END AS label, round(least(0.92e0, CASE WHEN reliable THEN 0.44e0 ELSE 0.36e0 END + y * 0.18e0 + least(0.14e0, speed * 1.4) + CASE WHEN same THEN CASE WHEN reliable THEN 0.08e0 ELSE 0.03e0 END ELSE 0 END + CASE WHEN attack THEN 0.08e0 ELSE 0 END + CASE WHEN y > 0.5e0 THEN CASE WHEN reliable THEN 0.08e0 ELSE 0.04e0 END ELSE 0 END), 3) AS confidence FROM s WHERE near AND speed >= 0.025e0""", confidence="DOUBLE")
+SELECT event_id, CASE WHEN attack AND y > 0.5e0 THEN 'through_ball_receive' ELSE 'pass_receive' END AS label, round(least(0.92e0, CASE WHEN reliable THEN 0.44e0 ELSE 0.36e0 END + y * 0.18e0 + least(0.14e0, speed * 1.4) + CASE WHEN same THEN CASE WHEN reliable THEN 0.08e0 ELSE 0.03e0 END ELSE 0 END + CASE WHEN attack THEN 0.08e0 ELSE 0 END + CASE WHEN y > 0.5e0 THEN CASE WHEN reliable THEN 0.08e0 ELSE 0.04e0 END ELSE 0 END), 6) AS confidence FROM s WHERE near AND speed >= 0.025e0""", confidence="DOUBLE")
 def tracking_receive(t: Tables):
     """A moving ball near a player is received; deep in the field and along the attack it came through the defence."""
     s = t.events.filter("event_type <> 'signup'").select("event_id", (F.col("value") / 1000).alias("speed"), (F.col("value") > 40).alias("near"), (F.minute("ts") / 60).alias("y"), (F.hour("ts") >= 16).alias("attack"), (F.col("event_type") == "click").alias("same"), (F.col("user_id") % 2 == 0).alias("reliable"))
     yes = lambda c, a, b=0.0: F.when(c, a).otherwise(b)
     along = F.col("y") > 0.5
     conf = yes(F.col("reliable"), 0.44, 0.36) + F.col("y") * 0.18 + F.least(F.lit(0.14), F.col("speed") * 1.4) + yes(F.col("same"), yes(F.col("reliable"), 0.08, 0.03)) + yes(F.col("attack"), 0.08) + yes(along, yes(F.col("reliable"), 0.08, 0.04))
-    return s.filter("near and speed >= 0.025").select("event_id", F.when(F.col("attack") & along, "through_ball_receive").otherwise("pass_receive").alias("label"), F.round(F.least(F.lit(0.92), conf), 3).alias("confidence"))
+    return s.filter("near and speed >= 0.025").select("event_id", F.when(F.col("attack") & along, "through_ball_receive").otherwise("pass_receive").alias("label"), F.round(F.least(F.lit(0.92), conf), 6).alias("confidence"))
 
 
 @query("""WITH p AS (SELECT c_custkey, c_name, CASE WHEN c_mktsegment = 'BUILDING' THEN 1000 ELSE 0 END + CASE WHEN coalesce(max(year(o_orderdate)), 0) >= 1998 THEN 200 ELSE 0 END + CASE WHEN c_acctbal > 0 THEN 25 ELSE 0 END + count(DISTINCT year(o_orderdate)) + count(DISTINCT o_orderpriority) AS priority FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name, c_mktsegment, c_acctbal)
