@@ -45,7 +45,7 @@ _LOWER[9] = 32
 _CLASS = np.zeros(256, np.uint8)  # of a word
 _CLASS[[32, 9]] = 1
 _CLASS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = 2
-SCHEMA = "lang string, n int, phrase string, h long, inside boolean, c long"
+SCHEMA = "lang string, n int, phrase string, c long"
 
 
 def _seed(lang: str) -> int:
@@ -112,23 +112,16 @@ def _runs(h: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[first], np.diff(np.r_[first, len(h)])
 
 
-def phrases_of(data: np.ndarray, at: np.ndarray, limit: int, seed: np.ndarray, old: np.ndarray | None, new: np.ndarray | None, words: bool) -> tuple[int, list[tuple]]:
-    """Words that begin before limit, and for each length: first words' texts, phrases' bytes and offsets, hashes, whether proposed, counts. old: proposals whose phrases have been counted (None: none); new: those to count for (None: all)."""
-    c, n = _CLASS[data], len(data)
-    black = c == 0
+def _hashed_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where words begin and end, which bytes are of words, and two hashes of each word."""
+    n = len(data)
+    black = _CLASS[data] == 0
     first, last, cut = black.copy(), black.copy(), at[(at > 0) & (at < n)]
     free = np.ones(n + 1, bool)
     free[cut] = False
     first[1:] &= ~(black[:-1] & free[1:n])
     last[:-1] &= ~(black[1:] & free[1:n])
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    counted = int(np.searchsorted(start, limit))
-    if not counted:
-        return 0, []
-    keep = black.copy()
-    keep[1:] |= (c[1:] == 1) & black[:-1]
-    place = np.r_[0, np.cumsum(keep)]
-    lean = _LOWER[data[keep]]
     up, down = _power(n)
     size = (end - start).astype(np.uint64) * _C
     hashes = []
@@ -136,10 +129,23 @@ def phrases_of(data: np.ndarray, at: np.ndarray, limit: int, seed: np.ndarray, o
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(table[data] * up[:n], out=total[1:])
         hashes.append(mix((total[end] - total[start]) * down[start] + size))
+    return start, end, black, *hashes
+
+
+def phrases_of(data: np.ndarray, at: np.ndarray, limit: int, seed: np.ndarray, old: np.ndarray | None, new: np.ndarray | None, words: bool) -> tuple[int, list[tuple]]:
+    """Words that begin before limit, and for each length: first words' texts, phrases' bytes and offsets, counts. old: proposals whose phrases have been counted (None: none); new: those to count for (None: all)."""
+    c, n = _CLASS[data], len(data)
+    start, end, black, w, w2 = _hashed_words(data, at)
+    counted = int(np.searchsorted(start, limit))
+    if not counted:
+        return 0, []
+    keep = black.copy()
+    keep[1:] |= (c[1:] == 1) & black[:-1]
+    place = np.r_[0, np.cumsum(keep)]
+    lean = _LOWER[data[keep]]
     doc = np.searchsorted(at, start, "right") - 1
     piece = np.r_[0, np.cumsum(c == 2)][start] + doc
     seeds = seed[doc]
-    w, w2 = hashes
     h, h2 = mix(w ^ seeds), mix(w2 + seeds)
     member, before = _held(new, h), _held(old, h) if old is not None else np.zeros(len(h), bool)
     found, ok, known = [], np.ones(len(h), bool), np.zeros(len(h), bool)
@@ -166,19 +172,19 @@ def phrases_of(data: np.ndarray, at: np.ndarray, limit: int, seed: np.ndarray, o
             a, z = place[start[i]], place[end[i + k - 1]]
             ends = np.r_[0, np.cumsum(z - a)]
             text = lean[np.repeat(a - ends[:-1], z - a) + np.arange(ends[-1])]
-            found.append((k, doc[i], text, ends, h[i], member[i], count))
+            found.append((k, doc[i], text, ends, count))
     return counted, found
 
 
 def counted(docs: DataFrame, old: np.ndarray | None, new: np.ndarray | None, words: bool, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, n, phrase, h, inside (proposed), f: exact counts of all phrases that the proposals `new` call for and `old` didn't; single words with `words`. n = 0 holds the number of all words."""
+    """lang, n, phrase, f: exact counts of all phrases that the proposals `new` call for and `old` didn't; single words with `words`. n = 0 holds the number of all words."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast((old, new))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old, new = shared.value
-        schema = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("h", pa.int64()), ("inside", pa.bool_()), ("c", pa.int64())])
+        schema = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("c", pa.int64())])
         for b in batches:
             names = b.column(1).fill_null("und").dictionary_encode()
             langs, code = names.dictionary, names.indices.to_numpy()
@@ -188,25 +194,44 @@ def counted(docs: DataFrame, old: np.ndarray | None, new: np.ndarray | None, wor
                 if not limit:
                     continue
                 _, found = phrases_of(data, at, limit, seed[i:], old, new, words)
-                for k, doc, text, ends, h, inside, c in found:
+                for k, doc, text, ends, c in found:
                     lang = code[i + doc]
                     if k == 1:
                         total += np.bincount(lang, c, len(langs)).astype(np.int64)
                     phrase = pa.Array.from_buffers(pa.string(), len(c), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(text)])
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang)), pa.array(np.full(len(c), k, np.int32)), phrase, pa.array(h.view(np.int64)), pa.array(inside), pa.array(c)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang)), pa.array(np.full(len(c), k, np.int32)), phrase, pa.array(c)], schema=schema)
             some = np.flatnonzero(total)
             if len(some):
                 m = len(some)
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(some)), pa.array(np.zeros(m, np.int32)), pa.array([""] * m), pa.array(np.zeros(m, np.int64)), pa.array(np.ones(m, bool)), pa.array(total[some])], schema=schema)
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(some)), pa.array(np.zeros(m, np.int32)), pa.array([""] * m), pa.array(total[some])], schema=schema)
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(count, SCHEMA)
-    return rows.groupBy("lang", "n", "phrase").agg(F.max("h").alias("h"), F.max("inside").alias("inside"), F.sum("c").alias("f"))
+    return rows.groupBy("lang", "n", "phrase").agg(F.sum("c").alias("f"))
+
+
+def hashed(found: DataFrame) -> DataFrame:
+    """Adds h, the hash that the bitmap holds a phrase by. Only frequent phrases need it, so it stays out of the shuffle of all."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, out = b.column(1).to_numpy(), np.zeros(len(b), np.uint64)
+            seed = np.array([_seed(x) for x in b.column(0).to_pylist()], np.uint64)
+            data, at = utf8(b.column(2))
+            start, end, _, w, _ = _hashed_words(data, at)
+            first = np.searchsorted(start, at[:-1])
+            for k in range(LONGEST):
+                some = np.flatnonzero(n > k)
+                x = w[first[some] + k]
+                out[some] = mix(x ^ seed[some]) if k == 0 else mix(out[some] * _C + x)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out.view(np.int64))], names=[*b.schema.names, "h"])
+
+    return found.mapInArrow(add, "lang string, n int, phrase string, f long, h long")
 
 
 def _bitmap(found: DataFrame, on: np.ndarray | None = None) -> np.ndarray:
-    """The bitmap of the hashes h of found, added to another one. At most 2^BITS bits come to the driver."""
+    """The bitmap of the hashes of found phrases, added to another one. At most 2^BITS bits come to the driver."""
     v = F.shiftrightunsigned("h", 64 - BITS) + 1
-    rows = found.groupBy(F.bitmap_bucket_number(v).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(v)).alias("bits")).collect()
+    rows = hashed(found).groupBy(F.bitmap_bucket_number(v).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(v)).alias("bits")).collect()
     out = np.zeros(1 << (BITS - 3), np.uint8) if on is None else on.copy()
     for r in rows:
         a = (r["bucket"] - 1) * (_BUCKET // 8)
@@ -214,6 +239,17 @@ def _bitmap(found: DataFrame, on: np.ndarray | None = None) -> np.ndarray:
     return out
 
 
+def _outside(found: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Phrases that the bitmap doesn't hold."""
+    shared = found.sparkSession.sparkContext.broadcast(bits)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(~_held(shared.value, b.column(4).to_numpy().view(np.uint64)))).select(["lang", "n", "phrase", "f"])
+
+    return hashed(found).mapInArrow(keep, "lang string, n int, phrase string, f long")
+
+
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample_bytes: int = SAMPLE_BYTES, fraction: float = FRACTION, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, n, phrase, f: all phrases of 1 to LONGEST words that are there min_count times or more, and the number of words as the phrase of no words."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -226,7 +262,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample_bytes:
     while True:
         found = stored(counted(docs, old, new, out is None, text_col, lang_col).filter((F.col("f") >= min_count) | (F.col("n") == 0)), "phrases")
         out = found if out is None else out.unionByName(found)
-        failed = found.filter(~F.col("inside") & F.col("n").between(1, LONGEST - 1))
+        failed = stored(_outside(found.filter(F.col("n").between(1, LONGEST - 1)), new), "failures")
         if failed.isEmpty():
             return out.select("lang", "n", "phrase", "f")
         old, new = new, _bitmap(failed, new)
