@@ -73,14 +73,14 @@ def _after(data: np.ndarray, e: int, z: int, words: int) -> int:
     """The end of the word at e (words = 0), or of so many words after e, or the first mark that cuts, or z."""
     if words == 0:
         while e < z:
-            stop = np.flatnonzero(_CLASS[data[e : e + 4096]])
+            stop = np.flatnonzero(_CLASS[data[e : min(z, e + 4096)]])
             if len(stop):
                 return e + int(stop[0])
             e += 4096
         return min(e, z)
     for _ in range(words):
         while e < z:
-            c = _CLASS[data[e : e + 4096]]
+            c = _CLASS[data[e : min(z, e + 4096)]]
             stop = np.flatnonzero(c != 1)
             if len(stop):
                 e += int(stop[0])
@@ -95,7 +95,7 @@ def _after(data: np.ndarray, e: int, z: int, words: int) -> int:
 def _held(bits: np.ndarray | None, h: np.ndarray) -> np.ndarray:
     if bits is None:
         return np.ones(len(h), bool)
-    v = h >> np.uint64(64 - BITS)
+    v = h >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
     return (bits[v >> np.uint64(3)] >> (v & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
@@ -228,11 +228,11 @@ def hashed(found: DataFrame) -> DataFrame:
     return found.mapInArrow(add, "lang string, n int, phrase string, f long, h long")
 
 
-def _bitmap(found: DataFrame, on: np.ndarray | None = None) -> np.ndarray:
-    """The bitmap of the hashes of found phrases, added to another one. At most 2^BITS bits come to the driver."""
-    v = F.shiftrightunsigned("h", 64 - BITS) + 1
+def _bitmap(found: DataFrame, bits: int, on: np.ndarray | None = None) -> np.ndarray:
+    """The bitmap of the hashes of found phrases, added to another one. At most 2^bits bits come to the driver."""
+    v = F.shiftrightunsigned("h", 64 - bits) + 1
     rows = hashed(found).groupBy(F.bitmap_bucket_number(v).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(v)).alias("bits")).collect()
-    out = np.zeros(1 << (BITS - 3), np.uint8) if on is None else on.copy()
+    out = np.zeros(1 << (bits - 3), np.uint8) if on is None else on.copy()
     for r in rows:
         a = (r["bucket"] - 1) * (_BUCKET // 8)
         out[a : a + _BUCKET // 8] |= np.frombuffer(r["bits"], np.uint8)
@@ -250,14 +250,14 @@ def _outside(found: DataFrame, bits: np.ndarray) -> DataFrame:
     return hashed(found).mapInArrow(keep, "lang string, n int, phrase string, f long")
 
 
-def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample_bytes: int = SAMPLE_BYTES, fraction: float = FRACTION, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, n, phrase, f: all phrases of 1 to LONGEST words that are there min_count times or more, and the number of words as the phrase of no words."""
+def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample_bytes: int = SAMPLE_BYTES, fraction: float = FRACTION, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang, n, phrase, f: all phrases of 1 to LONGEST words that are there min_count times or more, and the number of words as the phrase of no words. bits: of the bitmap, 15 or more."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     share = min(fraction, sample_bytes / max(1, size))
     mean = min_count * share
     lowered = max(min(2, min_count), int(mean - 2 * mean**0.5))
     drawn = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("collocations")), F.lit(1 << 30)) < share * (1 << 30))
-    new = _bitmap(counted(drawn, None, None, True, text_col, lang_col).filter((F.col("f") >= lowered) & F.col("n").between(1, LONGEST - 1)))
+    new = _bitmap(counted(drawn, None, None, True, text_col, lang_col).filter((F.col("f") >= lowered) & F.col("n").between(1, LONGEST - 1)), bits)
     old, out = None, None
     while True:
         found = stored(counted(docs, old, new, out is None, text_col, lang_col).filter((F.col("f") >= min_count) | (F.col("n") == 0)), "phrases")
@@ -265,7 +265,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample_bytes:
         failed = stored(_outside(found.filter(F.col("n").between(1, LONGEST - 1)), new), "failures")
         if failed.isEmpty():
             return out.select("lang", "n", "phrase", "f")
-        old, new = new, _bitmap(failed, new)
+        old, new = new, _bitmap(failed, bits, new)
 
 
 def collocations(docs: DataFrame, top: int = TOP, percent: int = PERCENT, **how) -> DataFrame:

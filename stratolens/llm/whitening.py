@@ -14,8 +14,8 @@
 Rows whose vector is null or holds null, NaN or infinite entries are dropped, and so are those whose length isn't the
 commonest one (of equally common ones the larger stays) and empty vectors. Entries beyond 2^62 / 1024 count as that. Null
 identifiers and repeated rows are rows like others. Components end where roots are zero: of n equal vectors there are none, and
-no rows then; an empty table gives none either. deviation is null where it passes 64 bits, deviation_exact holds it in any
-case to 38 digits. Other columns are ignored.
+no rows then; an empty table gives none either. deviation is null where it passes 64 bits, deviation_exact where it
+passes 38 digits. Other columns are ignored.
 
 The driver holds the d x d scatter and the polynomial, tasks a batch of vectors: nothing there grows with the rows.
 """
@@ -312,7 +312,7 @@ def whitened(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 deviation = [sum(x * x for x in row) for row in away.astype(object).tolist()]
             rows = len(w)
             each = np.repeat(np.arange(rows), k)
-            exact = pa.array(deviation, pa.decimal128(38, 0)).take(pa.array(each))
+            exact = pa.array([Decimal(x) if x < 10**38 else None for x in deviation], pa.decimal128(38, 0)).take(pa.array(each))
             short = pa.array([x if x < 1 << 63 else None for x in deviation], pa.int64()).take(pa.array(each))
             columns = [b.column(0).take(pa.array(each)), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), rows)), pa.array(np.full(rows * k, n)), short, exact, pa.array(w.ravel()), pa.array(np.tile(explained, rows)), pa.array(np.full(rows * k, error))]
             yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "component", "n", "deviation", "deviation_exact", "whitened", "explained", "identity_error"])
