@@ -35,7 +35,7 @@ MIN_COUNT, LONGEST, TOP, PERCENT = 30, 4, 2000, 80
 #: Bytes of text in the sample, on average; its largest share of the rows; bits of the proposals' bitmap as a power of two.
 SAMPLE_BYTES, FRACTION, BITS = 256 << 20, 1 / 16, 27
 #: Texts are read this many bytes at a time.
-PIECE = 1 << 20
+PIECE = 1 << 19
 _BUCKET = 32_768  # bits of a bucket of Spark's bitmap functions
 _BYTE_2 = np.random.default_rng(7_130_013).integers(1, 1 << 63, 256).astype(np.uint64)
 _BYTE_2[65:91] = _BYTE_2[97:123]
