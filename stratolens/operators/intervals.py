@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .ordered import running
 
 
+#: How much wider buckets of the next level are.
+FAN = 16
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp without zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts)
@@ -19,20 +23,34 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket:
     """Rows of left (start, end) and right (r_start, r_end) with equal keys whose intervals share time, and `overlap`.
 
     Both sides are cut into buckets of time, so the join is on equality and a busy key spreads over its buckets; a pair
-    that meets in several buckets is kept in the first. how is inner or left: left rows that meet none stay once, with nulls.
+    that meets in several buckets is kept in the first. An interval is cut at the level of its length: buckets grow by FAN
+    from level to level, so that none is in more than FAN + 1 of them, a year's no more than a minute's; each side is also
+    written at all coarser levels that the other side has, in the few buckets that it touches there.
+
+    how is inner or left: left rows that meet none stay once, with nulls, as do those with a null key, start or end.
     """
-    cells = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.greatest(F.col(z) - 1, F.col(a)) / bucket)))
-    on = left.withColumn("_id", F.monotonically_increasing_id()).withColumn("_cell", cells("start", "end"))
-    r = right.select(*[F.col(c).alias(f"_r_{c}" if c in keys else c) for c in right.columns], F.lit(True).alias("_met")).withColumn("_r_cell", cells("r_start", "r_end"))
-    same = (F.col("_cell") == F.col("_r_cell")) & (F.col("_cell") == F.greatest(F.floor(F.col("start") / bucket), F.floor(F.col("r_start") / bucket)))
-    for k in keys:
-        same &= F.col(k) == F.col(f"_r_{k}")
+    level = lambda a, z: F.coalesce(F.greatest(F.lit(0), F.ceil(F.log(float(FAN), F.greatest(F.col(z) - F.col(a), F.lit(1)) / bucket) - 1)), F.lit(0)).cast("int")
+    width = lambda k: F.lit(bucket) * F.pow(F.lit(FAN), k).cast("long")
+    there = {r[0] for df, a, z in ((left, "start", "end"), (right, "r_start", "r_end")) for r in df.select(level(a, z)).distinct().collect()}  # a dozen at most
+    levels = F.array(*[F.lit(k) for k in sorted(there | {0})])
+    cell = lambda c, k: F.floor(F.col(c) / width(k))
+
+    def cells(own: str, a: str, z: str) -> Column:
+        some = F.filter(levels, lambda k: k >= F.col(own))
+        return F.flatten(F.transform(some, lambda k: F.transform(F.sequence(F.floor(F.col(a) / width(k)), F.floor(F.greatest(F.col(z) - 1, F.col(a)) / width(k))), lambda c: F.struct(k.alias("k"), c.alias("c")))))
+
+    on = left.withColumn("_id", F.monotonically_increasing_id()).withColumn("_level", level("start", "end")).withColumn("_cell", F.explode_outer(cells("_level", "start", "end")))
+    r = right.select(*[F.col(c).alias(f"_r_{c}" if c in keys else c) for c in right.columns], F.lit(True).alias("_met")).withColumn("_r_level", level("r_start", "r_end")).withColumn("_r_cell", F.explode(cells("_r_level", "r_start", "r_end")))
+    k = F.col("_cell.k")
+    same = (F.col("_cell") == F.col("_r_cell")) & (k == F.greatest("_level", "_r_level")) & (F.col("_cell.c") == F.greatest(cell("start", k), cell("r_start", k)))
+    for c in keys:
+        same &= F.col(c) == F.col(f"_r_{c}")
     on = on.join(r, same & (F.col("r_end") > F.col("start")) & (F.col("r_start") < F.col("end")), how)
     if how == "left":
         one = W.partitionBy("_id")
         on = on.withColumn("_any", F.max("_met").over(one)).withColumn("_nth", F.row_number().over(one.orderBy("_cell")))
         on = on.filter(F.col("_met") | (F.col("_any").isNull() & (F.col("_nth") == 1))).drop("_any", "_nth")
-    return on.withColumn("overlap", F.least("end", "r_end") - F.greatest("start", "r_start") if how == "inner" else F.when(F.col("_met"), F.least("end", "r_end") - F.greatest("start", "r_start"))).drop("_id", "_cell", "_r_cell", "_met", *[f"_r_{k}" for k in keys])
+    return on.withColumn("overlap", F.least("end", "r_end") - F.greatest("start", "r_start") if how == "inner" else F.when(F.col("_met"), F.least("end", "r_end") - F.greatest("start", "r_start"))).drop("_id", "_cell", "_r_cell", "_level", "_r_level", "_met", *[f"_r_{c}" for c in keys])
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance: int, tie: str) -> DataFrame:

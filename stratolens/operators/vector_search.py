@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,11 @@ def _matrix(a: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return m, np.where(n == 0, 1.0, n)
 
 
+def _numbers(c: pa.ChunkedArray) -> np.ndarray:
+    """A column of whole numbers to sort and compare by; nulls come first."""
+    return c.to_numpy() if not c.null_count else c.cast(pa.int64()).fill_null(-(1 << 63)).to_numpy()
+
+
 def _blocks(queries: DataFrame, rows: DataFrame, pick: _Top | _Within | _Nested, schema: str, extra: Sequence[str], block: int) -> DataFrame:
     """Every query (query_id, q) against every row (id, v, bonus and extra): each block of queries meets each block of rows in one group. pick gets cosines of some queries and the rows of a block, and gives the pairs of interest; those are recomputed as a sum over the vector alone, so that equal vectors tie."""
     n_q, n_r = (max(1, -(-df.count() // block)) for df in (queries, rows.select("id")))
@@ -35,6 +40,11 @@ def _blocks(queries: DataFrame, rows: DataFrame, pick: _Top | _Within | _Nested,
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("query_id", "q", part("query_id", n_q).alias("_qb")).withColumn("_rb", each(n_r))
     right = rows.withColumn("_rb", part("id", n_r)).withColumn("_qb", each(n_q))
+    return left.groupBy("_qb", "_rb").cogroup(right.groupBy("_qb", "_rb")).applyInArrow(meeting(pick, schema, extra), schema)
+
+
+def meeting(pick: _Top | _Within | _Nested, schema: str, extra: Sequence[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """What a block of queries (query_id, q) and a block of rows (id, v, bonus, extra) give: see _blocks."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -42,8 +52,10 @@ def _blocks(queries: DataFrame, rows: DataFrame, pick: _Top | _Within | _Nested,
         if a.num_rows and b.num_rows:
             q, q_len = _matrix(a["q"])
             r, r_len = _matrix(b["v"])
+            if q.shape[1] != r.shape[1]:  # no vector on one side
+                q, r = (np.pad(x, ((0, 0), (0, max(q.shape[1], r.shape[1]) - x.shape[1]))) for x in (q, r))
             q_unit, r_unit = q / q_len[:, None], (r / r_len[:, None]).T
-            q_id, r_id, bonus = a["query_id"].to_numpy(), b["id"].to_numpy(), b["bonus"].to_numpy()
+            q_id, r_id, bonus = _numbers(a["query_id"]), _numbers(b["id"]), b["bonus"].to_numpy()
             for at in range(0, len(q), CHUNK):
                 z = at + CHUNK
                 i, j = pick.near(q_unit[at:z] @ r_unit, bonus, b)
@@ -54,10 +66,10 @@ def _blocks(queries: DataFrame, rows: DataFrame, pick: _Top | _Within | _Nested,
                     cos[k : k + PAIRS] = (q[x] * r[y]).sum(1) / (q_len[x] * r_len[y])
                 keep = pick.best(q_id[i], r_id[j], cos, bonus[j], b, j)
                 i, j, cos = i[keep], j[keep], cos[keep]
-                found.append(pa.table({"query_id": q_id[i], "id": r_id[j], "cosine": cos, "score": pick.score(cos, bonus[j], b, j), **{c: b[c].take(pa.array(j)) for c in extra}}).select(names))
+                found.append(pa.table({"query_id": a["query_id"].take(pa.array(i)), "id": b["id"].take(pa.array(j)), "cosine": cos, "score": pick.score(cos, bonus[j], b, j), **{c: b[c].take(pa.array(j)) for c in extra}}).select(names))
         return pa.concat_tables(found) if found else pa.table({c: pa.array([], t) for c, t in zip(names, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[b.schema.field(c).type for c in extra]])})
 
-    return left.groupBy("_qb", "_rb").cogroup(right.groupBy("_qb", "_rb")).applyInArrow(meet, schema)
+    return meet
 
 
 class _Top:
@@ -76,7 +88,7 @@ class _Top:
         return self.weight * cos + bonus
 
     def best(self, q, r, cos, bonus, b, j):
-        order = np.lexsort((r, b[self.tie].to_numpy()[j], -(self.weight * cos + bonus), q))
+        order = np.lexsort((r, _numbers(b[self.tie])[j], -(self.weight * cos + bonus), q))
         first = np.flatnonzero(np.r_[True, np.diff(q[order]) != 0]) if len(q) else np.array([], int)
         rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
         return order[rank < self.k]
@@ -111,6 +123,10 @@ class _Nested:
     def cut(cos):
         return np.maximum(0, np.round(cos, 3))
 
+    def groups(self, b):
+        """A number for each row's group; null is a group of its own."""
+        return b[self.group].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+
     def allowed(self, cos, b, j):
         """Whether rows j compete, by their cosines less a slack for the first look."""
         always, strict, seen = (b[c].to_numpy(zero_copy_only=False)[j] for c in ("always", "strict", "seen"))
@@ -121,7 +137,7 @@ class _Nested:
         ok = self.allowed(cos + 1e-3, b, every)
         s = np.where(ok, b["weight"].to_numpy() * np.maximum(0, cos) + bonus, -np.inf)
         rows, cols = [], []
-        for g in np.unique(names := b[self.group].to_numpy(zero_copy_only=False).astype(str)):
+        for g in np.unique(names := self.groups(b)):
             at = np.flatnonzero(names == g)
             part = s[:, at]
             least = np.partition(part, -self.k, axis=1)[:, -self.k][:, None] - 0.02 if self.k < len(at) else -np.inf
@@ -132,7 +148,7 @@ class _Nested:
 
     def best(self, q, r, cos, bonus, b, j):
         keep = np.flatnonzero(self.allowed(self.cut(cos), b, j))
-        group = np.unique(b[self.group].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1][j[keep]]
+        group = self.groups(b)[j[keep]]
         order = np.lexsort((r[keep], -self.score(cos, bonus, b, j)[keep], group, q[keep]))
         pair = np.stack([q[keep], group])[:, order]
         first = np.flatnonzero(np.r_[True, (pair[:, 1:] != pair[:, :-1]).any(0)]) if len(keep) else np.array([], int)
