@@ -1,6 +1,6 @@
 """The queries of the evidence engine by name, and their SQL."""
 
-from . import assembly, catalog, evidence, intervals, nearest, parsing, projections, scoring, search, signals, stats, streams, trust
+from . import assembly, catalog, evidence, identity, intervals, nearest, parsing, projections, scoring, search, signals, stats, streams, trust
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "assembly", "catalog", "evidence", "intervals", "nearest", "parsing", "projections", "scoring", "search", "signals", "stats", "streams", "trust"]
+__all__ = ["ORACLE_SQL", "QUERIES", "assembly", "catalog", "evidence", "identity", "intervals", "nearest", "parsing", "projections", "scoring", "search", "signals", "stats", "streams", "trust"]
