@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from ..streaming import jobs
+from ..streaming import jobs, latency
 from .base import Tables, query
+from .intervals import SQL_LAST
 
 WINDOWS = "SELECT time_bucket(INTERVAL '{0}', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
 
@@ -27,3 +28,10 @@ def stream_sessions(t: Tables):
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(t: Tables):
     return jobs.distinct_keys(t.spark, t.sf_dir)
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM {SQL_LAST})
+SELECT event_type, max(n) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, round(max(CASE WHEN r = CAST(ceil(0.95 * n) AS BIGINT) THEN value END), 6) AS p95, round(max(CASE WHEN back = 1 THEN value END), 6) AS last FROM r GROUP BY event_type""")
+def stream_latency_last250(t: Tables):
+    """The last 250 samples of each type as list state; the rows of latency_p95_last250."""
+    return latency.event_latencies(t.spark, t.sf_dir).withColumnRenamed("key", "event_type")
