@@ -125,7 +125,7 @@ def screen_text_filter(t: Tables):
 
 
 @query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN ['metadata:catalog-only', 'person'] WHEN doc_id % 4 = 0 THEN ['face-close', lang] ELSE [lang, source] END AS tags, n_chars % 3 AS players, e.vec_id IS NOT NULL AS seen FROM documents LEFT JOIN embeddings e ON e.vec_id = doc_id)
-SELECT doc_id, NOT list_contains(tags, 'metadata:catalog-only') AND seen AND (len(list_filter(tags, lambda x: x IS NOT NULL AND regexp_matches(x, '(?i)performer|actor|actress|person|face'))) > 0 OR players > 0) AS evidence, len(list_filter(tags, lambda x: x IS NOT NULL AND regexp_matches(x, '(?i)performer|actor|actress|person|metadata:rurugrab'))) > 0 OR players > 1 AS candidate FROM d""")
+SELECT doc_id, NOT list_contains(tags, 'metadata:catalog-only') AND seen AND (len(list_filter(tags, lambda x: x IS NOT NULL AND regexp_matches(x, '(?i)performer|actor|actress|person|face'))) > 0 OR players > 0) AS evidence, len(list_filter(tags, lambda x: x IS NOT NULL AND regexp_matches(x, '(?i)performer|actor|actress|person|metadata:people'))) > 0 OR players > 1 AS candidate FROM d""")
 def appearance_predicates(t: Tables):
     """Evidence of persons needs local pictures and a cue of a person; candidates need a cue alone."""
     v = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("seen"))
@@ -133,7 +133,7 @@ def appearance_predicates(t: Tables):
     d = t.documents.select("doc_id", "lang", "source", (F.col("n_chars") % 3).alias("players")).join(v, "doc_id", "left").select("doc_id", F.array_compact(tags).alias("tags"), "players", F.coalesce("seen", F.lit(False)).alias("seen"))
     cue = lambda p: F.exists("tags", lambda x: x.rlike(f"(?i){p}"))
     evidence = ~F.array_contains("tags", "metadata:catalog-only") & F.col("seen") & (cue("performer|actor|actress|person|face") | (F.col("players") > 0))
-    return d.select("doc_id", evidence.alias("evidence"), (cue("performer|actor|actress|person|metadata:rurugrab") | (F.col("players") > 1)).alias("candidate"))
+    return d.select("doc_id", evidence.alias("evidence"), (cue("performer|actor|actress|person|metadata:people") | (F.col("players") > 1)).alias("candidate"))
 
 
 @query("""WITH s AS (SELECT s_suppkey, CASE s_suppkey % 10 WHEN 0 THEN ' Total' WHEN 1 THEN 'TEAM ' WHEN 2 THEN 'player' ELSE s_name END AS name, CASE s_suppkey % 3 WHEN 0 THEN 'scorers' WHEN 1 THEN 'cards' ELSE 'attendance' END AS kind, s_acctbal FROM supplier),
