@@ -248,3 +248,18 @@ def test_toxicity_of_odd_rows(spark):
     none = toxicity.train(docs, labels.filter("toxic = 0"))
     assert none is None and {r["toxicity"] for r in toxicity.score_toxicity(docs, none).collect()} == {0.0}
     assert toxicity.score_toxicity(docs.limit(0), model).collect() == [] and toxicity.train(docs.limit(0), labels) is None
+
+
+def test_collocations_equal_their_sql(spark):
+    import duckdb
+
+    from stratolens.llm.queries import ORACLE_SQL, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    q = c.execute(ORACLE_SQL["op13_phrase_collocations"])
+    names = [d[0] for d in q.description]
+    got = QUERIES["op13_phrase_collocations"](spark, sf)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(q.fetchall()) == sorted(tuple(r[k] for k in names) for r in got.collect())
