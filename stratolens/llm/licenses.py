@@ -11,9 +11,9 @@ template, so its text holds one of the words that stand for the template's n - n
 `need` shingles that templates have at all. tests/llm measure what the bands retrieve by themselves.
 
 Templates are notices and whole licenses, or any others: templates_of reads a folder of text files. Texts of more than BLOCK
-characters are cut into blocks of whole words that know the words that follow, so rows stay bounded; an occurrence must lie
-within two blocks, which all but runs of words of thousands of characters do. The result tells notices (a sentence or two)
-from full texts by the template's name.
+characters are cut into blocks of so many words that know the words that follow, so rows stay bounded; blanks, other scripts
+and long words between a template's words don't matter. The result tells notices (a sentence or two) from full texts by the
+template's name.
 
 Null, empty and one-word texts match nothing and give no row. Repeated rows are one: the result has a row for each
 identifier, text and license. Nulls are a value of the identifier like others. Texts that hold a template at several places
@@ -124,11 +124,16 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, reach: int, block: int)
     short = short.select("doc_id", "digest", "first", F.size("words").alias("own"), "words")
     long = rows(is_long).dropDuplicates(["doc_id", "digest"])
     long = long.select("doc_id", "digest", F.posexplode(F.regexp_extract_all("low", F.lit(f"(?s).{{1,{block}}}[a-z0-9]*"), 0)).alias("n", "part"))
-    long = long.select("doc_id", "digest", "n", _word_column(F.col("part")).alias("words"))
-    by = Window.partitionBy("doc_id", "digest").orderBy("n")
-    before = F.coalesce(F.sum(F.size("words")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    after = F.coalesce(F.lead(F.slice("words", 1, reach)).over(by), F.array().cast("array<string>"))
-    return short.unionByName(long.select("doc_id", "digest", before.alias("first"), F.size("words").alias("own"), F.concat("words", after).alias("words")))
+    long = long.select("doc_id", "digest", "n", _word_column(F.col("part")).alias("words")).filter(F.size("words") > 0)
+    before = F.sum(F.size("words")).over(Window.partitionBy("doc_id", "digest").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    # Cut anew by the words' numbers, so that a block has its `reach` words however little its characters hold.
+    long = long.withColumn("from", F.coalesce(before, F.lit(0)).cast("long")).withColumn("to", F.col("from") + F.size("words"))
+    some, n = max(1, block // 8), F.col("no") * max(1, block // 8)
+    long = long.withColumn("no", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((F.col("from") - reach) / some)), F.floor((F.col("to") - 1) / some))))
+    begin, end = F.greatest(F.col("from"), n), F.least(F.col("to"), n + some + reach)
+    part = F.struct("n", F.slice("words", (begin - F.col("from") + 1).cast("int"), F.greatest(F.lit(0), end - begin).cast("int")).alias("words"))
+    long = long.groupBy("doc_id", "digest", "no").agg(F.array_sort(F.collect_list(part)).alias("parts")).withColumn("words", F.flatten("parts.words"))
+    return short.unionByName(long.select("doc_id", "digest", n.alias("first"), F.least(F.lit(some), F.size("words")).alias("own"), "words"))
 
 
 def _windows(texts: DataFrame, templates: dict[str, str], n_bands: int) -> DataFrame:
