@@ -340,8 +340,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
-    """All documents by four-word shingles at 85 hundredths: set size, component, class and number of links. Edge cases: see the module."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, percent=85).drop("text_hash", "component")
+    """All documents by four-word shingles at 85 hundredths: set size, component and class. Edge cases: see the module."""
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, percent=85, links=False).drop("text_hash", "component", "n_links")
 
 
 OP3_SQL = r"""
@@ -353,8 +353,7 @@ t AS (SELECT class_id, n, unnest(g) AS gram FROM c),
 p AS (SELECT a.class_id AS x, b.class_id AS y, count(*) AS o, any_value(a.n) AS nx, any_value(b.n) AS ny FROM t a JOIN t b ON a.gram = b.gram AND a.class_id <> b.class_id GROUP BY 1, 2),
 e AS (SELECT x, y FROM p WHERE 100 * o >= 85 * (nx + ny - o)),
 r AS (SELECT class_id AS id, class_id AS label FROM c UNION SELECT e.y, r.label FROM r JOIN e ON e.x = r.id),
-m AS (SELECT id, min(label) AS component_id FROM r GROUP BY id),
-l AS (SELECT x, count(*) AS n_links FROM e GROUP BY x)
-SELECT s.doc_id, len(s.g) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id, coalesce(c.class_id, s.doc_id) AS class_id, coalesce(l.n_links, 0) AS n_links
-FROM s LEFT JOIN c ON c.g = s.g LEFT JOIN m ON m.id = c.class_id LEFT JOIN l ON l.x = c.class_id
+m AS (SELECT id, min(label) AS component_id FROM r GROUP BY id)
+SELECT s.doc_id, len(s.g) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id, coalesce(c.class_id, s.doc_id) AS class_id
+FROM s LEFT JOIN c ON c.g = s.g LEFT JOIN m ON m.id = c.class_id
 """
