@@ -9,7 +9,8 @@ that fills a fair part of all rows is looked up in a table that every task has,
 most HOT such payloads a partition. write_files streams the chunks of whole records to .warc.gz files.
 
 Every record has an identifier of its own. A response's comes from its digest and source, so that revisits in other tasks can
-name it. Null payloads are empty. A null source comes after all others, and stays null. Repeated rows are records each: those
+name it. Null payloads are empty. A null source comes after all others, and stays null; other
+sources come back as they were, whatever characters they have. Repeated rows are records each: those
 with the smallest source are responses; if that source is there several times, revisits name it by address alone. Very long
 payloads take one row of memory and a chunk at a time. Other columns are left out, so names can't clash. An empty table gives
 an empty archive.
@@ -22,6 +23,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -32,7 +34,7 @@ from .common import partitions, small_batches, stored
 CHUNK = 64 << 10
 #: A payload with more rows than a partition's share / HOT is hot.
 HOT = 4
-_HEAD = "WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{uuid}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: {url}\r\nWARC-Payload-Digest: sha1:{digest}\r\nX-Payload-Length: {size}\r\nX-Source-Id: {source}\r\n"
+_HEAD = "WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{uuid}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: {url}\r\nWARC-Payload-Digest: sha1:{digest}\r\nX-Payload-Length: {size}\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -42,10 +44,15 @@ def _uuid(*parts) -> str:
 
 
 def _line(value) -> str:
-    """A header's value; line ends would break the header."""
+    """An address as a header's value; line ends would break the header."""
     return "" if value is None else str(value).replace("\r", "%0D").replace("\n", "%0A")
 
 
+def _named(header: str, value) -> str:
+    """A header line whose value the reader gets back as it was; null has none."""
+    return "" if value is None else f"{header}: {quote(str(value))}\r\n"
+
+
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, n = TaskContext.get().partitionId(), 0
     names = ["record", "chunk_no", "data", "running_sha1", "last"]
@@ -58,10 +65,10 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = len(view)
             digest = base64.b32encode(bytes.fromhex(sha1)).decode()
             own = _uuid(sha1, source) if kind == "response" and times == 1 else _uuid("record", part, n)
-            head = _HEAD.format(kind=kind, uuid=own, url=_line(url), digest=digest, size=size, source=_line(source))
+            head = _HEAD.format(kind=kind, uuid=own, url=_line(url), digest=digest, size=size) + _named("X-Source-Id", source)
             if kind == "revisit":
                 refers = f"WARC-Refers-To: <urn:uuid:{_uuid(sha1, first)}>\r\n" if times == 1 else ""
-                head += f"WARC-Profile: {_PROFILE}\r\n{refers}X-Refers-To-Source: {_line(first)}\r\nContent-Length: 0\r\n\r\n"
+                head += f"WARC-Profile: {_PROFILE}\r\n{refers}{_named('X-Refers-To-Source', first)}Content-Length: 0\r\n\r\n"
                 view = memoryview(b"")
             else:
                 http = _HTTP.format(size=size)
@@ -162,7 +169,8 @@ class _Record:
         if f["WARC-Type"] == "response":
             self.ok &= self.got == size and base64.b32encode(self.sha1.digest()).decode() == digest
             digest, size = base64.b32encode(self.sha1.digest()).decode(), self.got
-        return f["X-Source-Id"] or None, f["WARC-Target-URI"], size, digest, f["WARC-Type"], f.get("X-Refers-To-Source") or None, self.ok and self.left == 0 and self.tail == b"\r\n\r\n"
+        back = lambda k: unquote(f[k]) if k in f else None
+        return back("X-Source-Id"), f["WARC-Target-URI"], size, digest, f["WARC-Type"], back("X-Refers-To-Source"), self.ok and self.left == 0 and self.tail == b"\r\n\r\n"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
