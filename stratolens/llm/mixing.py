@@ -52,7 +52,9 @@ def _apportion(parties: DataFrame, by: Sequence[str], order: str) -> DataFrame:
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, block: int = BLOCK, shard_words: int = SHARD_WORDS, fan: int = FAN, seed: int = 0) -> DataFrame:
     """doc_id, digest (xxhash64 of the text, for joins), source, size, source_size, target, taken of every row. weights go to the sources in order of their names, repeating."""
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
+    # Identifier and text, so that rows without an identifier or with the same one are spread over the shards too.
+    key = _seeded(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.md5(F.col(text_col)), F.lit("null"))), seed)
+    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key")), "mix-sizes")
     one = W.partitionBy("one")
     s = rows.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1))
     s = s.withColumn("rank", F.row_number().over(one.orderBy(F.col("source").asc_nulls_last())))
@@ -72,8 +74,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     quota = _apportion(s.filter(~F.col("capped")), ["one"], "rank")
     s = stored(s.join(quota.select("rank", "quota"), "rank", "left").select("source", "source_size", "target", "capped", "n_shards", "quota"), "mix-sources")
 
-    key = _seeded(F.col("doc_id"), seed)
-    dealt = rows.join(s, rows["source"].eqNullSafe(s["source"])).drop(s["source"]).withColumn("key", key).withColumn("shard", F.pmod(_number(F.col("key")), F.col("n_shards")))
+    dealt = rows.join(s, rows["source"].eqNullSafe(s["source"])).drop(s["source"]).withColumn("shard", F.pmod(_number(F.col("key")), F.col("n_shards")))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("w"), *[F.first(c).alias(c) for c in ("source_size", "capped", "quota")])
     shards = shards.withColumn("blocks", F.ceil(F.col("w") / block)).withColumn("most", max_repeat * F.col("blocks"))
     shards = stored(shards.filter("w > 0"), "mix-shards")
@@ -105,7 +106,7 @@ def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')) AS key FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
 s1 AS (SELECT *, 1 + (rank - 1) % 3 AS w, 3 * source_size AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s0),
 f AS (SELECT 0 AS round, [0::BIGINT][1:0] AS capped UNION ALL
