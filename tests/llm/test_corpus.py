@@ -179,6 +179,17 @@ def test_warc(spark):
     assert warc.read_warc(warc.write_warc(pages.limit(0))).collect() == []
 
 
+def test_warc_keeps_identifiers_as_they_are(spark):
+    ids = ["", "a\nb", "a%0Ab", "a: b", " c ", "\r\n\r\n", "é漢", "%", None]
+    pages = spark.createDataFrame([(i, "u", f"page {n // 2}") for n, i in enumerate(ids)], "page_id string, url string, html string")
+    got = {r["source"]: r for r in warc.read_warc(warc.write_warc(pages)).collect()}
+    assert set(got) == set(ids) and all(r["intact"] for r in got.values())
+    for a, b in zip(ids[::2], ids[1::2]):
+        first, other = sorted((a, b))
+        assert got[first]["record_type"] == "response" and got[first]["refers_to"] is None
+        assert got[other]["record_type"] == "revisit" and got[other]["refers_to"] == first
+
+
 def _records(folder):
     """Headers of each gzip member of the files in a folder, read with the standard library alone."""
     for path in sorted(folder.glob("*.warc.gz")):
@@ -246,6 +257,18 @@ def test_mixing(docs, empty):
     assert mixing.mix_sources(empty).collect() == []
 
 
+def test_rows_without_identifier_are_spread(spark):
+    rows = [(None if i % 3 == 0 else i, f"text {i} " + "w " * (i % 40), "a") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df, block=8, shard_words=300)
+    a = sorted((str(r["doc_id"]), r["digest"], r["taken"]) for r in got.collect())
+    assert a == sorted((str(r["doc_id"]), r["digest"], r["taken"]) for r in mixing.mix_sources(df.repartition(5), block=8, shard_words=300).collect())
+    assert sum(x[2] for x in a) == pytest.approx(sum(len(t.split()) for _, t, _ in rows), rel=0.05)
+    key = mixing._seeded(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5("text")), 0)
+    shards = df.filter("doc_id is null").groupBy(F.pmod(mixing._number(key), F.lit(60)).alias("s")).count().collect()
+    assert len(shards) > 50 and max(r["count"] for r in shards) < 20
+
+
 def test_highest_quotients(spark):
     rng = np.random.default_rng(5)
     for _ in range(3):
@@ -280,24 +303,75 @@ def test_packing(docs, texts, empty):
     assert packing.pack_sequences(empty).collect() == []
 
 
-def test_best_fit_is_best_fit():
-    rng = np.random.default_rng(6)
-    lengths = sorted(rng.integers(1, 65, 300).tolist(), reverse=True)
-    bins, _, final = packing.best_fit(lengths, (16, 32, 64), fixed=5, square=100)
-    room, opened = {}, []
-    rest = sum(lengths)
-    for n, b in zip(lengths, bins):
-        fits = [r for r in room.values() if r >= n]
+def plain_packing(lengths, sizes, fixed, square):
+    """Final sizes by the joint rule: best fit, and bins of the length that a trial with the longest pieces left fills at least cost."""
+    cost = lambda s: packing.cost_of(s, fixed, square)
+    holds = lambda used: min(s for s in sizes if s >= used)
+    room, used = [], []
+    for i, n in enumerate(lengths):
+        fits = [b for b, r in enumerate(room) if r >= n]
         if fits:
-            assert room[b] == min(fits)
+            r = min(room[b] for b in fits)
+            b = max(b for b in fits if room[b] == r)  # bins of equal room differ in nothing that counts
         else:
-            size = min((s for s in (16, 32, 64) if s >= n), key=lambda s: ((5 + s + s * s / 100) / min(s, rest), -s))
-            assert b == len(opened)
-            room[b] = size
-            opened.append(size)
+            filled = {}
+            for s in sizes:
+                if s >= n:
+                    filled[s] = n
+                    for m in lengths[i + 1 :]:
+                        filled[s] += m if filled[s] + m <= s else 0
+            b = len(room)
+            room.append(min(filled, key=lambda s: (cost(holds(filled[s])) / filled[s], -s)))
+            used.append(0)
         room[b] -= n
-        rest -= n
-    assert all(f <= o for f, o in zip(final, opened)) and sum(lengths) / sum(final) > 0.9
+        used[b] += n
+    return sum(cost(holds(u)) for u in used), len(used)
+
+
+def cost_of_bins(plan, fixed, square):
+    return sum(packing.cost_of(s, fixed, square) for s in plan[2])
+
+
+def test_bins_open_in_the_length_of_least_cost():
+    rng = np.random.default_rng(6)
+    for sizes, fixed, square, top in [((16, 32, 64), 5, 100, 64), ((8, 24, 40), 1, 40, 30), ((256, 512, 1024, 2048, 4096), 64, 16_384, 900)]:
+        lengths = sorted(rng.integers(1, top + 1, 120).tolist(), reverse=True)
+        joint = packing._pack(lengths, sizes, {s: packing.cost_of(s, fixed, square) for s in sizes}, None)
+        assert (pytest.approx(cost_of_bins(joint, fixed, square)), len(joint[2])) == plain_packing(lengths, sizes, fixed, square)
+        bins, places, final = packing.best_fit(lengths, sizes, fixed, square)
+        content = defaultdict(list)
+        for n, b, at in zip(lengths, bins, places):
+            assert at == sum(content[b])
+            content[b].append(n)
+        assert all(final[b] == min(s for s in sizes if s >= sum(x)) for b, x in content.items()) and len(content) == len(final)
+
+
+@pytest.mark.parametrize("lengths,most", [([520] * 200, 158_656), ([700] * 200, 207_360), ([300] * 100 + [200] * 50, 47_360), ([4096] * 3 + [1] * 5, None), ([], None)])
+def test_lengths_together_are_never_dearer_than_one(lengths, most):
+    sizes = packing.SIZES
+    together = cost_of_bins(packing.best_fit(lengths, sizes), 64, 16_384)
+    cost = {s: packing.cost_of(s) for s in sizes}
+    assert all(together <= cost_of_bins(packing._pack(lengths, sizes, cost, s), 64, 16_384) for s in sizes) and together <= (most or together)
+
+
+def test_packing_is_near_the_best():
+    rng = np.random.default_rng(8)
+    sizes, fixed, square = (4, 6, 9, 16), 1, 20
+
+    def best(left, bins):
+        if not left:
+            return sum(packing.cost_of(min(s for s in sizes if s >= b), fixed, square) for b in bins)
+        n, rest = left[0], left[1:]
+        out = best(rest, (*bins, n))
+        for i in {b: i for i, b in enumerate(bins) if b + n <= sizes[-1]}.values():
+            out = min(out, best(rest, (*bins[:i], bins[i] + n, *bins[i + 1 :])))
+        return out
+
+    ratios = []
+    for _ in range(40):
+        lengths = sorted(rng.integers(1, 10, 7).tolist(), reverse=True)
+        ratios.append(cost_of_bins(packing.best_fit(lengths, sizes, fixed, square), fixed, square) / best(tuple(lengths), ()))
+    assert max(ratios) < 1.25 and np.mean(ratios) < 1.05, (max(ratios), np.mean(ratios))
 
 
 def test_licenses(spark, empty):
@@ -339,6 +413,26 @@ def test_licenses_in_blocks_equal_the_plain_scan(spark):
     assert {(r["doc_id"], r["license"]): (pytest.approx(r["containment"]), r["first_word"], r["windows"]) for r in got} == plain_scan(rows, licenses.TEMPLATES)
 
 
+@pytest.mark.parametrize("block", [8, 16, 40, 200])
+def test_words_far_apart_equal_the_plain_scan(spark, block):
+    """Blanks, signs, other scripts and long words between a template's words, so that blocks have few words or none."""
+    rng = np.random.default_rng(block)
+    gaps, rows = [" ", " " * 3 * block, "\n" + "漢字 " * block, " ... " * block, "é" * block, " " + "q" * 2 * block + " "], []
+    for i, k in enumerate(("MIT-grant", "GPL-notice", "CC-BY-4.0", "MIT", "Zlib-full")):
+        w = licenses._words(licenses.TEMPLATES[k])
+        rows.append((i, "lead words here" + " " * 5 * block + "".join(x + gaps[rng.integers(5) if rng.random() < 0.3 else 0] for x in w) + " end"))
+        rows.append((10 + i, "".join(x + gaps[rng.integers(6) if rng.random() < 0.1 else 0] for x in w)))
+    rows += [(20, " " * 9 * block), (21, licenses.TEMPLATES["MIT"] + " " * 50 * block)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    assert {(r["doc_id"], r["license"]): (pytest.approx(r["containment"]), r["first_word"], r["windows"]) for r in got} == plain_scan(rows, licenses.TEMPLATES)
+
+
+def test_a_gap_longer_than_blocks(spark):
+    w = licenses.TEMPLATES["MIT-grant"].split()
+    rows = [(1, " ".join(w[:9]) + " " * 450_000 + " ".join(w[9:])), (2, " ".join(w))]
+    assert {(r["doc_id"], r["license"]): r["containment"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {(1, "MIT-grant"): 1.0, (2, "MIT-grant"): 1.0}
+
+
 def test_bands_retrieve_by_themselves(spark):
     """Windows with the least share of a template's shingles, the others random: all are retrieved."""
     rng, rows = np.random.default_rng(5), []
