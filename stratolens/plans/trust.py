@@ -230,15 +230,15 @@ def player_priority(t: Tables):
 SQL_CASES = f"(SELECT item_id, {SQL_FIRST.format('k')} AS k FROM (SELECT item_id, {SQL_KEYWORDS} AS k FROM benchmark))"
 
 
-@query(f"""WITH m AS (SELECT item_id, k[1] AS home, k[2] AS away, k[3:12] AS players FROM {SQL_CASES} WHERE len(k) >= 2), d AS (SELECT doc_id, lang, list_distinct({SQL_TERMS}) AS t FROM documents),
+@query(f"""WITH m AS (SELECT item_id, k[1] AS home, k[2] AS away, k[3:] AS players FROM {SQL_CASES} WHERE len(k) >= 2), d AS (SELECT doc_id, lang, list_distinct({SQL_TERMS}) AS t FROM documents),
 s AS (SELECT doc_id, item_id, list_contains(t, home) AS h, list_contains(t, away) AS a, len(list_intersect(players, t)) AS p, lang FROM d, m),
 x AS (SELECT *, CASE WHEN h THEN 2.3 ELSE 0 END + CASE WHEN a THEN 2.3 ELSE 0 END + CASE WHEN h AND a THEN 1.2 ELSE 0 END + least(3.2, 1.2 * least(4, p)) + CASE WHEN lang = 'en' THEN 0.6 ELSE 0 END AS score FROM s WHERE h OR a OR p > 0)
 SELECT doc_id, item_id, round(score, 4) AS score, round(least(0.96, score / 8), 2) AS confidence, CASE WHEN score >= 6 THEN 'confirmed' WHEN score >= 3.2 THEN 'candidate' ELSE 'unknown' END AS status FROM x WHERE score >= 2.5""", score="DOUBLE", confidence="DOUBLE")
 def match_text_resolution(t: Tables):
     """Texts against matches by the names they hold, through an inverted index of home, away and players: only pairs that share a name meet."""
-    k = t.benchmark.select("item_id", X.keywords(F.col("text"), 12).alias("k")).filter("size(k) >= 2")
+    k = t.benchmark.select("item_id", X.keywords(F.col("text"), None).alias("k")).filter("size(k) >= 2")
     name = lambda role, c: F.transform(c, lambda x: F.struct(F.lit(role).alias("role"), x.alias("term")))
-    names = F.concat(name("home", F.slice("k", 1, 1)), name("away", F.slice("k", 2, 1)), name("player", F.slice("k", 3, 10)))
+    names = F.concat(name("home", F.slice("k", 1, 1)), name("away", F.slice("k", 2, 1)), name("player", F.slice("k", 3, F.size("k"))))
     m = k.select("item_id", F.explode(names).alias("n")).select("item_id", "n.role", "n.term")
     d = t.documents.select("doc_id", F.coalesce(F.col("lang") == "en", F.lit(False)).alias("en"), F.explode(F.array_distinct(X.terms(F.col("text")))).alias("term"))
     n = lambda role: F.count_if(F.col("role") == role)
