@@ -27,8 +27,9 @@ def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
 def _covers(places: Column, length: Column) -> Column:
     """places: for each clause its (start, end) in order -> struct (score, covers, closest): all windows that hold every clause and no smaller window that does."""
     marks = F.flatten(F.transform(places, lambda p, c: F.transform(p, lambda x: F.struct(x["end"].alias("end"), c.alias("clause"), x["start"].alias("start")))))
-    marks = F.array_sort(marks)
-    marks = F.transform(marks, lambda x, i: F.struct(x["end"].alias("end"), x["clause"].alias("clause"), x["start"].alias("start"), F.coalesce(F.get(marks, i + 1)["end"] != x["end"], F.lit(True)).alias("whole")))
+    # Bound as a lambda's variable, so the ordered marks are made once, not for each mark.
+    ends = lambda m: F.transform(m, lambda x, i: F.struct(x["end"].alias("end"), x["clause"].alias("clause"), x["start"].alias("start"), F.coalesce(F.get(m, i + 1)["end"] != x["end"], F.lit(True)).alias("whole")))
+    marks = F.flatten(F.transform(F.array(F.array_sort(marks)), ends))
     begin = F.struct(F.transform(places, lambda _: F.lit(-1)).alias("last"), F.lit(-1).alias("from"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("covers"), F.lit(None).cast("int").alias("closest"))
 
     def step(s: Column, m: Column) -> Column:
