@@ -80,7 +80,7 @@ def predictions(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def spots(lines: DataFrame, end_s: float = 0, column: str = "value") -> DataFrame:
-    """(position, label, confidence) of prediction files in seconds, sorted: whatever names they give to the time, the label and the confidence. Positions far past a video's end are milliseconds; rows without a label or a time go."""
+    """(position, label, confidence) of prediction files in seconds, by position, falling confidence and label: whatever names they give to the time, the label and the confidence. Positions far past a video's end are milliseconds; rows without a label or a time go."""
     item = "array<map<string,string>>"
     whole = F.when(F.trim(column).startswith("["), F.from_json(column, item))
     named = [F.from_json(F.get_json_object(column, f"$.{k}"), item) for k in ("spots", "predictions", "annotations", "actions", "events")]
@@ -90,4 +90,4 @@ def spots(lines: DataFrame, end_s: float = 0, column: str = "value") -> DataFram
     at = F.when((F.lit(end_s) > 0) & (at > end_s + 30), at / 1000).otherwise(at)
     sure = F.coalesce(*[x.try_cast("double") for x in first("confidence", "score", "probability")], F.lit(1.0))
     rows = p.select(F.round(F.greatest(F.lit(0.0), at), 3).alias("position"), F.coalesce(*first("label", "class", "event", "name")).alias("label"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)), 3).alias("confidence"), at.isNotNull().alias("ok"))
-    return rows.filter("ok and label is not null").drop("ok").orderBy("position", F.col("confidence").desc())
+    return rows.filter("ok and label is not null").drop("ok").orderBy("position", F.col("confidence").desc(), "label")
