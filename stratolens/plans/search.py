@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X, vectors as V
 from ..operators import ordered as O, overlap, vector_search as R
+from ..operators.staging import spread
 from .base import Tables, query
 
 TERMS = ("the", "with", "that", "was")
@@ -289,7 +290,8 @@ SELECT doc_id, item_id, count(*) AS shared, any_value(size) AS size FROM d JOIN
 def candidates(t: Tables, need):
     """(document, item) pairs that share at least `need` keywords, a column of the item's size."""
     item = t.benchmark.select("item_id", X.keywords(F.col("text"), None).alias("k")).select("item_id", F.size("k").cast("long").alias("size"), "k")
-    return overlap.sharing(t.documents.select("doc_id", X.keywords(F.col("text"), None).alias("k")), item, need)
+    texts = spread(t.documents.select("doc_id", "text"), "doc_id")
+    return overlap.sharing(texts.select("doc_id", X.keywords(F.col("text"), None).alias("k")), item, need)
 
 
 @query(f"SELECT doc_id, item_id, shared, round(shared / size, 4) AS share FROM {SQL_CANDIDATES} WHERE shared >= 3")

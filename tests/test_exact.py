@@ -1,5 +1,8 @@
 """Results that the order of rows, the number of files and the size of a group must not change."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 
 
@@ -9,3 +12,31 @@ def test_equal_scores_of_jersey_votes_go_by_their_votes(spark, tmp_path):
     spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_discount double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
     got = entry.queries()["jersey_votes"](spark, str(tmp_path)).collect()
     assert sorted((r["place"], r["number"], r["n"], r["score"]) for r in got) == [(1, 2, 4, 0.14), (2, 1, 3, 0.14)]
+
+
+def test_separators_of_terms_are_all_other_characters(spark):
+    from stratolens.functions import text as X
+
+    every = spark.range(0x110000).filter("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    assert every.filter(F.col("c").rlike(f"[{X.BETWEEN}]") != F.col("c").rlike(f"[^{X.LETTERS}-]")).count() == 0
+    assert every.filter(F.col("c").rlike(f"[{X.BETWEEN}]")).count() > 1_000_000
+
+
+@pytest.mark.parametrize("need, want", [(3, {(1, 1, 3), (3, 1, 4)}), (4, {(3, 1, 4)})])
+def test_pairs_move_no_texts(spark, need, want):
+    """Pairs are counted before they are shuffled; neither a text's terms nor an item's go along with them."""
+    from stratolens.operators import overlap
+
+    texts = spark.createDataFrame([(1, ["a", "b", "c", "x"]), (2, ["a", "b", "x"]), (3, ["d", "c", "b", "a"]), (4, []), (5, None)], "doc_id long, k array<string>")
+    items = spark.createDataFrame([(1, 4, ["a", "b", "c", "d"]), (2, 1, ["a"])], "item_id long, size long, k array<string>")
+    pairs = overlap.sharing(texts, items, F.lit(need))
+    assert {(r["doc_id"], r["item_id"], r["shared"]) for r in pairs.collect()} == want
+    assert "array_intersect" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_one_row_group_are_many_tasks(spark, tmp_path):
+    from stratolens.operators.staging import spread
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    parts = spread(spark.read.parquet(str(tmp_path / "t")), "id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 4 and sum(r["count"] for r in parts) == 1000
