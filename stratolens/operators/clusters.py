@@ -13,19 +13,22 @@ def leader_clusters(df: DataFrame, asset: str, key: str, vector: str, least: flo
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(key, kind="stable")
-        sums: list[np.ndarray] = []
-        of = []
-        unit = [v / (np.linalg.norm(v) or 1) for v in (np.asarray(x, float) for x in f[vector])]
-        for v in unit:
-            sims = [float(v @ s) / (np.linalg.norm(s) or 1) for s in sums]
-            best = int(np.argmax(sims)) if sims else -1
+        unit = np.stack([v / (np.linalg.norm(v) or 1) for v in (np.asarray(x, float) for x in f[vector])])
+        sums, length, n = np.empty((64, unit.shape[1])), np.ones(64), 0
+        of = np.empty(len(unit), np.int64)
+        for i, v in enumerate(unit):
+            sims = sums[:n] @ v / length[:n]
+            best = int(np.argmax(sims)) if n else -1
             if best >= 0 and sims[best] >= least:
-                sums[best] = sums[best] + v
+                sums[best] += v
             else:
-                best = len(sums)
-                sums.append(v.copy())
-            of.append(best)
-        close = [float(v @ sums[c]) / (np.linalg.norm(sums[c]) or 1) for v, c in zip(unit, of)]
+                if n == len(sums):
+                    sums, length = np.concatenate([sums, np.empty_like(sums)]), np.concatenate([length, np.ones_like(length)])
+                best, n = n, n + 1
+                sums[best] = v
+            length[best] = np.linalg.norm(sums[best]) or 1
+            of[i] = best
+        close = np.concatenate([(unit[i : i + 4096] * sums[of[i : i + 4096]]).sum(1) / length[of[i : i + 4096]] for i in range(0, len(unit), 4096)])
         return pd.DataFrame({asset: f[asset].to_numpy(), key: f[key].to_numpy(), "cluster": of, "similarity": close})
 
     a, k = (df.schema[c].dataType.simpleString() for c in (asset, key))

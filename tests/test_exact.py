@@ -40,3 +40,26 @@ def test_texts_of_one_row_group_are_many_tasks(spark, tmp_path):
     spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
     parts = spread(spark.read.parquet(str(tmp_path / "t")), "id").groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) == 4 and sum(r["count"] for r in parts) == 1000
+
+
+def test_many_clusters_of_a_source_take_seconds(spark):
+    """2000 vectors in about as many clusters: 12 s in a loop over clusters."""
+    import time
+
+    import numpy as np
+
+    from stratolens.operators.clusters import leader_clusters
+
+    v = np.random.default_rng(1).normal(size=(2000, 64))
+    df = spark.createDataFrame([(1, i, x.tolist()) for i, x in enumerate(v)], "asset long, key long, v array<double>").cache()
+    df.count()
+    leader_clusters(df.limit(10), "asset", "key", "v", 0.5).collect()
+    start = time.time()
+    got = [r["cluster"] for r in leader_clusters(df, "asset", "key", "v", 0.5).orderBy("key").collect()]
+    assert time.time() - start < 6
+    sums, want = [], []
+    for u in (v / np.linalg.norm(v, axis=1)[:, None])[:300]:
+        cos = [float(u @ s) / np.linalg.norm(s) for s in sums]
+        want.append(int(np.argmax(cos)) if cos and max(cos) >= 0.5 else len(sums))
+        sums[want[-1] : want[-1] + 1] = [sums[want[-1]] + u if want[-1] < len(sums) else u]
+    assert got[:300] == want
