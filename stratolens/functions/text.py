@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import LongType
 
 _MARKS = "\u0300-\u036f"
 
@@ -100,6 +103,13 @@ def _bare_text(text: str) -> str:
     return "".join(_bare(c) if "\u00c0" <= c < "\u0250" else c for c in low)
 
 
+@F.pandas_udf(LongType())
+def shared_bigrams(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How many pairs of neighbouring characters two texts share, each as often as both have it; null holds none."""
+    grams = lambda s: Counter(map("".join, zip(s, s[1:]))) if s else Counter()
+    return pd.Series([(grams(x) & grams(y)).total() for x, y in zip(a, b)], dtype="int64")
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(normalised(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

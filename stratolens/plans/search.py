@@ -271,14 +271,10 @@ o AS (SELECT conv_id, turn, sum(least(x.n, y.n)) AS o FROM x JOIN y USING (conv_
 s AS (SELECT conv_id, turn, coalesce(2 * o / greatest(1, greatest(0, length(a) - 1) + greatest(0, length(b) - 1)), 0) AS s FROM p LEFT JOIN o USING (conv_id, turn))
 SELECT conv_id, turn, round(s, 4) AS similarity, CASE WHEN s >= 0.82 THEN 'match' WHEN s >= 0.58 THEN 'review' ELSE 'mismatch' END AS status FROM s""")
 def dice_bigram_compare(t: Tables):
-    c = t.conversations.select("conv_id", "turn", X.normalised(F.col("text")).alias("a"), F.floor(F.col("turn") / 256).alias("part"))
+    c = spread(t.conversations.select("conv_id", "turn", "text"), "conv_id", "turn").select("conv_id", "turn", X.normalised(F.col("text")).alias("a"), F.floor(F.col("turn") / 256).alias("part"))
     p = O.neighbours(c, ["conv_id"], "part", ["turn"], b=("a", -1)).filter("b is not null").select("conv_id", "turn", "a", "b")
-    grams = lambda c: F.transform(F.when(F.length(c) > 1, F.sequence(F.lit(1), F.length(c) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(F.col(c), i, F.lit(2)))
-    both = p.select("conv_id", "turn", F.explode(F.array(F.struct(F.lit("x").alias("side"), grams("a").alias("g")), F.struct(F.lit("y").alias("side"), grams("b").alias("g")))).alias("s"))
-    n = both.select("conv_id", "turn", "s.side", F.explode("s.g").alias("g")).groupBy("conv_id", "turn", "g").agg(F.count_if(F.col("side") == "x").alias("x"), F.count_if(F.col("side") == "y").alias("y"))
-    o = n.groupBy("conv_id", "turn").agg(F.sum(F.least("x", "y")).alias("o"))
     size = F.greatest(F.lit(1), F.greatest(F.lit(0), F.length("a") - 1) + F.greatest(F.lit(0), F.length("b") - 1))
-    s = p.join(o, ["conv_id", "turn"], "left").withColumn("s", F.coalesce(2 * F.col("o") / size, F.lit(0.0)))
+    s = p.withColumn("s", 2 * X.shared_bigrams("a", "b") / size)
     return s.select("conv_id", "turn", F.round("s", 4).alias("similarity"), F.when(F.col("s") >= 0.82, "match").when(F.col("s") >= 0.58, "review").otherwise("mismatch").alias("status"))
 
 
