@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from .staging import stored
+from .staging import spread, stored
 
 #: What a cover without other words in it scores.
 WEIGHT = 0.1
@@ -20,7 +20,8 @@ def clauses(asked: Column) -> Column:
 
 def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """texts (doc_id, text) -> doc_id, term, at (positions from 0, ascending) of the given terms."""
-    words = texts.select("doc_id", F.posexplode(X.terms(F.col("text"))).alias("at", "term")).join(terms, "term", "left_semi")
+    # An outer explode, as Spark would make the terms once more, in a filter, for an inner one; the join drops its nulls.
+    words = spread(texts.select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode_outer(X.terms(F.col("text"))).alias("at", "term")).join(terms, "term", "left_semi")
     return words.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list("at")).alias("at"))
 
 
