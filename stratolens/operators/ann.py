@@ -33,6 +33,8 @@ from .vector_search import _matrix, _rows, _schema, _Top, meeting, top_per_query
 
 #: Vectors in the sample for centroids, bytes of centroids at most, rounds of k-means, rows of a group, queries that tune() takes.
 SAMPLE, MAX_BYTES, ROUNDS, BLOCK, TUNING = 65_536, 32 << 20, 12, 4096, 256
+#: Cosines of rows with centroids that a task holds at once.
+HELD = 1 << 20
 #: More than a cosine by matrix product can differ by from the sum in order, as an angle.
 SLACK = 1e-6
 
@@ -69,6 +71,14 @@ def _units(a: pa.Array, dims: int) -> np.ndarray:
     return m / n[:, None] if m.shape[1] == dims else np.zeros((len(a), dims))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the cosines of their rows with all centroids are about HELD."""
+    n = max(1, HELD // cells)
+    for b in batches:
+        for a in range(0, b.num_rows, n):
+            yield b.slice(a, n)
+
+
 def centroids_of(vectors: np.ndarray, cells: int, seed: int = 3) -> np.ndarray:
     """Spherical k-means of unit vectors; a cell that runs empty starts again at the vector that is farthest from its centroid."""
     rng = np.random.default_rng(seed)
@@ -92,7 +102,7 @@ def _filled(rows: DataFrame, centroids: np.ndarray) -> Index:
     shared, at = spark.sparkContext.broadcast(centroids), rows.columns.index("v")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches, len(centroids)):
             cos = _units(b.column(at), dims) @ shared.value.T
             own = cos.argmax(1)
             angle = np.arccos(np.clip(cos[np.arange(len(own)), own], -1, 1))
@@ -129,11 +139,14 @@ def _opened(index: Index, queries: DataFrame, choose) -> DataFrame:
     shared, dims = queries.sparkSession.sparkContext.broadcast(index.centroids), index.centroids.shape[1]
     at = queries.columns.index("q")
 
+    cells = len(index.centroids)
+
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            i, cell = np.nonzero(choose(_units(b.column(at), dims) @ shared.value.T, b))
-            i = pa.array(i)
-            yield pa.RecordBatch.from_arrays([b.column("query_id").take(i), b.column(at).take(i), pa.array(cell.astype(np.int32))], names=["query_id", "q", "cell"])
+        for b in _pieces(batches, cells):
+            every, cell = np.nonzero(choose(_units(b.column(at), dims) @ shared.value.T, b))
+            for a in range(0, len(every), BLOCK):  # a query's vector comes back once a cell
+                i = pa.array(every[a : a + BLOCK])
+                yield pa.RecordBatch.from_arrays([b.column("query_id").take(i), b.column(at).take(i), pa.array(cell[a : a + BLOCK].astype(np.int32))], names=["query_id", "q", "cell"])
 
     kinds = dict(queries.dtypes)
     return queries.mapInArrow(pick, f"query_id {kinds['query_id']}, q {kinds['q']}, cell int")

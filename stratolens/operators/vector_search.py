@@ -12,6 +12,8 @@ from . import ordered
 
 #: Rows of a block, on average; rows of the queries' block whose cosines are held at once; pairs recomputed at once.
 BLOCK, CHUNK, PAIRS = 4096, 256, 65_536
+#: Rows of a block where all pairs of two blocks may be results.
+ALL = 1024
 #: More than a matrix product and a sum in order can differ by.
 SLACK = 1e-9
 
@@ -172,7 +174,7 @@ def top_per_query(queries: DataFrame, rows: DataFrame, k: int, extra: Sequence[s
 
 def within(queries: DataFrame, rows: DataFrame, least: float, also: Column, extra: Sequence[str] = ()) -> DataFrame:
     """query_id, id, cosine, extra: the rows within a cosine of each query, and for every query those that `also` holds for. A row without a vector has cosine 0."""
-    return _blocks(queries, _rows(rows, also.cast("int"), extra), _Within(least), _schema(rows, extra), extra, BLOCK).drop("score")
+    return _blocks(queries, _rows(rows, also.cast("int"), extra), _Within(least), _schema(rows, extra), extra, ALL).drop("score")
 
 
 def nested(queries: DataFrame, rows: DataFrame, group: str, k: int, semantic: float, visual: float, extra: Sequence[str]) -> DataFrame:

@@ -63,3 +63,22 @@ def test_many_clusters_of_a_source_take_seconds(spark):
         want.append(int(np.argmax(cos)) if cos and max(cos) >= 0.5 else len(sums))
         sums[want[-1] : want[-1] + 1] = [sums[want[-1]] + u if want[-1] < len(sums) else u]
     assert got[:300] == want
+
+
+def test_blocks_whose_pairs_may_all_be_results_are_small(spark):
+    """A group's results are one table of its worker: 4096 by 4096 rows that all count took 805 MB, 1024 by 1024 take 226 MB."""
+    from stratolens.operators import vector_search as R
+
+    rows = spark.range(2500).select("id", F.array(F.lit(1.0), F.lit(0.0)).alias("v"))
+    pairs = R.within(rows.limit(1).select(F.col("id").alias("query_id"), F.col("v").alias("q")), rows, 0.45, F.lit(True))
+    assert R.ALL <= 1024 and pairs.count() == 2500
+
+
+def test_cosines_with_centroids_are_held_in_pieces():
+    import pyarrow as pa
+
+    from stratolens.operators import ann
+
+    b = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["id"])
+    parts = list(ann._pieces(iter([b]), 1024))
+    assert max(p.num_rows for p in parts) * 1024 <= ann.HELD and sum((p.column(0).to_pylist() for p in parts), []) == list(range(10_000))
