@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from . import staging
+
 
 def neighbours(df: DataFrame, keys: Sequence[str], part: str, order: Sequence[str], **columns: tuple[str, int]) -> DataFrame:
     """Adds name=(column, step): the column of the row before (step -1) or after (step 1) in the order within the keys."""
@@ -37,8 +39,9 @@ def running(df: DataFrame, keys: Sequence[str], part: str, order: Sequence[str],
     return df.join(before, [*keys, part]).withColumn(name, both).drop("_carried")
 
 
-def top_per_group(df: DataFrame, group: Sequence[str], k: int, order: Sequence[Column], spread: str, name: str = "rank", parts: int = 64) -> DataFrame:
-    """The first k rows of each group with their rank, from the first k of each of the parts that a hash of the column `spread` deals it into."""
+def top_per_group(df: DataFrame, group: Sequence[str], k: int, order: Sequence[Column], spread: str, name: str = "rank", parts: int = 64, dealt: bool = False) -> DataFrame:
+    """The first k rows of each group with their rank, from the first k of each of the parts that a hash of the column `spread` deals it into. dealt: sorts run over as many tasks as the session shuffles into, not over whole files and joined partitions; for groups as many as rows."""
+    deal = staging.spread if dealt else lambda d, *_: d
     some = df.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(parts)))
-    some = some.withColumn(name, F.row_number().over(W.partitionBy(*group, "_part").orderBy(*order))).filter(F.col(name) <= k).drop("_part")
-    return some.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("long")).filter(F.col(name) <= k)
+    some = deal(some, *group, "_part").withColumn(name, F.row_number().over(W.partitionBy(*group, "_part").orderBy(*order))).filter(F.col(name) <= k).drop("_part")
+    return deal(some, *group).withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("long")).filter(F.col(name) <= k)

@@ -66,7 +66,7 @@ def knowledge_selection(t: Tables):
     own = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("asset"), F.col("o_orderkey").alias("evidence"), "o_totalprice")
     free = t.orders.filter("o_orderstatus = 'P'").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(8).select(F.col("o_orderkey").alias("evidence"), "o_totalprice")
     every = own.unionByName(t.customer.select(F.col("c_custkey").alias("asset")).crossJoin(F.broadcast(free)))  # eight rows
-    return O.top_per_group(every, ["asset"], 8, [F.col("o_totalprice").desc(), F.col("evidence")], "evidence").select("asset", "evidence", "rank")
+    return O.top_per_group(every, ["asset"], 8, [F.col("o_totalprice").desc(), F.col("evidence")], "evidence", dealt=True).select("asset", "evidence", "rank")
 
 
 def conjunctive(df: DataFrame, wanted: Mapping[str | tuple[str, ...], object]) -> DataFrame:
