@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .staging import stored
 
@@ -13,18 +13,22 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def groups(records: DataFrame) -> DataFrame:
-    """records (id, keys: array) -> id, group: the smallest id among all records that are linked by shared keys, directly or through others.
+def linked(records: DataFrame) -> DataFrame:
+    """records (id, keys: array) -> id, group of those ids that share a key with another; see groups.
 
-    A key links its records to the smallest of them, so one that a third of them holds is as many edges as records. Large-star
-    and small-star steps then turn each component into a star around its smallest id, in some rounds, each written to the
-    shared folder. Null keys link nothing; records without keys are groups of their own. Null ids are left out.
+    Keys of one id link nothing and go first; the others are joined by their hash and themselves, as a number sorts faster. Each id then stands with the smallest first id of its keys, and only ids whose
+    keys have several first ids link those: the rounds hold these links, not an edge a record. Large-star and small-star steps
+    turn each component of links into a star around its smallest id, each written to the shared folder.
     """
     held = records.filter("id is not null").select("id", F.explode("keys").alias("k")).filter("k is not null")
-    first = held.groupBy("k").agg(F.min("id").alias("b"))
-    edges = stored(held.join(first, "k").filter("id != b").select(F.col("id").alias("a"), "b").distinct())
+    shared = stored(held.groupBy("k").agg(F.min("id").alias("b"), F.max("id").alias("_z")).filter("b < _z").select("k", "b"))
+    hashed = lambda df: df.withColumn("h", F.xxhash64("k"))
+    own = W.partitionBy("id").orderBy("b")
+    firsts = hashed(held).join(hashed(shared), ["h", "k"]).select("id", "b", F.first("b").over(own).alias("m"), F.row_number().over(own).alias("nth"))
+    firsts = stored(firsts.filter("nth = 1 or b != m"))
+    edges = stored(firsts.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
     now = _state(edges)
-    while True:
+    while now[0]:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = stored(both.join(least, F.col("a") == F.col("u")).filter("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
@@ -35,8 +39,13 @@ def groups(records: DataFrame) -> DataFrame:
         if then == now:
             break
         now = then
+    return firsts.filter("nth = 1").select("id", "m").join(edges, F.col("m") == F.col("a"), "left").select("id", F.coalesce("b", "m").alias("group"))
+
+
+def groups(records: DataFrame) -> DataFrame:
+    """records (id, keys: array) -> id, group: the smallest id among all records that are linked by shared keys, directly or through others. Null keys link nothing; records without keys are groups of their own. Null ids are left out."""
     ids = records.filter("id is not null").select("id").distinct()
-    return ids.join(edges, F.col("id") == F.col("a"), "left").select("id", F.coalesce("b", "id").alias("group"))
+    return ids.join(linked(records), "id", "left").select("id", F.coalesce("group", "id").alias("group"))
 
 
 def survivors(records: DataFrame, fields: Sequence[str]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from ..operators import sweep, survivors as S
@@ -43,7 +46,9 @@ s AS (SELECT r.*, grp, {_FULL} AS filled FROM r JOIN m USING (o) JOIN g USING (l
 SELECT grp AS "group", count(*) AS records, count(DISTINCT provider) AS providers, arg_min(provider, (-filled, provider, id)) AS primary_provider, {_BEST} FROM s GROUP BY grp""")
 def metadata_survivorship(t: Tables):
     """Records that share an order, or part and day, are one thing; each of its fields comes from the fullest record that has it."""
-    rows = t.lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.concat("l_returnflag", "l_linestatus").alias("provider"), F.array(F.concat(F.lit("o"), "l_orderkey"), F.concat_ws(" ", F.lit("p"), "l_partkey", F.col("l_shipdate").cast("string"))).alias("keys"), *[F.expr(x).alias(f) for f, x in FIELDS.items()])
-    rows = rows.join(S.groups(rows.select("id", "keys")), "id")
+    key = lambda kind, *c: F.when(reduce(and_, [x.isNotNull() for x in c]), F.struct(F.lit(kind).alias("kind"), c[0].alias("a"), (c[1] if c[1:] else F.lit(0)).cast("long").alias("b")))
+    keys = F.array(key("o", F.col("l_orderkey")), key("p", F.col("l_partkey"), micros(F.col("l_shipdate"))))
+    rows = t.lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.concat("l_returnflag", "l_linestatus").alias("provider"), keys.alias("keys"), *[F.expr(x).alias(f) for f, x in FIELDS.items()]).filter("id is not null")
+    rows = rows.drop("keys").join(S.linked(rows.select("id", "keys")), "id", "left").withColumn("group", F.coalesce("group", "id"))
     out = S.survivors(rows, list(FIELDS))
     return out.select("group", "records", "providers", "primary_provider", *[c for f in FIELDS for c in (f, F.col(f"{f}_from.provider").alias(f"{f}_provider"), F.col(f"{f}_from.id").alias(f"{f}_id"))])

@@ -65,6 +65,39 @@ def test_groups_equal_union_find(spark):
     assert survivors.groups(spark.createDataFrame([], "id long, keys array<string>")).collect() == []
 
 
+def test_rounds_hold_links_not_records(spark, monkeypatch):
+    """Orders of ten records, some of which share a part: only the links between orders go through the rounds."""
+    records = [(i, [f"o{i // 10}", f"p{i}" if i % 100 else f"q{i // 200}"]) for i in range(2000)]
+    held, plain = [], survivors.stored
+
+    def counted(df):
+        out = plain(df)
+        if out.columns == ["a", "b"]:
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(survivors, "stored", counted)
+    got = {r["id"]: r["group"] for r in survivors.groups(spark.createDataFrame(records, "id long, keys array<string>")).collect()}
+    assert got == plain_groups(records) and held and max(held) <= 10
+    alone = survivors.linked(spark.createDataFrame([(1, ["a"]), (2, ["b", None]), (3, ["b", "b"]), (4, None)], "id long, keys array<string>")).collect()
+    assert sorted(map(tuple, alone)) == [(2, 2), (3, 2)]
+
+
+def test_lines_without_part_or_day_share_none(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    c = duckdb.connect()
+    at = tmp_path / "lineitem.parquet"
+    c.execute(f"COPY (SELECT * REPLACE (CASE WHEN l_orderkey % 3 > 0 THEN l_shipdate END AS l_shipdate, CASE WHEN l_orderkey % 5 > 0 THEN l_partkey END AS l_partkey) FROM '/root/testdata/sf0.001/lineitem.parquet') TO '{at}' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{at}'")
+    q = c.execute(entry.oracle_sql()["metadata_survivorship"])
+    names = [d[0] for d in q.description]
+    got = entry.queries()["metadata_survivorship"](spark, str(tmp_path))
+    assert sorted(map(str, q.fetchall())) == sorted(str(tuple(r[k] for k in names)) for r in got.collect())
+
+
 def test_survivors_by_field(spark):
     rows = [(1, 1, "b", "t1", None, None), (1, 2, "a", None, 5, "x"), (1, 3, "c", "t3", 7, "y"), (1, 4, None, "t4", None, None), (2, 5, "a", None, None, None), (3, 7, "z", "p", 1, None), (3, 6, "z", "q", None, "w"), (3, 8, "y", None, 4, "v")]
     got = {r["group"]: r for r in survivors.survivors(spark.createDataFrame(rows, "group long, id long, provider string, title string, year int, studio string"), ["title", "year", "studio"]).collect()}
