@@ -1,8 +1,9 @@
 """Phrase collocations by Toivonen's mining: a sample proposes, whole passes count, failures of the border widen what is counted.
 
 1. Sample. All phrases of 1 to LONGEST words in about FRACTION of the rows (at most SAMPLE_BYTES of text on average) are
-   counted; those that reach the lowered threshold are proposed. Proposals are kept as a bitmap of 2^BITS bits (16 MB, whatever
-   the input), which is all that is broadcast. A phrase that only seems proposed is counted besides: no result depends on it.
+   counted; those that reach the lowered threshold are proposed. Proposals are kept as a bitmap of 2^BITS bits (16 MB at most; two
+   bits a byte of a small input), which is all that is broadcast, once; two are kept at a time, as each is a file on the driver
+   and on every executor. A phrase that only seems proposed is counted besides: no result depends on it.
 2. Whole pass. Every row's phrases are counted exactly if their first and their last n-1 words are proposed: the proposed
    phrases and their negative border. The border of single words is all words.
 3. Border failures. A border phrase that is frequent wasn't proposed, so longer ones that hold it may not have been counted.
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.ordered import top_per_group
@@ -176,14 +178,13 @@ def phrases_of(data: np.ndarray, at: np.ndarray, limit: int, seed: np.ndarray, o
     return counted, found
 
 
-def counted(docs: DataFrame, old: np.ndarray | None, new: np.ndarray | None, words: bool, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, n, phrase, f: exact counts of all phrases that the proposals `new` call for and `old` didn't; single words with `words`. n = 0 holds the number of all words."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast((old, new))
+def counted(docs: DataFrame, old: Broadcast | None, new: Broadcast | None, words: bool, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang, n, phrase, f: exact counts of all phrases that the proposals `new` (a bitmap that is broadcast) call for and `old` didn't; single words with `words`. n = 0 holds the number of all words."""
+    small_batches(docs.sparkSession)
+    held = old, new
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old, new = shared.value
+        old, new = (x and x.value for x in held)
         schema = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("c", pa.int64())])
         for b in batches:
             names = b.column(1).fill_null("und").dictionary_encode()
@@ -239,9 +240,8 @@ def _bitmap(found: DataFrame, bits: int, on: np.ndarray | None = None) -> np.nda
     return out
 
 
-def _outside(found: DataFrame, bits: np.ndarray) -> DataFrame:
+def _outside(found: DataFrame, shared: Broadcast) -> DataFrame:
     """Phrases that the bitmap doesn't hold."""
-    shared = found.sparkSession.sparkContext.broadcast(bits)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -257,15 +257,21 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample_bytes:
     mean = min_count * share
     lowered = max(min(2, min_count), int(mean - 2 * mean**0.5))
     drawn = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("collocations")), F.lit(1 << 30)) < share * (1 << 30))
-    new = _bitmap(counted(drawn, None, None, True, text_col, lang_col).filter((F.col("f") >= lowered) & F.col("n").between(1, LONGEST - 1)), bits)
-    old, out = None, None
+    bits = min(bits, max(15, size.bit_length() + 1))
+    send = docs.sparkSession.sparkContext.broadcast
+    held = _bitmap(counted(drawn, None, None, True, text_col, lang_col).filter((F.col("f") >= lowered) & F.col("n").between(1, LONGEST - 1)), bits)
+    old, new, out = None, send(held), None
     while True:
         found = stored(counted(docs, old, new, out is None, text_col, lang_col).filter((F.col("f") >= min_count) | (F.col("n") == 0)), "phrases")
         out = found if out is None else out.unionByName(found)
         failed = stored(_outside(found.filter(F.col("n").between(1, LONGEST - 1)), new), "failures")
+        if old is not None:
+            old.destroy()
         if failed.isEmpty():
+            new.destroy()
             return out.select("lang", "n", "phrase", "f")
-        old, new = new, _bitmap(failed, bits, new)
+        held = _bitmap(failed, bits, held)
+        old, new = new, send(held)
 
 
 def collocations(docs: DataFrame, top: int = TOP, percent: int = PERCENT, **how) -> DataFrame:

@@ -1,5 +1,6 @@
 """Whitening, toxicity and phrase collocations against plain versions."""
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -60,6 +61,26 @@ def test_collocations(spark, prose, fraction, least, top):
     assert collocations.collocations(df.filter("doc_id in (1, 2, 3)").withColumn("text", F.lit(None).cast("string"))).collect() == []
 
 
+def test_bitmaps_of_small_inputs_are_small(spark, prose, monkeypatch):
+    """Each round's bitmap is broadcast once, no larger than the input calls for, and taken back."""
+    from pyspark import SparkContext
+
+    sent, plain = [], SparkContext.broadcast
+
+    def broadcast(sc, value):
+        sent.append((value, out := plain(sc, value)))
+        return out
+
+    monkeypatch.setattr(SparkContext, "broadcast", broadcast)
+    df = spark.createDataFrame(prose, "doc_id long, text string, lang string")
+    got = collocations.collocations(df, min_count=3, fraction=0.0)
+    assert sorted(map(tuple, got.collect())) == plain_collocations([r[1:] for r in prose], 3, collocations.TOP)
+    bitmaps = [v for v, _ in sent if isinstance(v, np.ndarray)]
+    assert 1 < len(bitmaps) == len(sent) <= collocations.LONGEST + 1 and len({len(b) for b in bitmaps}) == 1
+    assert len(bitmaps[0]) <= max(1 << 12, sum(len((r[1] or "").encode()) for r in prose))
+    assert not any(os.path.exists(b._path) for _, b in sent)
+
+
 def test_phrases_over_cuts(monkeypatch, prose):
     """Long texts are read a piece at a time; no phrase is lost or counted twice."""
     texts = [r[1] for r in prose] + ["one two three four five six. " * 40 + "z" * 300 + " end", "", "a.b.c d"]
