@@ -10,11 +10,11 @@ from .base import Tables, query
 
 #: What is chosen; files of other competitions and years are never opened.
 NAMES, SEASONS = ("america", "Asia ", "EUROPE", "Middle  East"), ("1996/97", "1997/98", "1998/99", "1999/00", "2000/01")
-LAYOUT = {k: k + "/competition_id={competition_id}/season_id={season_id}" for k in ("matches", "lineups", "events")}
+LAYOUT = {k: top + "/competition_id={competition_id}/season_id={season_id}" for k, top in (("matches", "matches"), ("lineups", "lines/kind=lineups"), ("events", "lines/kind=events"))}
 
 
 def written(t: Tables) -> str:
-    """The root of the provider's files: a list, and folders a season of matches, lineups and events."""
+    """The root of the provider's files: a list, and folders a season of matches, lineups and events (the latter two below `lines`)."""
     root = shared_dir(t.spark)
     year = F.year("o_orderdate")
     label = F.format_string("%d-%02d", F.col("season_id"), (F.col("season_id") + 1) % 100)
@@ -22,16 +22,19 @@ def written(t: Tables) -> str:
     team = lambda c, n: F.concat(F.lit("team "), c % n)
     score = lambda x: F.when(F.col("o_orderstatus") != "P", x.cast("int"))
     orders = t.orders.select((F.col("o_custkey") % 5).alias("competition_id"), year.cast("long").alias("season_id"), F.col("o_orderkey").alias("match_id"), F.col("o_orderdate").cast("date").cast("string").alias("match_date"), team(F.col("o_custkey"), 40).alias("home_team"), F.when(F.col("o_orderkey") % 40 != F.col("o_custkey") % 40, team(F.col("o_orderkey"), 40)).alias("away_team"), score(cents % 5).alias("home_score"), score(F.floor(cents / 10) % 4).alias("away_score"))
+    line = t.lineitem.join(orders.select("competition_id", "season_id", F.col("match_id").alias("l_orderkey")), "l_orderkey")
+    type_ = F.when(F.col("l_returnflag") == "A", "Goal").when(F.col("l_returnflag") == "R", "Card").when(F.col("l_linenumber") % 2 == 0, "Substitution").otherwise("Pass")
+    none = F.lit(None)
+    event = F.struct(F.lit("events").alias("kind"), F.col("l_linenumber").cast("long").alias("event_id"), F.col("l_quantity").cast("int").alias("minute"), type_.alias("type"), none.cast("int").alias("shirt"))
+    listed = F.struct(F.lit("lineups").alias("kind"), none.cast("long").alias("event_id"), none.cast("int").alias("minute"), none.cast("string").alias("type"), F.col("l_linenumber").cast("int").alias("shirt"))
+    of = F.when(F.col("l_linenumber") % 2 == 0, F.array(event, listed)).otherwise(F.array(event))
+    who = ["competition_id", "season_id", F.col("l_orderkey").alias("match_id"), F.col("l_suppkey").alias("player_id"), F.concat(F.lit("player "), "l_suppkey").alias("player")]
+    # Lineups and events in one pass: the lines meet their orders once. Nulls aren't written, so neither has the other's fields.
+    line.select(*who, F.explode(of).alias("r")).select("competition_id", "season_id", "match_id", "player_id", "player", "r.*").write.partitionBy("kind", "competition_id", "season_id").json(f"{root}/lines")
     seasons = orders.groupBy("competition_id", "season_id").agg(F.max("match_date").alias("available"))
     regions = t.region.select(F.col("r_regionkey").cast("long").alias("competition_id"), F.col("r_name").alias("competition"))
     seasons.join(regions, "competition_id").withColumn("season", label).write.json(f"{root}/competitions.json")
-    put = lambda df, kind: df.write.partitionBy("competition_id", "season_id").json(f"{root}/{kind}")
-    put(orders, "matches")
-    line = t.lineitem.join(orders.select("competition_id", "season_id", F.col("match_id").alias("l_orderkey")), "l_orderkey")
-    who = ["competition_id", "season_id", F.col("l_orderkey").alias("match_id"), F.col("l_suppkey").alias("player_id"), F.concat(F.lit("player "), "l_suppkey").alias("player")]
-    put(line.filter("l_linenumber % 2 = 0").select(*who, F.col("l_linenumber").alias("shirt")), "lineups")
-    kind = F.when(F.col("l_returnflag") == "A", "Goal").when(F.col("l_returnflag") == "R", "Card").when(F.col("l_linenumber") % 2 == 0, "Substitution").otherwise("Pass")
-    put(line.select(*who, F.col("l_linenumber").cast("long").alias("event_id"), F.col("l_quantity").cast("int").alias("minute"), kind.alias("type")), "events")
+    orders.write.partitionBy("competition_id", "season_id").json(f"{root}/matches")
     return root
 
 

@@ -53,6 +53,18 @@ class Files:
         rest = F.concat(F.lit(f"{self.top}/"), F.element_at(F.split(path, f"/{re.escape(self.top)}/"), -1))
         return F.array(rest, F.regexp_replace(rest, "/[^/]*$", ""))
 
+    def _place(self) -> Column:
+        """A row's file below the kind's folder."""
+        return F.substring_index(F.col("_metadata.file_path"), f"/{self.top}/", -1)
+
+    def _values(self, place: Column) -> dict[str, Column]:
+        """The pattern's columns in a place that split() has found, each up to the text that follows it; cut without patterns, as every row is."""
+        out, rest = {}, F.substr(place, F.lit(len(self.parts[0].removeprefix(f"{self.top}/")) + 1))
+        for c, text in zip(self.parts[1::2], self.parts[2::2]):
+            out[c] = F.substring_index(rest, text or "/", 1)
+            rest = F.substr(rest, F.length(out[c]) + len(text) + 1)
+        return out
+
     def split(self, rows: DataFrame) -> tuple[list[str], DataFrame]:
         """Paths of the files that rows (with the pattern's columns) ask for, and (file) that they ask for in vain. Paths are listed without being read; more than `most` are an error, as a read's paths are on the driver."""
         asked = rows.select(self._key().alias("file")).dropna().distinct()
@@ -69,12 +81,9 @@ class Files:
         if not paths:
             return self.spark.createDataFrame([], schema).select("*", *[F.lit(None).cast("long").alias(c) for c in self.columns if c not in schema.split()]), missing
         df = self.spark.read.schema(schema).json(paths, multiLine=not lines, mode="DROPMALFORMED")
-        own = F.regexp_replace(F.col("_metadata.file_path"), "^.*/(?=" + re.escape(self.top) + "/)", "")
-        where = "".join("([^/]+?)" if i % 2 else re.escape(x) for i, x in enumerate(self.parts))
-        df = df.select("*", own.alias("_own"))
-        for i, c in enumerate(self.columns, 1):
-            at = F.regexp_extract("_own", f"^{where}(?:/|$)", i).try_cast("long")
-            df = df.withColumn(c, F.coalesce(F.col(c), at) if c in df.columns else at)
+        df = df.select("*", self._place().alias("_own"))
+        for c, at in self._values(F.col("_own")).items():
+            df = df.withColumn(c, F.coalesce(F.col(c), at.try_cast("long")) if c in df.columns else at.try_cast("long"))
         return df.drop("_own"), missing
 
 

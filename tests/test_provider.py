@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from stratolens.sources import provider as P
 
@@ -51,6 +52,54 @@ def test_only_the_files_of_chosen_seasons_are_opened(spark, root):
         P.Files(spark, root, "matches/{competition_id}/{season_id}.json", most=1).split(out["seasons"])
 
 
+@pytest.mark.parametrize("pattern", ["events/{a}.json", "events/a={a}/b={b}", "events/{a}/x{b}.json"])
+def test_columns_of_places(spark, tmp_path, pattern):
+    """Keys come from the last folder of that name, and no pattern is searched in a row's path."""
+    root = tmp_path / "events" / "7.json" / "events" / "root"
+    wanted = [(1, 22), (3, 4), (55, 6)] if "{b}" in pattern else [(1, None), (3, None), (55, None)]
+    for a, b in wanted:
+        at = root / pattern.format(a=a, b=b)
+        at = at if at.suffix else at / "part-0.json"
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(json.dumps({"v": a * 100}) + "\n")
+    rows = spark.createDataFrame([*wanted, (9, 9)], "a long, b long")
+    df, missing = P.Files(spark, str(root), pattern).read(rows, "v int", lines=True)
+    got = df.withColumn("b", df["b"] if "b" in df.columns else F.lit(None).cast("long")).select("v", "a", "b")
+    assert sorted(map(tuple, got.collect())) == sorted((a * 100, a, b) for a, b in wanted) and missing.count() == 1
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_meet_their_orders_once(spark, monkeypatch):
+    """Lineups and events are written in one pass."""
+    from pyspark.sql import DataFrameWriter
+
+    from stratolens.plans import imports
+    from stratolens.plans.base import Tables
+
+    reads, plain = [], DataFrameWriter.json
+
+    def json_(self, *a, **k):
+        reads.append(self._df._jdf.queryExecution().optimizedPlan().toString().count("l_linenumber") > 0)
+        return plain(self, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "json", json_)
+    root = imports.written(t := Tables(spark, "/root/testdata/sf0.001"))
+    assert sum(reads) == 1
+    of = lambda kind: spark.read.json(f"{root}/lines/kind={kind}")
+    assert of("events").count() == t.lineitem.count() and of("lineups").count() == t.lineitem.filter("l_linenumber % 2 = 0").count()
+    assert set(of("events").columns) == {"match_id", "player_id", "player", "event_id", "minute", "type", "competition_id", "season_id"}
+    assert set(of("lineups").columns) == {"match_id", "player_id", "player", "shirt", "competition_id", "season_id"}
+
+
+def test_orders_without_lines(spark, tmp_path):
+    from stratolens.plans.registry import QUERIES
+
+    for name in ("orders", "region", "lineitem"):
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        (df.limit(0) if name == "lineitem" else df).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert QUERIES["provider_import_activities"](spark, str(tmp_path)).collect() == []
+
+
 def test_what_comes_of_the_files(spark, root):
     out = P.imported(spark, root, ["First League"])
     table = {tuple(r)[1:3]: tuple(r)[3:] for r in out["standings"].collect()}
