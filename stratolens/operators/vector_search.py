@@ -65,7 +65,7 @@ def meeting(pick: _Top | _Within | _Nested, schema: str, extra: Sequence[str]) -
                 cos = np.empty(len(i))
                 for k in range(0, len(i), PAIRS):
                     x, y = i[k : k + PAIRS], j[k : k + PAIRS]
-                    cos[k : k + PAIRS] = (q[x] * r[y]).sum(1) / (q_len[x] * r_len[y])
+                    cos[k : k + PAIRS] = pick.cut((q[x] * r[y]).sum(1) / (q_len[x] * r_len[y]))
                 keep = pick.best(q_id[i], r_id[j], cos, bonus[j], b, j)
                 i, j, cos = i[keep], j[keep], cos[keep]
                 found.append(pa.table({"query_id": a["query_id"].take(pa.array(i)), "id": b["id"].take(pa.array(j)), "cosine": cos, "score": pick.score(cos, bonus[j], b, j), **{c: b[c].take(pa.array(j)) for c in extra}}).select(names))
@@ -74,7 +74,14 @@ def meeting(pick: _Top | _Within | _Nested, schema: str, extra: Sequence[str]) -
     return meet
 
 
-class _Top:
+class _Pick:
+    @staticmethod
+    def cut(cos):
+        """Cosines as they count and are given."""
+        return cos
+
+
+class _Top(_Pick):
     """The best k rows a query, the smaller tie (a column) first among equals."""
 
     def __init__(self, k: int, weight: float, tie: str):
@@ -96,7 +103,7 @@ class _Top:
         return order[rank < self.k]
 
 
-class _Within:
+class _Within(_Pick):
     """All rows with a cosine of at least `least`, and those whose bonus isn't 0."""
 
     def __init__(self, least: float):
@@ -112,18 +119,20 @@ class _Within:
         return np.flatnonzero((cos >= self.least) | (bonus != 0))
 
 
-class _Nested:
-    """The best k rows a query and group by weight x cosine + bonus, cosines cut to three places and at 0. Rows with `always` compete in any case, others where their cosine reaches one of two bounds; of a group with any `always` rows (`strict`), only those."""
+class _Nested(_Pick):
+    """The best k rows a query and group by bonus + weight x cosine + also x cosine (where seen), added in this order; cosines are cut to three places and at 0. Rows with `always` compete in any case, others where their cosine reaches one of two bounds; of a group with any `always` rows (`strict`), only those."""
 
-    def __init__(self, k: int, group: str, semantic: float, visual: float):
-        self.k, self.group, self.semantic, self.visual = k, group, semantic, visual
+    def __init__(self, k: int, group: str, semantic: float, visual: float, also: float):
+        self.k, self.group, self.semantic, self.visual, self.also = k, group, semantic, visual, also
 
     def score(self, cos, bonus, b, j):
-        return b["weight"].to_numpy()[j] * self.cut(cos) + bonus
+        return bonus + b["weight"].to_numpy()[j] * cos + self.also * np.where(b["seen"].to_numpy(zero_copy_only=False)[j], cos, 0)
 
     @staticmethod
     def cut(cos):
-        return np.maximum(0, np.round(cos, 3))
+        """Halves are rounded up."""
+        x = np.maximum(0, cos) * 1000
+        return (np.floor(x) + (x - np.floor(x) >= 0.5)) / 1000
 
     def groups(self, b):
         """A number for each row's group; null is a group of its own."""
@@ -137,19 +146,19 @@ class _Nested:
     def near(self, cos, bonus, b):
         every = np.arange(len(bonus))
         ok = self.allowed(cos + 1e-3, b, every)
-        s = np.where(ok, b["weight"].to_numpy() * np.maximum(0, cos) + bonus, -np.inf)
+        s = np.where(ok, self.score(np.maximum(0, cos), bonus, b, every), -np.inf)
         rows, cols = [], []
         for g in np.unique(names := self.groups(b)):
             at = np.flatnonzero(names == g)
             part = s[:, at]
             least = np.partition(part, -self.k, axis=1)[:, -self.k][:, None] - 0.02 if self.k < len(at) else -np.inf
-            x, y = np.nonzero((part >= least) & (part > -np.inf))
+            x, y = np.nonzero((part >= least) & ok[:, at])
             rows.append(x)
             cols.append(at[y])
         return np.concatenate(rows), np.concatenate(cols)
 
     def best(self, q, r, cos, bonus, b, j):
-        keep = np.flatnonzero(self.allowed(self.cut(cos), b, j))
+        keep = np.flatnonzero(self.allowed(cos, b, j))
         group = self.groups(b)[j[keep]]
         order = np.lexsort((r[keep], -self.score(cos, bonus, b, j)[keep], group, q[keep]))
         pair = np.stack([q[keep], group])[:, order]
@@ -177,12 +186,14 @@ def within(queries: DataFrame, rows: DataFrame, least: float, also: Column, extr
     return _blocks(queries, _rows(rows, also.cast("int"), extra), _Within(least), _schema(rows, extra), extra, ALL).drop("score")
 
 
-def nested(queries: DataFrame, rows: DataFrame, group: str, k: int, semantic: float, visual: float, extra: Sequence[str]) -> DataFrame:
-    """query_id, id, cosine, score, the group, extra and rank: the best k rows of each query and group, see _Nested. rows: id, v, bonus, weight, always, strict, seen, group, extra."""
-    more = [group, *extra]
-    some = rows.select("id", "v", F.col("bonus").cast("double").alias("bonus"), F.col("weight").cast("double").alias("weight"), "always", "strict", "seen", *[c for c in more if c != "seen"])
-    found = _blocks(queries, some, _Nested(k, group, semantic, visual), _schema(rows, more), more, BLOCK)
-    return ordered.top_per_group(found, ["query_id", group], k, [F.col("score").desc(), F.col("id")], "id")
+def nested(queries: DataFrame, rows: DataFrame, group: str, k: int, semantic: float, visual: float, extra: Sequence[str], also: float = 0.0) -> DataFrame:
+    """query_id, id, cosine (cut), score, the group, extra and rank: the best k rows of each query and group, see _Nested; a row whose bonus is null comes last and has no score. rows: id, v, bonus, weight, always, strict, seen, group, extra."""
+    more, none = [group, *extra], F.lit(float("-inf"))
+    marks = [F.coalesce(c, F.lit(False)).alias(c) for c in ("always", "strict", "seen")]
+    some = rows.select("id", "v", F.coalesce(F.col("bonus").cast("double"), none).alias("bonus"), F.col("weight").cast("double").alias("weight"), *marks, *[c for c in more if c != "seen"])
+    found = _blocks(queries, some, _Nested(k, group, semantic, visual, also), _schema(rows, more), more, BLOCK)
+    best = ordered.top_per_group(found, ["query_id", group], k, [F.col("score").desc(), F.col("id")], "id")
+    return best.withColumn("score", F.when(F.col("score") > none, F.col("score")))
 
 
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:

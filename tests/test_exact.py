@@ -82,3 +82,47 @@ def test_cosines_with_centroids_are_held_in_pieces():
     b = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["id"])
     parts = list(ann._pieces(iter([b]), 1024))
     assert max(p.num_rows for p in parts) * 1024 <= ann.HELD and sum((p.column(0).to_pylist() for p in parts), []) == list(range(10_000))
+
+
+def assets_and_sql(spark, folder, documents, labels, embeddings):
+    """Rows of search_assets over small tables, and those of its SQL."""
+    import duckdb
+
+    types = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "embeddings": "vec_id long, embedding array<float>, label int"}
+    duck = duckdb.connect()
+    for (name, schema), rows in zip(types.items(), (documents, labels, embeddings)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet/*.parquet')")
+    df = entry.queries()["search_assets"](spark, str(folder))
+    got, want = df.collect(), duck.execute(entry.oracle_sql()["search_assets"])
+    assert [x[0] for x in want.description] == df.columns
+    return sorted(map(tuple, got), key=str), sorted(want.fetchall(), key=str)
+
+
+def test_equal_scores_of_assets_go_by_their_segments(spark, tmp_path):
+    """Both segments score 6.98; as a sum of doubles the first came out a bit smaller and went behind the second."""
+    documents = [(1, "the with", "fr", "a", 3000), (2, "me@here", "en", "a", 7)]
+    got, want = assets_and_sql(spark, tmp_path, documents, [(1, 0, 0), (2, 0, 0)], [(100, [1.0, 0.0], 0)])
+    assert [(r[5], r[4], r[8]) for r in got] == [(1, 1, 6.98), (2, 2, 6.98)] and got == want
+
+
+def test_halves_of_cosines_are_rounded_up(spark, tmp_path):
+    """A cosine of 0.0625 counts as 0.063: it is given so, but was scored as 0.062."""
+    documents = [(1, "the with", "fr", "a", 8)]
+    got, want = assets_and_sql(spark, tmp_path, documents, [], [(100, [1.0, 0.0, 0.0, 0.0, 0.0], 0), (1, [1.0, 15.0, 5.0, 2.0, 1.0], 0)])
+    assert [r[7] for r in got] == [0.063] and got == want
+
+
+def test_missing_values_of_segments_count_as_in_sql(spark, tmp_path):
+    """No text, length, language, asset, toxicity, quality or vector; places of assets with equal totals."""
+    import random
+
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.sample(["the", "with", "src3", "idiot", "licensed", "a|b", "me@here", "x"], rng.randrange(1, 6)))
+    documents = [(i, rng.choice([None, text(), text(), text()]), rng.choice([None, "en", "fr"]), rng.choice([None, "a", "b", "src2", "src3"]), rng.choice([None, 10, 3000])) for i in range(90)]
+    documents += [(i, None, "fr", "no words", 10) for i in range(90, 98)]
+    documents += [(i, "x", "fr", None if i % 2 else "twin", 10) for i in (140, 181)]  # first ids with the same recency
+    labels = [(i, rng.choice([None, 0, 1]), rng.choice([None, 0, 0, 1])) for i in range(0, 90, 2)]
+    embeddings = [(i, None if i % 5 == 3 else [float(rng.randrange(-3, 4)) for _ in range(3)] + [1.0], 0) for i in range(0, 301)]
+    got, want = assets_and_sql(spark, tmp_path, documents, labels, embeddings)
+    assert len({r[0] for r in got}) == 4 and any(r[8] is None for r in got) and got == want
